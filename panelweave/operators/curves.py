@@ -13,13 +13,9 @@ from panelweave.operators.prefix import exact_quantiles, null_safe_join
 CURVE_PERCENTILES = [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
 
 
-def percentile_curve(df: DataFrame, keys: list[str], value: str, builtin: bool = False, name: str = "curve") -> DataFrame:
+def percentile_curve(df: DataFrame, keys: list[str], value: str, name: str = "curve") -> DataFrame:
     """`array<struct<p, v>>` of the exact 0..100 percentiles of `value` per group."""
-    probs = [p / 100 for p in CURVE_PERCENTILES]
-    if builtin:
-        q = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("q"))
-    else:
-        q = exact_quantiles(df, keys, value, probs)
+    q = exact_quantiles(df, keys, value, [p / 100 for p in CURVE_PERCENTILES])
     pts = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col("q")[i].alias("v")) for i, p in enumerate(CURVE_PERCENTILES)])
     return q.select(*keys, pts.alias(name))
 

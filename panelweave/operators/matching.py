@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
-from panelweave.operators.prefix import attach_group, null_safe_join, scan
+from panelweave.operators.prefix import TASK_ROWS, attach_group, largest_group, null_safe_join, scan
 from panelweave.session import cut_lineage
 
 _STEP = StructType([StructField("beta", ArrayType(DoubleType())), StructField("move", DoubleType()), StructField("ok", BooleanType())])
@@ -134,6 +134,8 @@ def full_matching(df: DataFrame, keys: list[str], unit: str, flag: str, score: s
     solved alone. Specs lacking one of the arms give no rows.
     """
     d = df.where(F.col(score).isNotNull()).select(*keys, unit, F.col(flag).cast("boolean").alias("__t"), F.col(score).cast("double").alias("__s"))
+    d = cut_lineage(d)
+    size = largest_group(d, keys)
     t, s = F.col("__t"), F.col("__s")
     d = scan(
         d, keys, "__s", [unit],
@@ -141,6 +143,7 @@ def full_matching(df: DataFrame, keys: list[str], unit: str, flag: str, score: s
             "__pt": ("max", F.when(t, s), "upto"), "__pc": ("max", F.when(~t, s), "upto"),
             "__nt": ("min", F.when(t, s), "from"), "__nc": ("min", F.when(~t, s), "from"),
         },
+        group_rows=size,
     )
     prev, nxt = F.when(t, F.col("__pc")).otherwise(F.col("__pt")), F.when(t, F.col("__nc")).otherwise(F.col("__nt"))
     d = d.withColumn("__nn", F.least(s - prev, nxt - s)).where(F.col("__nn").isNotNull())
@@ -152,10 +155,11 @@ def full_matching(df: DataFrame, keys: list[str], unit: str, flag: str, score: s
             "__ht": ("max", F.when(t, hi), "before"), "__hc": ("max", F.when(~t, hi), "before"),
             "__lt": ("min", F.when(t, lo), "from"), "__lc": ("min", F.when(~t, lo), "from"),
         },
+        group_rows=size,
     )
     big = F.lit(1e300)
     free = (F.coalesce("__ht", -big) < F.coalesce("__lc", big)) & (F.coalesce("__hc", -big) < F.coalesce("__lt", big))
-    d = scan(d.withColumn("__cut", free.cast("int")), keys, "__s", [unit], {"stretch": ("sum", F.col("__cut"), "upto")})
+    d = scan(d.withColumn("__cut", free.cast("int")), keys, "__s", [unit], {"stretch": ("sum", F.col("__cut"), "upto")}, group_rows=size)
     d = d.select(*keys, unit, "__t", "__s", "stretch", F.floor(F.col("stretch") / bundle).alias("__g"))
     unit_type = d.schema[unit].dataType.simpleString()
     key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*keys).schema.fields)
@@ -184,16 +188,66 @@ def full_matching(df: DataFrame, keys: list[str], unit: str, flag: str, score: s
 # ---- nearest matching ------------------------------------------------------------------
 
 
-def nearest_matching(df: DataFrame, keys: list[str], unit: str, flag: str, score: str = "score", ratio: int = 1, max_rounds: int = 10_000) -> DataFrame:
+def greedy_line(treated: np.ndarray, controls: np.ndarray, ratio: int) -> list[tuple[int, int, int]]:
+    """Sequential greedy on one sorted spec: (treated, control, pass) positions.
+
+    Free controls next to a position are found through skip links, which jump over taken ones.
+    """
+    n = len(controls)
+    left, right = np.arange(-1, n + 1), np.arange(0, n + 2)  # shifted by one: index k+1 is control k
+
+    def find(link: np.ndarray, k: int) -> int:
+        root = k
+        while 0 < root + 1 <= n and link[root + 1] != root:
+            root = link[root + 1]
+        while 0 < k + 1 <= n and link[k + 1] != k:
+            link[k + 1], k = root, link[k + 1]
+        return root
+
+    out = []
+    at = np.searchsorted(controls, treated, side="right")
+    for no in range(1, ratio + 1):
+        for t in range(len(treated) - 1, -1, -1):
+            lo, hi = find(left, at[t] - 1), find(right, at[t])
+            if lo < 0 and hi >= n:
+                continue
+            take = lo if hi >= n or (lo >= 0 and treated[t] - controls[lo] <= controls[hi] - treated[t]) else hi
+            left[take + 1], right[take + 1] = take - 1, take + 1
+            out.append((t, take, no))
+    return out
+
+
+def nearest_matching(df: DataFrame, keys: list[str], unit: str, flag: str, score: str = "score", ratio: int = 1) -> DataFrame:
     """Greedy nearest neighbour without replacement, treated served in descending score.
 
-    Rows (keys, treated, control, pass_no); a run with ratio r is the passes 1..r. In each
-    round every unserved treated unit asks the nearer of the two controls at its left and
-    right pointer; a control keeps the asker with the highest score and the others move
-    their pointer on. As all controls rank the askers alike, the stable outcome is the
-    sequential greedy one.
+    Rows (keys, treated, control, pass_no); a run with ratio r is the passes 1..r. Specs small
+    enough for a task are served one by one there; larger ones by rounds of proposals over
+    the whole table, which end in the same pairs.
     """
     d = df.where(F.col(score).isNotNull()).select(*keys, F.col(unit).alias("u"), F.col(flag).cast("boolean").alias("t"), F.col(score).cast("double").alias("s"))
+    d = cut_lineage(d)
+    if largest_group(d, keys) > TASK_ROWS:
+        return _proposal_rounds(d, keys, ratio)
+    ut = d.schema["u"].dataType.simpleString()
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*keys).schema.fields)
+
+    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr = pdf[pdf.t].sort_values(["s", "u"], ascending=[True, False])
+        ct = pdf[~pdf.t].sort_values(["s", "u"])
+        got = greedy_line(tr.s.to_numpy(), ct.s.to_numpy(), ratio)
+        out = pd.DataFrame({"treated": [tr.u.iloc[i] for i, _, _ in got], "control": [ct.u.iloc[j] for _, j, _ in got], "pass_no": [p for _, _, p in got]})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "treated", "control", "pass_no"]]
+
+    return d.groupBy(*keys).applyInPandas(serve, f"{ddl}treated {ut}, control {ut}, pass_no int")
+
+
+def _proposal_rounds(d: DataFrame, keys: list[str], ratio: int, max_rounds: int = 100_000) -> DataFrame:
+    """In each round every unserved treated unit asks the nearer of the two controls at its left
+    and right pointer; a control keeps the asker with the highest score and the others move
+    their pointer on. As all controls rank the askers alike, the stable outcome is the
+    sequential greedy one."""
     passes, used = [], None
     for no in range(1, ratio + 1):
         pool = d if used is None else _minus(d, used, keys)
@@ -317,7 +371,7 @@ def same_group_share(df: DataFrame, keys: list[str], flag: str, country: str, or
     )
 
 
-def sampling_variances(df: DataFrame, keys: list[str], divisor: str | None = "weights", builtin: bool = True) -> DataFrame:
+def sampling_variances(df: DataFrame, keys: list[str], divisor: str | None = "weights") -> DataFrame:
     """vi_0, vi_1 = se^2/weight, pulled in at the 1% and 99% points of the spec."""
     from panelweave.operators.prefix import winsorise
 
@@ -325,4 +379,4 @@ def sampling_variances(df: DataFrame, keys: list[str], divisor: str | None = "we
     for i in (0, 1):
         se2 = F.col(f"se_{i}") * F.col(f"se_{i}")
         d = d.withColumn(f"vi_{i}", se2 / F.col(divisor) if divisor else se2)
-    return winsorise(d, ["vi_0", "vi_1"], keys, builtin=builtin)
+    return winsorise(d, ["vi_0", "vi_1"], keys)

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelweave.functions.distributions import p_normal, p_student, t_two_sided
 from panelweave.functions.labels import stars
@@ -33,84 +34,66 @@ def cluster_moments(df: DataFrame, keys: list[str], cluster: str, y: str, v: str
     )
 
 
-def _profile(g: Column, tau2: Column) -> Column:
-    """Summed normal equations of all clusters in the array `g` at one tau2."""
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("a00", "a01", "a11", "b0", "b1", "q", "ld")])
-
-    def add(acc: Column, m: Column) -> Column:
-        c = tau2 / (1 + tau2 * m["s0"])
-        return F.struct(
-            (acc["a00"] + m["s0"] - c * m["s0"] * m["s0"]).alias("a00"),
-            (acc["a01"] + m["sx"] - c * m["s0"] * m["sx"]).alias("a01"),
-            (acc["a11"] + m["sxx"] - c * m["sx"] * m["sx"]).alias("a11"),
-            (acc["b0"] + m["sy"] - c * m["s0"] * m["sy"]).alias("b0"),
-            (acc["b1"] + m["sxy"] - c * m["sx"] * m["sy"]).alias("b1"),
-            (acc["q"] + m["syy"] - c * m["sy"] * m["sy"]).alias("q"),
-            (acc["ld"] + m["slv"] + F.log1p(tau2 * m["s0"])).alias("ld"),
-        )
+_FIT = StructType([StructField(c, DoubleType()) for c in ("tau2", "deviance", "b_i", "se_i", "b_f", "se_f")])
+_SUMS = ["s0", "sx", "sxx", "sy", "sxy", "syy", "slv"]
+
 
-    return F.aggregate(g, zero, add)
+def _profile(g: np.ndarray, tau2: np.ndarray, reml: bool) -> tuple[np.ndarray, ...]:
+    """Normal equations summed over clusters and -2 log likelihood, for an array of tau2."""
+    s0, sx, sxx, sy, sxy, syy, slv = (v[:, None] for v in g)
+    c = tau2[None, :] / (1 + tau2[None, :] * s0)
+    a00, a01, a11 = (s0 - c * s0 * s0).sum(0), (sx - c * s0 * sx).sum(0), (sxx - c * sx * sx).sum(0)
+    b0, b1, q = (sy - c * s0 * sy).sum(0), (sxy - c * sx * sy).sum(0), (syy - c * sy * sy).sum(0)
+    det = a00 * a11 - a01 * a01
+    fit = (b0 * (a11 * b0 - a01 * b1) + b1 * (a00 * b1 - a01 * b0)) / det
+    dev = (slv + np.log1p(tau2[None, :] * s0)).sum(0) + q - fit + (np.log(det) if reml else 0.0)
+    return dev, a00, a01, a11, b0, b1, det
 
 
-def _deviance(s: Column, reml: bool) -> Column:
-    """-2 log likelihood up to a constant from summed equations."""
-    det = s["a00"] * s["a11"] - s["a01"] * s["a01"]
-    fit = (s["b0"] * (s["a11"] * s["b0"] - s["a01"] * s["b1"]) + s["b1"] * (s["a00"] * s["b1"] - s["a01"] * s["b0"])) / det
-    return s["ld"] + s["q"] - fit + (F.log(det) if reml else F.lit(0.0))
+def _search(reml: bool):
+    @F.pandas_udf(_FIT)
+    def run(s0: pd.Series, sx: pd.Series, sxx: pd.Series, sy: pd.Series, sxy: pd.Series, syy: pd.Series, slv: pd.Series) -> pd.DataFrame:
+        out = []
+        for sums in zip(s0, sx, sxx, sy, sxy, syy, slv):
+            g = np.stack([np.asarray(v, float) for v in sums])
+            tot = g.sum(1)
+            if not tot[0] * tot[2] - tot[1] ** 2 > 1e-12 * tot[0] * tot[2]:
+                out.append([None] * 6)
+                continue
+            scale = max(tot[5] / tot[0] - (tot[3] / tot[0]) ** 2, 1e-12)
+            grid = np.concatenate([[0.0], scale * 2.0 ** np.arange(-30, 13)])
+            for _ in range(10):
+                k = int(np.argmin(_profile(g, grid, reml)[0]))
+                best, lo, hi = grid[k], grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
+                grid = np.linspace(lo, hi, 25)
+            dev, a00, a01, a11, b0, b1, det = (v[0] for v in _profile(g, np.array([best]), reml))
+            out.append([best, dev, (a11 * b0 - a01 * b1) / det, np.sqrt(a11 / det), (a00 * b1 - a01 * b0) / det, np.sqrt(a00 / det)])
+        return pd.DataFrame(out, columns=[f.name for f in _FIT.fields], dtype=float)
+
+    return run
 
 
 def meta_regression(
-    df: DataFrame, keys: list[str], cluster: str, y: str, v: str, flag: str, method: str = "REML", levels: int = 9, points: int = 24, p_values: bool = True
+    df: DataFrame, keys: list[str], cluster: str, y: str, v: str, flag: str, method: str = "REML", p_values: bool = True
 ) -> DataFrame:
     """y ~ 1 + flag with known variances v and a random cluster intercept, one row per term.
 
-    tau2 is searched on a grid from zero upwards that is narrowed around its best point
-    `levels` times; the search is a row expression over the spec's cluster moments. It cannot
-    fail to converge, so no fallback method is needed; `method="ML"` gives the other criterion.
+    A spec becomes one row of cluster sums (as many entries as clusters). tau2 is searched
+    there on a grid from zero upwards, narrowed around its best point ten times; it cannot
+    fail to converge, so no fallback method is needed. `method="ML"` gives the other
+    criterion. Specs whose flag does not vary give no rows.
     """
-    reml = method.upper() == "REML"
     mom = cluster_moments(df, keys, cluster, y, v, flag)
-    fields = ["s0", "sx", "sxx", "sy", "sxy", "syy", "slv"]
-    # `per` holds one struct per cluster; the overall spread of y scales the first grid
     d = mom.groupBy(*keys).agg(
-        F.collect_list(F.struct(*fields)).alias("g"),
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("k_cluster"),
-        (F.sum("syy") / F.sum("s0") - F.pow(F.sum("sy") / F.sum("s0"), 2)).alias("spread"),
-        (F.sum("s0") * F.sum("sxx") - F.pow(F.sum("sx"), 2)).alias("__det"),
-    )
-    d = d.where(F.col("__det") > 1e-12 * F.lit(1.0)).drop("__det")
-    grid = F.concat(
-        F.array(F.lit(0.0)),
-        F.transform(F.sequence(F.lit(-30), F.lit(12)), lambda k: F.greatest(F.col("spread"), F.lit(1e-12)) * F.pow(F.lit(2.0), k.cast("double"))),
-    )
-
-    def pick(frame: DataFrame) -> DataFrame:
-        """Best grid point and its two neighbours."""
-        scored = F.transform(F.col("grid"), lambda t: F.struct(_deviance(_profile(F.col("g"), t), reml).alias("d"), t.alias("t")))
-        frame = frame.withColumn("best", F.array_min(scored)["t"])
-        at = F.array_position(F.col("grid"), F.col("best")).cast("int")
-        lo = F.get("grid", F.greatest(at - 2, F.lit(0)))
-        hi = F.get("grid", F.least(at, F.size("grid") - 1))
-        return frame.withColumn("lo", lo).withColumn("hi", hi)
-
-    d = pick(d.withColumn("grid", grid))
-    for _ in range(levels):
-        step = (F.col("hi") - F.col("lo")) / points
-        d = pick(d.withColumn("grid", F.transform(F.sequence(F.lit(0), F.lit(points)), lambda k: F.col("lo") + step * k)))
-    s = F.col("s")
-    d = d.withColumn("s", _profile(F.col("g"), F.col("best")))
-    det = s["a00"] * s["a11"] - s["a01"] * s["a01"]
-    d = d.select(
-        *keys, "n", "k_cluster", F.col("best").alias("tau2"), _deviance(s, reml).alias("deviance"),
-        ((s["a11"] * s["b0"] - s["a01"] * s["b1"]) / det).alias("b_i"), F.sqrt(s["a11"] / det).alias("se_i"),
-        ((s["a00"] * s["b1"] - s["a01"] * s["b0"]) / det).alias("b_f"), F.sqrt(s["a00"] / det).alias("se_f"),
+        F.array_sort(F.collect_list(F.struct(*_SUMS))).alias("g"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k_cluster")
     )
+    d = d.select(*keys, "n", "k_cluster", _search(method.upper() == "REML")(*[F.col(f"g.{c}") for c in _SUMS]).alias("s"))
     terms = F.array(
-        F.struct(F.lit("(Intercept)").alias("term"), F.col("b_i").alias("estimate"), F.col("se_i").alias("se")),
-        F.struct(F.lit(flag).alias("term"), F.col("b_f").alias("estimate"), F.col("se_f").alias("se")),
+        F.struct(F.lit("(Intercept)").alias("term"), F.col("s.b_i").alias("estimate"), F.col("s.se_i").alias("se")),
+        F.struct(F.lit(flag).alias("term"), F.col("s.b_f").alias("estimate"), F.col("s.se_f").alias("se")),
     )
-    return tidy(d.select(*keys, F.inline(terms), "tau2", "n", "k_cluster", "deviance"), p_values)
+    d = d.where(F.col("s.b_i").isNotNull() & ~F.isnan("s.b_i"))
+    return tidy(d.select(*keys, F.inline(terms), F.col("s.tau2").alias("tau2"), "n", "k_cluster", F.col("s.deviance").alias("deviance")), p_values)
 
 
 def tidy(d: DataFrame, p_values: bool = True) -> DataFrame:
@@ -153,7 +136,8 @@ def fixed_effects(
         F.array(F.lit(0.0)),
         F.transform(F.sequence(F.lit(-24), F.lit(8)), lambda k: F.greatest("spread", F.lit(1e-12)) * F.pow(F.lit(2.0), k.cast("double"))),
     )
-    grids = spread.withColumn("grid", first)
+    # stored, so that every branch below sees bit-equal candidates
+    grids = cut_lineage(spread.withColumn("grid", first))
     best = None
     for level in range(levels + 1):
         j = null_safe_join(rows, grids.select(*keys, "grid"), keys).withColumn("t", F.explode("grid")).drop("grid")
@@ -172,7 +156,7 @@ def fixed_effects(
         dev = -F.col("lw") + F.col("lg") + F.log("s") + F.col("q") - F.col("c") * F.col("c") / F.col("s")
         best = tot.groupBy(*keys).agg(F.min(F.struct(dev.alias("d"), F.col("t"), F.col("c"), F.col("s"))).alias("m"))
         best = cut_lineage(null_safe_join(best, grids, keys))
-        at = F.array_position("grid", F.col("m.t")).cast("int")
+        at = F.size(F.filter("grid", lambda g: g <= F.col("m.t")))
         lo, hi = F.get("grid", F.greatest(at - 2, F.lit(0))), F.get("grid", F.least(at, F.size("grid") - 1))
         if level < levels:
             step = (hi - lo) / points

@@ -1,8 +1,9 @@
-"""Ordered scans that never put one whole group into one task.
+"""Ordered scans and exact quantiles for groups of any size.
 
-A running total over an ordered group is split in two: rows fall into value buckets by a
-monotone rule, each bucket is scanned on its own, and the (few) bucket totals are scanned
-to give every bucket its offset. Results equal the single-window form exactly.
+Groups small enough for one task (checked by count) use Spark's own window or `percentile`.
+Beyond that a scan is split in two: rows fall into value buckets by a monotone rule, each
+bucket is scanned on its own, and the (few) bucket totals are scanned to give every bucket
+its offset. Results equal the single-window form exactly.
 """
 
 from __future__ import annotations
@@ -12,9 +13,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.nulls import as_col
+from panelweave.session import cut_lineage
 
 _LO, _HI, _B = "__lo", "__hi", "__bucket"
 
+# Rows of one group a single task may sort or keep distinct values of.
+TASK_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the largest group; one small number comes back."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on `keys` where NULL matches NULL; the right copies of the keys are dropped."""
@@ -41,25 +53,36 @@ def with_value_bucket(df: DataFrame, keys: list[str], order: str, buckets: int =
 
 
 def scan(
-    df: DataFrame, keys: list[str], order: str, ties: list[str], items: dict[str, tuple], descending: bool = False, buckets: int = 256
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    ties: list[str],
+    items: dict[str, tuple],
+    descending: bool = False,
+    buckets: int = 256,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Running aggregates along (order, ties) in each group.
 
     `items` maps a new column to (fn, value, side) with fn one of sum/max/min and side
     `upto` (rows up to and including this one), `before` (rows before it) or `from` (this
-    one and all later rows).
+    one and all later rows). `group_rows` is the size of the largest group if already known.
     """
     fns = {"sum": F.sum, "max": F.max, "min": F.min}
+    frames = {"upto": (W.unboundedPreceding, 0), "before": (W.unboundedPreceding, -1), "from": (0, W.unboundedFollowing)}
+    oo = F.col(order).desc() if descending else F.col(order).asc()
+    ordered = [oo, *[F.col(t).asc() for t in ties]]
+    if (largest_group(df, keys) if group_rows is None else group_rows) <= TASK_ROWS:
+        w = W.partitionBy(*keys).orderBy(*ordered)
+        return df.select("*", *[fns[fn](v).over(w.rowsBetween(*frames[side])).alias(n) for n, (fn, v, side) in items.items()])
     d = df
     for i, (_, value, _) in enumerate(items.values()):
         d = d.withColumn(f"__v{i}", value)
     d = with_value_bucket(d, keys, order, buckets)
     specs = [(i, fns[fn], fn, side) for i, (fn, _, side) in enumerate(items.values())]
     ob = F.col(_B).desc() if descending else F.col(_B).asc()
-    oo = F.col(order).desc() if descending else F.col(order).asc()
     across = W.partitionBy(*keys).orderBy(ob)
-    inside = W.partitionBy(*keys, _B).orderBy(oo, *[F.col(t).asc() for t in ties])
-    frames = {"upto": (W.unboundedPreceding, 0), "before": (W.unboundedPreceding, -1), "from": (0, W.unboundedFollowing)}
+    inside = W.partitionBy(*keys, _B).orderBy(*ordered)
     totals = d.groupBy(*keys, _B).agg(*[f(f"__v{i}").alias(f"__t{i}") for i, f, _, _ in specs])
     # at most `buckets` rows per group from here on
     carry = totals.select(
@@ -103,35 +126,32 @@ def number_rows(df: DataFrame, order: str, name: str = "id", ties: list[str] | N
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], buckets: int = 256, name: str = "q"
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probs: list[float],
+    buckets: int = 256,
+    name: str = "q",
+    group_rows: int | None = None,
 ) -> DataFrame:
-    """Type-7 quantiles per group, as an array column, for groups of any size.
-
-    Distinct values are counted first (so copies collapse map-side), then cumulative counts
-    locate the two order statistics each quantile interpolates between.
-    """
-    d = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(
-        F.count(F.lit(1)).alias("__c")
-    )
-    b = with_value_bucket(d, keys, "__x", buckets)
-    per_bucket = b.groupBy(*keys, _B).agg(F.sum("__c").alias("__bc"))
-    whole = W.partitionBy(*keys)
-    head = per_bucket.select(
-        *keys,
-        _B,
-        F.coalesce(
-            F.sum("__bc").over(whole.orderBy(_B).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("__off"),
-        F.sum("__bc").over(whole).alias("__n"),
-    )
-    inside = F.sum("__c").over(W.partitionBy(*keys, _B).orderBy("__x").rowsBetween(W.unboundedPreceding, 0))
-    ranked = null_safe_join(b.withColumn("__cum", inside), head, [*keys, _B]).withColumn(
-        "__last", F.col("__cum") + F.col("__off")
-    )  # 1-based rank of the last copy of this value; the first copy has rank last - c + 1
+    """Type-7 quantiles per group, as an array column, for groups of any size."""
+    d = df.where(F.col(value).isNotNull())
+    if (largest_group(d, keys) if group_rows is None else group_rows) <= TASK_ROWS:
+        return d.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(name))
+    return _spread_quantiles(d, keys, value, probs, buckets, name)
+
+
+def _spread_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], buckets: int, name: str) -> DataFrame:
+    """Distinct values are counted first (copies collapse map-side) and stored once; cumulative
+    counts then locate the two order statistics each quantile interpolates between."""
+    d = cut_lineage(df.groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__c")))
+    c = scan(d, keys, "__x", [], {"__last": ("sum", F.col("__c"), "upto")}, buckets=buckets, group_rows=TASK_ROWS + 1)
+    ranked = attach_group(c, d.groupBy(*keys).agg(F.sum("__c").alias("__n")), keys)
     parts = []
     for i, p in enumerate(probs):
         h = (F.col("__n") - 1) * F.lit(float(p)) + 1
         lo, hi = F.floor(h + 1e-9), F.ceil(h - 1e-9)
+        # `__last` is the rank of the last copy of a value, the first copy is at last - c + 1
         holds = lambda r: (F.col("__last") >= r) & (F.col("__last") - F.col("__c") + 1 <= r)
         parts += [
             F.max(F.when(holds(lo), F.col("__x"))).alias(f"__a{i}"),
@@ -156,24 +176,18 @@ def attach_group(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFr
     return df.select("*", one).join(F.broadcast(per_group.select("*", one)), "__one").drop("__one")
 
 
-def winsorise(
-    df: DataFrame, cols: list[str], keys: list[str] | None = None, probs=(0.01, 0.99), suffix: str = "", builtin: bool = False
-) -> DataFrame:
-    """Pull values outside the two group quantiles back to them.
-
-    `builtin=True` uses Spark's `percentile`, one pass for all columns, right for result
-    tables whose groups fit a task; the default has no such limit.
-    """
+def winsorise(df: DataFrame, cols: list[str], keys: list[str] | None = None, probs=(0.01, 0.99), suffix: str = "") -> DataFrame:
+    """Pull values outside the two group quantiles back to them."""
     keys = list(keys or [])
-    out = df
-    if builtin:
-        per = df.groupBy(*keys).agg(
-            *[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(f"__q_{c}") for c in cols]
-        )
-        out = attach_group(out, per, keys)
+    ps = [float(p) for p in probs]
+    size = largest_group(df, keys)
+    if size <= TASK_ROWS:  # all columns in one pass
+        per = df.groupBy(*keys).agg(*[F.percentile(c, F.array(*[F.lit(p) for p in ps])).alias(f"__q_{c}") for c in cols])
+        out = attach_group(df, per, keys)
     else:
+        out = df
         for c in cols:
-            out = attach_group(out, exact_quantiles(df, keys, c, list(probs), name=f"__q_{c}"), keys)
+            out = attach_group(out, exact_quantiles(df, keys, c, ps, name=f"__q_{c}", group_rows=size), keys)
     for c in cols:
         x = as_col(c)
         bounded = F.when(x.isNotNull(), F.least(F.greatest(x, F.col(f"__q_{c}")[0]), F.col(f"__q_{c}")[1]))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.prefix import attach_group, exact_quantiles, null_safe_join
+from panelweave.session import cut_lineage
 
 
 def cell_of(c: Column | str, size: float | Column) -> Column:
@@ -23,6 +24,12 @@ def span(lo: Column, hi: Column) -> Column:
     return F.explode(F.sequence(lo, hi))
 
 
+def around(c: Column | str, k: int = 1) -> Column:
+    """The value and its k neighbours on either side, one row each."""
+    x = F.col(c) if isinstance(c, str) else c
+    return span(x - k, x + k)
+
+
 def segment_distance(px: str, py: str) -> Column:
     """Distance from (px, py) to the segment x1,y1 - x2,y2 of the same row."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -115,13 +122,12 @@ def nearest_segment(
         .withColumn("cx", span(cell_of(F.least("x1", "x2"), size), cell_of(F.greatest("x1", "x2"), size)))
         .withColumn("cy", span(cell_of(F.least("y1", "y2"), size), cell_of(F.greatest("y1", "y2"), size)))
     )
-    around = F.sequence(F.lit(-1), F.lit(1))
     occupied = (
         cells.where(F.col("lev") < levels)
         .select("lev", "cx", "cy")
         .distinct()
-        .withColumn("cx", F.col("cx") + F.explode(around))
-        .withColumn("cy", F.col("cy") + F.explode(around))
+        .withColumn("cx", around("cx"))
+        .withColumn("cy", around("cy"))
         .distinct()
     )
     pts = points.select(F.col(point_id), F.col(x).alias("px"), F.col(y).alias("py"))
@@ -133,8 +139,8 @@ def nearest_segment(
         .agg((F.min("lev") + 1).alias("lev"), F.first("px").alias("px"), F.first("py").alias("py"))
     )
     near = (
-        probe.withColumn("cx", cell_of("px", size) + F.explode(around))
-        .withColumn("cy", cell_of("py", size) + F.explode(around))
+        probe.withColumn("cx", around(cell_of("px", size)))
+        .withColumn("cy", around(cell_of("py", size)))
         .join(cells, ["lev", "cx", "cy"])
         .select(point_id, F.struct(segment_distance("px", "py").alias("dist"), *attrs).alias("m"))
     )
@@ -212,7 +218,7 @@ def area_band_join(units: DataFrame, cands: DataFrame, factor: float = 4.0, area
     reach = int(math.ceil(math.log2(factor))) + 1
     bucket = lambda c: F.floor(F.log2(F.col(c))).cast("int")
     u = units.select(*[F.col(c).alias(f"u_{c}") for c in units.columns]).withColumn(
-        "__b", bucket(f"u_{area}") + F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+        "__b", around(bucket(f"u_{area}"), reach)
     )
     c = cands.select(*[F.col(c).alias(f"c_{c}") for c in cands.columns]).withColumn("__b", bucket(f"c_{area}"))
     inside = (F.col(f"c_{area}") >= F.col(f"u_{area}") / factor) & (F.col(f"c_{area}") <= F.col(f"u_{area}") * factor)
@@ -232,7 +238,7 @@ def lookalike_candidates(
     u = (
         units.select(*[F.col(c).alias(f"u_{c}") for c in units.columns])
         .withColumn("u_reach", r)
-        .withColumn("__b", F.floor(F.log2(f"u_{area}")).cast("int") + F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+        .withColumn("__b", around(F.floor(F.log2(f"u_{area}")).cast("int"), reach))
         .withColumn("cx", span(cell_of(F.col("u_x") - F.col("u_reach"), cell), cell_of(F.col("u_x") + F.col("u_reach"), cell)))
         .withColumn("cy", span(cell_of(F.col("u_y") - F.col("u_reach"), cell), cell_of(F.col("u_y") + F.col("u_reach"), cell)))
     )
@@ -254,22 +260,59 @@ def lookalike_candidates(
 
 # ---- neighbours within a radius --------------------------------------------------------
 
-_INNER, _EDGE = "inner", "edge"
+# Neighbouring locations up to which a location is simply compared with each of them.
+PAIR_LIMIT = 512
 
 
 def _disc_sums(points: DataFrame, keys: list[str], radius: Column, split: int, x: str, y: str) -> DataFrame:
-    """Per distinct location: n, sum x, sum y, sum x^2+y^2 over the points within the radius.
+    """Per distinct location: n and the sum of squared distances over the points within the radius.
 
-    Equal locations are merged first. The plane is cut into cells of radius/split; a cell
-    wholly inside the disc gives its totals without touching its points, and only cells cut
-    by the circle are joined point by point. Offsets are kept relative to the cell corner.
+    Equal locations are merged first. Where the 3x3 block of radius-sized cells around a
+    location is thinly filled its locations are compared one by one; in crowded places
+    whole cells are added up instead. Both ways are exact.
     """
-    loc = points.groupBy(*keys, F.col(x).alias("px"), F.col(y).alias("py"), radius.alias("rad")).agg(
-        F.count(F.lit(1)).alias("m")
+    key = [*keys, "rad"]
+    loc = cut_lineage(
+        points.groupBy(*keys, F.col(x).alias("px"), F.col(y).alias("py"), radius.alias("rad"))
+        .agg(F.count(F.lit(1)).alias("m"))
+        .withColumn("bx", cell_of("px", F.col("rad")))
+        .withColumn("by", cell_of("py", F.col("rad")))
+    )
+    here = loc.groupBy(*key, "bx", "by").agg(F.count(F.lit(1)).alias("c"))
+    block = (
+        here.select(*key, around("bx").alias("bx"), "by", "c").select(*key, "bx", around("by").alias("by"), "c")
+        .groupBy(*key, "bx", "by")
+        .agg(F.sum("c").alias("around"))
+    )
+    block = cut_lineage(block.join(here.drop("c"), [*key, "bx", "by"], "left_semi"))
+    placed = null_safe_join(loc, block, [*key, "bx", "by"])
+    probe = (
+        placed.where(F.col("around") <= PAIR_LIMIT)
+        .select(*key, "px", "py", around("bx").alias("bx"), "by")
+        .select(*key, "px", "py", "bx", around("by").alias("by"))
+    )
+    other = loc.select(*key, "bx", "by", F.col("px").alias("qx"), F.col("py").alias("qy"), "m")
+    dd = F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)
+    thin = (
+        null_safe_join(probe, other, [*key, "bx", "by"])
+        .withColumn("dd", dd)
+        .where(F.sqrt("dd") <= F.col("rad"))
+        .groupBy(*key, "px", "py")
+        .agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("dd")).alias("d2"))
     )
+    if block.where(F.col("around") > PAIR_LIMIT).isEmpty():
+        return thin
+    crowded = placed.where(F.col("around") > PAIR_LIMIT).select(*key, "px", "py")
+    return thin.unionByName(_crowded_sums(loc.select(*key, "px", "py", "m"), crowded, key, split))
+
+
+def _crowded_sums(loc: DataFrame, wanted: DataFrame, key: list[str], split: int) -> DataFrame:
+    """Disc sums by cells of radius/split: a cell wholly inside the disc gives its totals
+    without touching its points, and only cells cut by the circle are joined point by point.
+    Coordinates inside a cell are kept relative to its corner."""
     g = F.col("rad") / split
+    wanted = wanted.withColumn("gx", cell_of("px", g)).withColumn("gy", cell_of("py", g))
     loc = loc.withColumn("gx", cell_of("px", g)).withColumn("gy", cell_of("py", g))
-    key = [*keys, "rad"]
     cells = loc.groupBy(*key, "gx", "gy").agg(
         F.sum("m").alias("cn"),
         F.sum(F.col("m") * (F.col("px") - F.col("gx") * g)).alias("sx"),
@@ -287,10 +330,10 @@ def _disc_sums(points: DataFrame, keys: list[str], radius: Column, split: int, x
     ]
     grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
     # cells holding data decide which neighbour cells exist: join cell to cell, not point to cell
-    homes = cells.select(*key, "gx", "gy").withColumn("o", F.explode(grid))
+    homes = wanted.select(*key, "gx", "gy").distinct().withColumn("o", F.explode(grid))
     homes = homes.select(*key, F.col("gx").alias("hx"), F.col("gy").alias("hy"), (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
-    links = homes.join(cells, [*key, "gx", "gy"])
-    src = loc.select(*key, "px", "py", F.col("gx").alias("hx"), F.col("gy").alias("hy"))
+    links = null_safe_join(homes, cells, [*key, "gx", "gy"])
+    src = wanted.select(*key, "px", "py", F.col("gx").alias("hx"), F.col("gy").alias("hy"))
     ox, oy = F.col("gx") * g, F.col("gy") * g
     far_x = F.greatest(F.abs(F.col("px") - ox), F.abs(F.col("px") - (ox + g)))
     far_y = F.greatest(F.abs(F.col("py") - oy), F.abs(F.col("py") - (oy + g)))
@@ -299,7 +342,7 @@ def _disc_sums(points: DataFrame, keys: list[str], radius: Column, split: int, x
     # a hair of slack keeps borderline cells on the exact point-by-point side
     inside = far_x * far_x + far_y * far_y <= F.col("rad") * F.col("rad") * (1 - 1e-12)
     outside = near_x * near_x + near_y * near_y > F.col("rad") * F.col("rad") * (1 + 1e-12)
-    seen = src.join(links, [*key, "hx", "hy"]).where(~outside).withColumn("inside", inside)
+    seen = null_safe_join(src, links, [*key, "hx", "hy"]).where(~outside).withColumn("inside", inside)
     ax, ay = F.col("px") - ox, F.col("py") - oy
     whole = seen.where("inside").select(
         *key,
@@ -311,9 +354,7 @@ def _disc_sums(points: DataFrame, keys: list[str], radius: Column, split: int, x
     other = loc.select(*key, "gx", "gy", F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("m"))
     dd = F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)
     cut = (
-        seen.where(~F.col("inside"))
-        .select(*key, "px", "py", "gx", "gy")
-        .join(other, [*key, "gx", "gy"])
+        null_safe_join(seen.where(~F.col("inside")).select(*key, "px", "py", "gx", "gy"), other, [*key, "gx", "gy"])
         .withColumn("dd", dd)
         .where(F.sqrt("dd") <= F.col("rad"))
         .select(*key, "px", "py", F.col("m").alias("n"), (F.col("m") * F.col("dd")).alias("d2"))
@@ -359,14 +400,13 @@ def kernel_density(
     reach = F.col("rad") * 9
     key = [*keys, "rad"]
     a = loc.select(*key, "px", "py", cell_of("px", reach).alias("gx"), cell_of("py", reach).alias("gy"))
-    around = F.sequence(F.lit(-1), F.lit(1))
-    probe = a.withColumn("gx", F.col("gx") + F.explode(around)).withColumn("gy", F.col("gy") + F.explode(around))
+    probe = a.withColumn("gx", around("gx")).withColumn("gy", around("gy"))
     b = loc.select(
         *key, F.col("px").alias("qx"), F.col("py").alias("qy"), "m", cell_of("px", reach).alias("gx"), cell_of("py", reach).alias("gy")
     )
     u2 = (F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)) / (F.col("rad") * F.col("rad"))
     dens = (
-        probe.join(b, [*key, "gx", "gy"])
+        null_safe_join(probe, b, [*key, "gx", "gy"])
         .groupBy(*key, "px", "py")
         .agg((F.sum(F.col("m") * F.exp(u2 * -0.5)) / (2 * math.pi * F.first("rad") * F.first("rad"))).alias(name))
     )
@@ -382,7 +422,6 @@ def decluster_weights(
     name: str = "w",
     x: str = "x",
     y: str = "y",
-    builtin_quantile: bool = False,
 ) -> DataFrame:
     """Inverse-density weights: capped at the group's `cap` quantile, mean one.
 
@@ -398,13 +437,11 @@ def decluster_weights(
     else:
         d = kernel_density(work, keys, r, kernel, "__d", x=x, y=y)
         raw = F.lit(1.0) / F.greatest(F.col("__d"), F.lit(1e-12))
-    d = d.withColumn("__w", raw).drop("__d")
-    if builtin_quantile:
-        caps = d.groupBy(*keys).agg(F.percentile("__w", F.lit(float(cap))).alias("__cap"), F.count(F.lit(1)).alias("__n"))
-    else:
-        sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        qs = exact_quantiles(d, keys, "__w", [cap], name="__q")
-        caps = null_safe_join(qs.withColumn("__cap", F.col("__q")[0]).drop("__q"), sizes, keys)
+    # stored once: the density joins feed the cap, the mean and the result
+    d = cut_lineage(d.withColumn("__w", raw).drop("__d"))
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    qs = exact_quantiles(d, keys, "__w", [cap], name="__q")
+    caps = attach_group(qs.withColumn("__cap", F.col("__q")[0]).drop("__q"), sizes, keys)
     d = attach_group(d, caps, keys).withColumn("__w", F.least("__w", "__cap"))
     means = d.groupBy(*keys).agg(F.avg("__w").alias("__m"))
     d = attach_group(d, means, keys)

@@ -191,18 +191,18 @@ def typed_summary(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs)
 
 
-def rows_at_max(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """All rows holding the group maximum, ties kept; only partial maxima are shuffled."""
-    top = df.groupBy(*keys).agg(F.max(by).alias("__top"))
-    return null_safe_join(df, top, keys).where(F.col(by) == F.col("__top")).drop("__top")
-
-
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, ties: bool = False) -> DataFrame:
-    """First n rows per group. The rank filter is applied before the shuffle as well."""
+    """First n rows per group. Spark applies the rank filter before the shuffle as well, so a
+    crowded group sends n rows per input partition, not all of its rows."""
     fn = F.rank() if ties else F.row_number()
     return df.withColumn("__r", fn.over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
+def rows_at_max(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """All rows holding the group maximum, ties kept."""
+    return top_rows(df, keys, [F.col(by).desc()], 1, ties=True)
+
+
 def distinct_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_rows(df, keys, order, 1)
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelweave.session import fresh_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,6 +40,5 @@ def rounded(df: DataFrame, digits: int = 6, **per: int) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the configured checkpoint folder (a local one only in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="panelweave-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared folder."""
+    return fresh_path(spark, name)

@@ -1,6 +1,6 @@
 """The driver's tables seen as the panel's inputs, as DataFrames and as SQL text.
 
-wells: one per order line; unit = (brand, supplier nation); y price, x quantity.
+wells: one per order line; unit = (brand, supplier nation); y price, x quantity; TB from both.
 points: customers, with coordinates derived from the key. frames: one rectangle per nation.
 """
 
@@ -13,16 +13,15 @@ from panelweave.plans.registry import table
 
 
 def wells(spark: SparkSession, d: str) -> DataFrame:
-    l, p, s, n = (table(spark, d, t) for t in ("lineitem", "part", "supplier", "nation"))
+    l, p, s = (table(spark, d, t) for t in ("lineitem", "part", "supplier"))
     return (
         l.join(p.select("p_partkey", "p_brand", "p_size"), l.l_partkey == F.col("p_partkey"))
         .join(s.select("s_suppkey", "s_nationkey", "s_acctbal"), l.l_suppkey == F.col("s_suppkey"))
-        .join(n.select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("well_id"),
             F.col("p_brand").alias("aquifer"),
             F.col("s_nationkey").alias("cc"),
-            (F.col("n_regionkey") % 2 == 0).alias("TB"),
+            ((F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") + F.col("s_nationkey")) % 3 == 0).alias("TB"),
             F.col("l_extendedprice").alias("y"),
             F.col("l_quantity").alias("x"),
             F.col("l_discount").alias("disc"),
@@ -36,14 +35,13 @@ def wells(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-WELLS = """wells AS (
-  SELECT l_orderkey * 8 + l_linenumber AS well_id, p_brand AS aquifer, s_nationkey AS cc, n_regionkey % 2 = 0 AS TB,
+WELLS = r"""wells AS (
+  SELECT l_orderkey * 8 + l_linenumber AS well_id, p_brand AS aquifer, s_nationkey AS cc, (CAST(regexp_extract(p_brand, '\d+') AS INTEGER) + s_nationkey) % 3 = 0 AS TB,
          l_extendedprice AS y, l_quantity AS x, l_discount AS disc, l_tax AS tax, CAST(p_size AS DOUBLE) AS size,
          s_acctbal AS acct, CAST(l_discount > 0.05 AS INTEGER) AS LB_river,
          CAST((l_orderkey * 7919) % 3600 AS DOUBLE) AS px,
          CAST((l_orderkey * 104729 + l_linenumber * 31) % 1700 AS DOUBLE) AS py
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation ON s_nationkey = n_nationkey)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +66,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     """Rectangles around one point per supplier: geom_id, x0, y0, x1, y1, nation."""
     k = F.col("s_suppkey")
     x, y = k * 611 % 340 - 170, k * 397 % 150 - 75
-    w, h = 3 + k % 7, 2 + k % 5
+    w, h = 6 + k % 17, 5 + k % 11
     return table(spark, d, "supplier").select(
         k.alias("geom_id"), F.col("s_nationkey").alias("nation"),
         (x - w).cast("double").alias("x0"), (y - h).cast("double").alias("y0"), (x + w).cast("double").alias("x1"), (y + h).cast("double").alias("y1"),
@@ -77,10 +75,10 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 
 BOXES = """boxes AS (
   SELECT s_suppkey AS geom_id, s_nationkey AS nation,
-         CAST(s_suppkey * 611 % 340 - 170 - (3 + s_suppkey % 7) AS DOUBLE) AS x0,
-         CAST(s_suppkey * 397 % 150 - 75 - (2 + s_suppkey % 5) AS DOUBLE) AS y0,
-         CAST(s_suppkey * 611 % 340 - 170 + (3 + s_suppkey % 7) AS DOUBLE) AS x1,
-         CAST(s_suppkey * 397 % 150 - 75 + (2 + s_suppkey % 5) AS DOUBLE) AS y1 FROM supplier)"""
+         CAST(s_suppkey * 611 % 340 - 170 - (6 + s_suppkey % 17) AS DOUBLE) AS x0,
+         CAST(s_suppkey * 397 % 150 - 75 - (5 + s_suppkey % 11) AS DOUBLE) AS y0,
+         CAST(s_suppkey * 611 % 340 - 170 + (6 + s_suppkey % 17) AS DOUBLE) AS x1,
+         CAST(s_suppkey * 397 % 150 - 75 + (5 + s_suppkey % 11) AS DOUBLE) AS y1 FROM supplier)"""
 
 
 def box_edges(b: DataFrame, diamond: bool = False) -> DataFrame:

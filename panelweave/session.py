@@ -1,8 +1,9 @@
-"""Session defaults and the one place that knows where checkpoints go."""
+"""Session defaults and the one place that knows where intermediate tables go."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +23,29 @@ def get_session(app: str = "panelweave", master: str | None = None, **conf) -> S
     return b.getOrCreate()
 
 
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; a local one only where none is set, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="panelweave-"))
+    return _local[0]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back.
+    """Write `df` as a table in the shared folder and read it back.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; a local folder is
-    made only when nothing is configured, which is the case in tests.
+    Later steps reread the table instead of repeating its plan, survive lost executors, and
+    the optimizer sees its true size.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        target = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelweave-ckpt-")
-        sc.setCheckpointDir(target)
-    return df.checkpoint(eager=True)
+    path = fresh_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
