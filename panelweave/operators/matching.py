@@ -194,7 +194,7 @@ def greedy_line(treated: np.ndarray, controls: np.ndarray, ratio: int) -> list[t
     Free controls next to a position are found through skip links, which jump over taken ones.
     """
     n = len(controls)
-    left, right = np.arange(-1, n + 1), np.arange(0, n + 2)  # shifted by one: index k+1 is control k
+    left, right = np.arange(-1, n + 1), np.arange(-1, n + 1)  # entry k + 1 belongs to control k
 
     def find(link: np.ndarray, k: int) -> int:
         root = k

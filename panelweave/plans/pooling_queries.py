@@ -66,14 +66,14 @@ def _terms(df, *keys):
 # ---- pooled models ----------------------------------------------------------------------
 
 
-@query("pooled_meta_regression", f"WITH {_PANEL}, {_WINS}, {_TWO}, {_meta_sql('src', 'outcome')} {_TERMS.format(keys='outcome')}")
+@query("pooled_meta_regression", f"WITH {_PANEL}, {_WINS}, {_TWO}, {_meta_sql('src', 'outcome')} {_TERMS.format(keys='outcome').replace(', 3)', ', 2)')}")
 def pooled_meta_regression(spark, d):
     """All units with weight one: the unmatched second stage."""
     u = sweeps.matched_units(panel(spark, d), [], "unit_id", "TB", COVS, None)
     s = matching.sampling_variances(u, [])
     both = F.array(*[F.struct(F.lit(i).alias("outcome"), F.col(f"beta_{i}").alias("yi"), F.col(f"vi_{i}").alias("vi")) for i in (0, 1)])
     fit = pooling.meta_regression(s.select("cc", "TB", F.inline(both)), ["outcome"], "cc", "yi", "vi", "TB", p_values=False)
-    return _terms(fit, "outcome")
+    return rounded(fit.select("outcome", "term", "estimate", "se"), 2)
 
 
 @query(
