@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators.prefix import attach_single
 from panelweave.session import cut_lineage
 
 
@@ -17,16 +18,12 @@ def random_independent_sets(ids: DataFrame, edges: DataFrame, key: str, samples:
     rank is below all its live neighbours is kept and its neighbours leave; this gives the
     greedy set itself, in a number of rounds that grows with log(nodes). `edges` holds a, b.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # stored once: every round reads the links again
+    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     rank = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col("sample_id"), F.col(c)).alias("h"), F.col(c).alias("k"))
-    one = F.lit(1).alias("one")
-    numbers = samples.agg(F.collect_set("sample_id").alias("s")).select("s", one)  # sample numbers only
-    live = (
-        ids.select(F.col(key).alias("a"), one)
-        .distinct()
-        .join(F.broadcast(numbers), "one")
-        .select(F.explode("s").alias("sample_id"), "a")
-    )
+    numbers = samples.agg(F.collect_set("sample_id").alias("s"))  # sample numbers only
+    nodes = attach_single(ids.select(F.col(key).alias("a")).distinct(), numbers)
+    live = cut_lineage(nodes.select(F.explode("s").alias("sample_id"), "a"))
     kept: list[DataFrame] = []
     for _ in range(max_rounds):
         links = live.join(both, "a").join(live.select("sample_id", F.col("a").alias("b")), ["sample_id", "b"], "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
-from panelweave.operators.prefix import TASK_ROWS, attach_group, largest_group, null_safe_join, scan
+from panelweave.operators.prefix import TASK_ROWS, attach_group, largest_group, null_safe_join, private_keys, scan
 from panelweave.session import cut_lineage
 
 _STEP = StructType([StructField("beta", ArrayType(DoubleType())), StructField("move", DoubleType()), StructField("ok", BooleanType())])
@@ -25,11 +25,14 @@ def _newton(beta: pd.Series, info: pd.Series, score: pd.Series) -> pd.DataFrame:
     out, move, ok = [], [], []
     for b, i, s in zip(beta, info, score):
         b = np.asarray(b, float)
+        a, r = np.asarray(i, float).reshape(len(b), len(b)), np.asarray(s, float)
+        live = np.flatnonzero(np.diag(a) > 0)  # constant covariates were set to zero
+        d = np.zeros_like(b)
         try:
-            d = np.linalg.solve(np.asarray(i, float).reshape(len(b), len(b)), np.asarray(s, float))
+            d[live] = np.linalg.solve(a[np.ix_(live, live)], r[live])
             good = bool(np.all(np.isfinite(d)))
         except np.linalg.LinAlgError:
-            d, good = np.zeros_like(b), False
+            good = False
         out.append((b + d).tolist() if good else b.tolist())
         move.append(float(np.max(np.abs(d))) if good else 0.0)
         ok.append(good)
@@ -39,32 +42,70 @@ def _newton(beta: pd.Series, info: pd.Series, score: pd.Series) -> pd.DataFrame:
 def propensity(df: DataFrame, keys: list[str], flag: str, covs: list[str], maxit: int = 25, tol: float = 1e-8) -> DataFrame:
     """Add `score` (fitted probability of `flag`) and `score_ok` from a logit per spec.
 
-    Each step is one grouped sum over the rows and one small solve per spec. A spec whose
-    information matrix is singular keeps score_ok = false and a NULL score.
+    Specs small enough for a task are fitted there, all in one pass; larger ones by Newton
+    steps that are one grouped sum each. A spec that cannot be fitted keeps score_ok = false
+    and a NULL score.
     """
     if not keys:
         return propensity(df.withColumn("__spec", F.lit(0)), ["__spec"], flag, covs, maxit, tol).drop("__spec")
     p = len(covs) + 1
     stats = df.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(covs)], *[F.stddev_pop(c).alias(f"__s{i}") for i, c in enumerate(covs)]
+        F.count(F.lit(1)).alias("__n"), *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(covs)], *[F.stddev_pop(c).alias(f"__s{i}") for i, c in enumerate(covs)]
     )
+    stats = cut_lineage(stats)
     std = null_safe_join(df, stats, keys)
     for i, c in enumerate(covs):
         std = std.withColumn(f"__z{i}", F.when(F.col(f"__s{i}") > 0, (F.col(c) - F.col(f"__m{i}")) / F.col(f"__s{i}")).otherwise(0.0))
-    std = std.drop(*[f"__{t}{i}" for t in "ms" for i in range(len(covs))])
+    std = std.drop("__n", *[f"__{t}{i}" for t in "ms" for i in range(len(covs))])
     z = [F.lit(1.0), *[F.col(f"__z{i}") for i in range(len(covs))]]
-    t = F.col(flag).cast("double")
+    lean = std.select(*keys, F.col(flag).cast("double").alias("__t"), *[f"__z{i}" for i in range(len(covs))])
+    if (stats.agg(F.max("__n")).first()[0] or 0) <= TASK_ROWS:
+        state = cut_lineage(_logit_blocks(lean, keys, p, maxit, tol))
+    else:
+        state = _logit_steps(lean, keys, z, maxit, tol)
+    fit = state.select(*keys, F.col("beta").alias("__beta"), F.col("ok").alias("score_ok"))
+    eta = reduce(lambda a, b: a + b, [z[i] * F.col("__beta")[i] for i in range(p)])
+    out = null_safe_join(std, fit, keys).withColumn("score", F.when(F.col("score_ok"), 1 / (1 + F.exp(-eta))))
+    return out.drop("__beta", *[f"__z{i}" for i in range(len(covs))])
+
 
-    def fitted(beta: Column) -> Column:
-        eta = reduce(lambda a, b: a + b, [z[i] * beta[i] for i in range(p)])
-        return 1 / (1 + F.exp(-eta))
+def _logit_blocks(lean: DataFrame, keys: list[str], p: int, maxit: int, tol: float) -> DataFrame:
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in lean.select(*keys).schema.fields)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.column_stack([np.ones(len(pdf)), *[pdf[f"__z{i}"].to_numpy() for i in range(p - 1)]])
+        t = pdf["__t"].to_numpy()
+        use = ~np.isnan(z).any(axis=1) & ~np.isnan(t)
+        z, t = z[use], t[use]
+        keep = [j for j in range(p) if np.any(z[:, j] != 0)]  # constant covariates were set to zero
+        beta, ok = np.zeros(p), bool(len(t)) and 0 < t.mean() < 1
+        for _ in range(maxit if ok else 0):
+            mu = 1 / (1 + np.exp(-np.clip(z @ beta, -700, 700)))
+            try:
+                step = np.linalg.solve((z[:, keep] * (mu * (1 - mu))[:, None]).T @ z[:, keep], z[:, keep].T @ (t - mu))
+            except np.linalg.LinAlgError:
+                ok = False
+                break
+            beta[keep] += step
+            if np.max(np.abs(step)) <= tol:
+                break
+        ok = ok and bool(np.all(np.isfinite(beta)))
+        out = {k: [pdf[k].iloc[0]] for k in keys}
+        return pd.DataFrame({**out, "beta": [beta.tolist()], "ok": [ok]})
 
-    lean = std.select(*keys, t.alias("__t"), *[f"__z{i}" for i in range(len(covs))])
-    state = lean.select(*keys).distinct().withColumn("beta", F.array(*[F.lit(0.0)] * p)).withColumn("move", F.lit(1.0)).withColumn("ok", F.lit(True))
+    return lean.groupBy(*keys).applyInPandas(fit, f"{ddl}beta array<double>, ok boolean")
+
+
+def _logit_steps(lean: DataFrame, keys: list[str], z: list[Column], maxit: int, tol: float) -> DataFrame:
+    p = len(z)
+    one_arm = lean.groupBy(*keys).agg((F.min("__t") < F.max("__t")).alias("ok"))
+    state = one_arm.select(*keys, F.array(*[F.lit(0.0)] * p).alias("beta"), F.lit(1.0).alias("move"), "ok")
+    state = cut_lineage(state)
     up = [(i, j) for i in range(p) for j in range(i, p)]
     for _ in range(maxit):
         j = null_safe_join(lean, state.where(F.col("ok") & (F.col("move") > tol)).select(*keys, "beta"), keys)
-        j = j.withColumn("__mu", fitted(F.col("beta")))
+        eta = reduce(lambda a, b: a + b, [z[i] * F.col("beta")[i] for i in range(p)])
+        j = j.withColumn("__mu", 1 / (1 + F.exp(-eta)))
         v = F.col("__mu") * (1 - F.col("__mu"))
         sums = j.groupBy(*keys).agg(
             *[F.sum(v * z[a] * z[b]).alias(f"__i{a}_{b}") for a, b in up],
@@ -76,14 +117,12 @@ def propensity(df: DataFrame, keys: list[str], flag: str, covs: list[str], maxit
             F.array(*[F.col(f"__u{a}") for a in range(p)]).alias("score"),
         )
         nxt = null_safe_join(state, sums, keys, "left")
-        moved = nxt.where(F.col("info").isNotNull()).select(*keys, _newton("beta", "info", "score").alias("s")).select(*keys, "s.beta", "s.move", "s.ok")
+        moved = nxt.where(F.col("info").isNotNull()).select(*keys, _newton("beta", "info", "score").alias("__st")).select(*keys, "__st.beta", "__st.move", "__st.ok")
         kept = nxt.where(F.col("info").isNull()).select(*keys, "beta", "move", "ok")
         state = cut_lineage(moved.unionByName(kept))
         if state.where(F.col("ok") & (F.col("move") > tol)).isEmpty():
             break
-    fit = state.select(*keys, F.col("beta").alias("__beta"), F.col("ok").alias("score_ok"))
-    out = null_safe_join(std, fit, keys).withColumn("score", F.when(F.col("score_ok"), fitted(F.col("__beta"))))
-    return out.drop("__beta", *[f"__z{i}" for i in range(len(covs))])
+    return state
 
 
 # ---- full matching ---------------------------------------------------------------------
@@ -125,6 +164,7 @@ def cover_line(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
+@private_keys
 def full_matching(df: DataFrame, keys: list[str], unit: str, flag: str, score: str = "score", bundle: int = 64) -> DataFrame:
     """Optimal full matching on the scalar score: (keys, unit, set_id), every unit in one set.
 
@@ -217,6 +257,7 @@ def greedy_line(treated: np.ndarray, controls: np.ndarray, ratio: int) -> list[t
     return out
 
 
+@private_keys
 def nearest_matching(df: DataFrame, keys: list[str], unit: str, flag: str, score: str = "score", ratio: int = 1) -> DataFrame:
     """Greedy nearest neighbour without replacement, treated served in descending score.
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelweave.functions.distributions import p_normal, p_student, t_two_sided
 from panelweave.functions.labels import stars
-from panelweave.operators.prefix import null_safe_join
+from panelweave.operators.prefix import null_safe_join, private_keys
 from panelweave.session import cut_lineage
 
 # ---- meta-regression with a random cluster intercept -----------------------------------
@@ -73,6 +73,7 @@ def _search(reml: bool):
     return run
 
 
+@private_keys
 def meta_regression(
     df: DataFrame, keys: list[str], cluster: str, y: str, v: str, flag: str, method: str = "REML", p_values: bool = True
 ) -> DataFrame:
@@ -117,8 +118,9 @@ def p_with_fallback(estimate: str, se: str, df: str) -> Column:
 # ---- fixed cluster effects plus residual heterogeneity ----------------------------------
 
 
+@private_keys
 def fixed_effects(
-    df: DataFrame, keys: list[str], cluster: str, y: str, v: str, flag: str, levels: int = 6, points: int = 16, p_values: bool = True
+    df: DataFrame, keys: list[str], cluster: str, y: str, v: str, flag: str, levels: int = 4, points: int = 64, p_values: bool = True
 ) -> DataFrame:
     """y ~ 1 + flag + cluster dummies, residual variance tau2 by REML; the flag coefficient.
 
@@ -177,6 +179,7 @@ def _sym_root(m: np.ndarray, power: float) -> np.ndarray:
     return (vec[:, keep] * val[keep] ** power) @ vec[:, keep].T
 
 
+@private_keys
 def cluster_robust(df: DataFrame, keys: list[str], cluster: str, y: str, v: str, flag: str, fit: DataFrame) -> DataFrame:
     """Small-sample (bias-reduced) cluster errors with Satterthwaite degrees of freedom.
 
@@ -297,6 +300,7 @@ def _mixed_block(a: np.ndarray, b: np.ndarray, q: np.ndarray, s: np.ndarray, sy:
     return {"beta": beta, "se": np.sqrt(np.diag(cov)), "df": dof, "tau2": best * sigma2, "sigma2": sigma2}
 
 
+@private_keys
 def mixed_model(df: DataFrame, keys: list[str], cluster: str, y: str, terms: list[str], w: str = "weights", p_values: bool = True) -> DataFrame:
     """Weighted y ~ 1 + terms with a random cluster intercept, REML, one row per term.
 

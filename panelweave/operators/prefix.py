@@ -8,6 +8,8 @@ its offset. Results equal the single-window form exactly.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +23,20 @@ _LO, _HI, _B = "__lo", "__hi", "__bucket"
 TASK_ROWS = 1_000_000
 
 
+def private_keys(fn):
+    """Let a `(df, keys, ...)` operator use short column names inside: its key columns are
+    renamed on the way in (in every frame passed) and back on the way out."""
+
+    @wraps(fn)
+    def run(df: DataFrame, keys: list[str], *args, **kw) -> DataFrame:
+        names = {k: f"__key{i}" for i, k in enumerate(keys)}
+        inside = lambda a: a.withColumnsRenamed(names) if isinstance(a, DataFrame) else a
+        out = fn(inside(df), list(names.values()), *[inside(a) for a in args], **{k: inside(v) for k, v in kw.items()})
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Row count of the largest group; one small number comes back."""
     if not keys:
@@ -28,25 +44,25 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on `keys` where NULL matches NULL; the right copies of the keys are dropped."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", plain: tuple = ()) -> DataFrame:
+    """Equi-join on `keys` where NULL matches NULL; the right copies of the keys are dropped.
+
+    Keys in `plain` cannot be NULL and use ordinary equality (one sort key instead of two).
+    """
     if not keys:
         raise ValueError("null_safe_join needs at least one key")
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"__r_{k}"])
+        r = renamed[f"__r_{k}"]
+        cond = cond & ((left[k] == r) if k in plain else left[k].eqNullSafe(r))
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def with_value_bucket(df: DataFrame, keys: list[str], order: str, buckets: int = 256) -> DataFrame:
     """Add `__bucket`: equal-width bucket of numeric `order` between the group's min and max."""
     bounds = df.groupBy(*keys).agg(F.min(order).cast("double").alias(_LO), F.max(order).cast("double").alias(_HI))
-    if keys:
-        d = null_safe_join(df, bounds, keys)
-    else:
-        one = F.lit(1).alias("__one")
-        d = df.select("*", one).join(F.broadcast(bounds.select("*", one)), "__one").drop("__one")
+    d = attach_group(df, bounds, keys)
     width = F.col(_HI) - F.col(_LO)
     pos = F.when(width > 0, (F.col(order).cast("double") - F.col(_LO)) / width).otherwise(0.0)
     return d.withColumn(_B, F.least(F.floor(pos * buckets), F.lit(buckets - 1)).cast("int")).drop(_LO, _HI)
@@ -168,12 +184,16 @@ def _spread_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     return agg.select(*keys, q.alias(name))
 
 
+def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row result to every row, as a scalar subquery."""
+    cols = one_row.columns
+    d = df.withColumn("__single", one_row.select(F.struct(*cols)).scalar())
+    return d.select(*df.columns, *[F.col("__single")[c].alias(c) for c in cols])
+
+
 def attach_group(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
     """Join one-row-per-group values back to the rows (a single row when there are no keys)."""
-    if keys:
-        return null_safe_join(df, per_group, keys)
-    one = F.lit(1).alias("__one")
-    return df.select("*", one).join(F.broadcast(per_group.select("*", one)), "__one").drop("__one")
+    return null_safe_join(df, per_group, keys) if keys else attach_single(df, per_group)
 
 
 def winsorise(df: DataFrame, cols: list[str], keys: list[str] | None = None, probs=(0.01, 0.99), suffix: str = "") -> DataFrame:

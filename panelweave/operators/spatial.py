@@ -279,30 +279,33 @@ def _disc_sums(points: DataFrame, keys: list[str], radius: Column, split: int, x
         .withColumn("by", cell_of("py", F.col("rad")))
     )
     here = loc.groupBy(*key, "bx", "by").agg(F.count(F.lit(1)).alias("c"))
-    block = (
-        here.select(*key, around("bx").alias("bx"), "by", "c").select(*key, "bx", around("by").alias("by"), "c")
-        .groupBy(*key, "bx", "by")
-        .agg(F.sum("c").alias("around"))
-    )
-    block = cut_lineage(block.join(here.drop("c"), [*key, "bx", "by"], "left_semi"))
-    placed = null_safe_join(loc, block, [*key, "bx", "by"])
+    grid = ("rad", "bx", "by")
+    crowded = None
+    thin_loc = loc
+    if (here.agg(F.max("c")).first()[0] or 0) * 9 > PAIR_LIMIT:
+        block = (
+            here.select(*key, around("bx").alias("bx"), "by", "c").select(*key, "bx", around("by").alias("by"), "c")
+            .groupBy(*key, "bx", "by")
+            .agg(F.sum("c").alias("around"))
+        )
+        placed = cut_lineage(null_safe_join(loc, block, [*key, "bx", "by"], plain=grid))
+        thin_loc = placed.where(F.col("around") <= PAIR_LIMIT)
+        crowded = placed.where(F.col("around") > PAIR_LIMIT).select(*key, "px", "py")
     probe = (
-        placed.where(F.col("around") <= PAIR_LIMIT)
-        .select(*key, "px", "py", around("bx").alias("bx"), "by")
+        thin_loc.select(*key, "px", "py", around("bx").alias("bx"), "by")
         .select(*key, "px", "py", "bx", around("by").alias("by"))
     )
     other = loc.select(*key, "bx", "by", F.col("px").alias("qx"), F.col("py").alias("qy"), "m")
     dd = F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)
     thin = (
-        null_safe_join(probe, other, [*key, "bx", "by"])
+        null_safe_join(probe, other, [*key, "bx", "by"], plain=grid)
         .withColumn("dd", dd)
         .where(F.sqrt("dd") <= F.col("rad"))
         .groupBy(*key, "px", "py")
         .agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("dd")).alias("d2"))
     )
-    if block.where(F.col("around") > PAIR_LIMIT).isEmpty():
+    if crowded is None:
         return thin
-    crowded = placed.where(F.col("around") > PAIR_LIMIT).select(*key, "px", "py")
     return thin.unionByName(_crowded_sums(loc.select(*key, "px", "py", "m"), crowded, key, split))
 
 

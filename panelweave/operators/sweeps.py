@@ -6,13 +6,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.labels import significance_band
 from panelweave.functions.nulls import effective_n
 from panelweave.operators import matching as M
 from panelweave.operators import pooling as R
-from panelweave.operators.prefix import attach_group, null_safe_join
+from panelweave.operators.prefix import attach_group, attach_single, null_safe_join
 from panelweave.operators.tables import both_arms, complete_cases, drop_flagged_groups, drop_listed, top_rows, valid_units
 from panelweave.operators.trends import huber_trends, unit_trends
 
@@ -39,9 +40,8 @@ def leave_one_group_out(units: DataFrame, group: str, flag: str) -> DataFrame:
 
     The group list is one small row; each unit is repeated for the groups it is not in.
     """
-    one = F.lit(1).alias("__one")
-    groups = both_arms(units, group, F.col(flag).cast("boolean")).agg(F.collect_set(group).alias("__gs")).select("__gs", one)
-    d = units.select("*", one).join(F.broadcast(groups), "__one").drop("__one")
+    groups = both_arms(units, group, F.col(flag).cast("boolean")).agg(F.collect_set(group).alias("__gs"))
+    d = attach_single(units, groups)
     return d.withColumn("drop", F.explode(F.filter("__gs", lambda g: ~g.eqNullSafe(F.col(group))))).drop("__gs")
 
 
@@ -55,8 +55,6 @@ def leave_k_out(units: DataFrame, name: str, row_id: str, flag: str, ks: list[in
     treated = units.where(F.col(flag).cast("boolean")).select(name, row_id, F.explode(specs).alias("s")).select(name, row_id, "s.k", "s.iter")
     h = F.xxhash64(F.lit(seed), F.col("k"), F.col("iter"), F.col(row_id))
     drawn = top_rows(treated.withColumn("__h", h), ["k", "iter"], [F.col("__h"), F.col(row_id)], max(ks))
-    from pyspark.sql import Window as W
-
     drawn = (
         drawn.withColumn("__r", F.row_number().over(W.partitionBy("k", "iter").orderBy("__h", row_id)))
         .where(F.col("__r") <= F.col("k"))
@@ -153,9 +151,8 @@ def control_set_sweep(
     cols = list(dict.fromkeys([unit, cluster, arm, outcome, *covs, *regressors]))
     d = complete_cases(data.select(*cols), cols)
     ids = sets.select("sample_id").distinct()
-    one = F.lit(1).alias("__one")
-    samples = ids.agg(F.collect_set("sample_id").alias("__ids")).select("__ids", one)  # sample numbers only
-    treated = d.where(F.col(arm)).select("*", one).join(F.broadcast(samples), "__one").withColumn("sample_id", F.explode("__ids")).drop("__one", "__ids")
+    samples = ids.agg(F.collect_set("sample_id").alias("__ids"))  # sample numbers only
+    treated = attach_single(d.where(F.col(arm)), samples).withColumn("sample_id", F.explode("__ids")).drop("__ids")
     controls = d.where(~F.col(arm)).join(sets.select("sample_id", unit), unit)
     work = treated.unionByName(controls)
     key = ["sample_id"]

@@ -119,18 +119,18 @@ def _fe_sql() -> str:
         "sp AS (SELECT var_pop(y) AS spread FROM src)",
         "g0 AS (SELECT 0.0 AS t, 0.0 AS lo, spread * pow(2.0, -24) AS hi FROM sp UNION ALL SELECT spread * pow(2.0, i), CASE WHEN i = -24 THEN 0.0 ELSE spread * pow(2.0, i - 1) END, spread * pow(2.0, least(i + 1, 8)) FROM sp, (SELECT unnest(range(-24, 9)) AS i))",
     ]
-    for i in range(7):
+    for i in range(5):
         out.append(f"""p{i} AS (SELECT t, any_value(lo) AS lo, any_value(hi) AS hi, g, sum(1 / (v + t)) AS w, sum(x / (v + t)) AS wx, sum(y / (v + t)) AS wy, sum(x * x / (v + t)) AS wxx, sum(x * y / (v + t)) AS wxy, sum(y * y / (v + t)) AS wyy, sum(-ln(v + t)) AS lw FROM g{i}, src GROUP BY t, g)""")
         out.append(f"t{i} AS (SELECT t, any_value(lo) AS lo, any_value(hi) AS hi, sum(wxx - wx * wx / w) AS s, sum(wxy - wx * wy / w) AS c, sum(wyy - wy * wy / w) AS q, sum(lw) AS lw, sum(ln(w)) AS lg FROM p{i} GROUP BY t)")
         out.append(f"b{i} AS MATERIALIZED (SELECT arg_min(t, d) AS t, arg_min(lo, d) AS lo, arg_min(hi, d) AS hi, arg_min(c, d) AS c, arg_min(s, d) AS s FROM (SELECT *, -lw + lg + ln(s) + q - c * c / s AS d FROM t{i}))")
-        if i < 6:
-            out.append(f"g{i + 1} AS (SELECT b.lo + (b.hi - b.lo) * i / 16 AS t, b.lo + (b.hi - b.lo) * greatest(i - 1, 0) / 16 AS lo, b.lo + (b.hi - b.lo) * least(i + 1, 16) / 16 AS hi FROM b{i} b, (SELECT unnest(range(17)) AS i))")
+        if i < 4:
+            out.append(f"g{i + 1} AS (SELECT b.lo + (b.hi - b.lo) * i / 64 AS t, b.lo + (b.hi - b.lo) * greatest(i - 1, 0) / 64 AS lo, b.lo + (b.hi - b.lo) * least(i + 1, 64) / 64 AS hi FROM b{i} b, (SELECT unnest(range(65)) AS i))")
     return ",\n".join(out)
 
 
 @query(
     "country_fixed_effects",
-    f"WITH {_PANEL}, {_WINS}, src AS (SELECT cc AS g, CAST(TB AS DOUBLE) AS x, beta_1 AS y, v1 AS v FROM w), {_fe_sql()} SELECT 1 AS outcome, 'TB' AS term, round(c / s, 3) + 0.0 AS estimate, round(1 / sqrt(s), 3) AS se FROM b6",
+    f"WITH {_PANEL}, {_WINS}, src AS (SELECT cc AS g, CAST(TB AS DOUBLE) AS x, beta_1 AS y, v1 AS v FROM w), {_fe_sql()} SELECT 1 AS outcome, 'TB' AS term, round(c / s, 3) + 0.0 AS estimate, round(1 / sqrt(s), 3) AS se FROM b4",
 )
 def country_fixed_effects(spark, d):
     s = matching.sampling_variances(panel(spark, d), [], None).withColumn("outcome", F.lit(1))
