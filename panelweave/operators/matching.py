@@ -135,21 +135,26 @@ def cover_line(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     covered otherwise are dropped, so every set has one end of degree one side.
     """
     n, m = len(a), len(b)
-    best = np.full((n + 1, m + 1), np.inf)
-    best[0, 0] = 0.0
-    for i in range(1, n + 1):
-        cost = np.abs(a[i - 1] - b)
-        up = np.minimum(best[i - 1, 1:], best[i - 1, :-1])
-        row = best[i]
+    came = np.zeros((n, m), np.int8)  # 0: from (i-1, j-1), 1: from (i-1, j), 2: from (i, j-1)
+    prev = np.full(m + 1, np.inf)
+    prev[0] = 0.0
+    for i in range(n):
+        cost = np.abs(a[i] - b)
+        best, way = np.minimum(prev[:-1], prev[1:]), (prev[1:] < prev[:-1]).astype(np.int8)
+        row = np.full(m + 1, np.inf)
         left = np.inf
         for j in range(m):
-            left = cost[j] + (up[j] if up[j] <= left else left)
+            if left < best[j]:
+                way[j], left = 2, left + cost[j]
+            else:
+                left = best[j] + cost[j]
             row[j + 1] = left
-    links, i, j = [], n, m
-    while i > 0 and j > 0:
-        links.append((i - 1, j - 1))
-        options = ((best[i - 1, j - 1], i - 1, j - 1), (best[i - 1, j], i - 1, j), (best[i, j - 1], i, j - 1))
-        _, i, j = min(options, key=lambda o: o[0])
+        came[i], prev = way, row
+    links, i, j = [], n - 1, m - 1
+    while i >= 0 and j >= 0:
+        links.append((i, j))
+        step = came[i, j]
+        i, j = i - (step != 2), j - (step != 1)
     deg_a, deg_b = np.zeros(n, int), np.zeros(m, int)
     for p, q in links:
         deg_a[p] += 1

@@ -196,6 +196,28 @@ def attach_group(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFr
     return null_safe_join(df, per_group, keys) if keys else attach_single(df, per_group)
 
 
+# Rows of a per-group table that may be broadcast, and the spread of a crowded key beyond that.
+BROADCAST_ROWS = 500_000
+SALTS = 32
+
+
+def attach_units(rows: DataFrame, per_group: DataFrame, keys: list[str], written: bool = False) -> DataFrame:
+    """`attach_group` for row tables with crowded keys.
+
+    The per-group table is written first, so its size is known: up to BROADCAST_ROWS rows it is
+    broadcast and the rows are not shuffled at all; beyond that both sides carry a salt and a
+    key holding a large share of the rows is spread over SALTS tasks.
+    """
+    if not keys:
+        return attach_single(rows, per_group)
+    per = per_group if written else cut_lineage(per_group)
+    if per.count() <= BROADCAST_ROWS:
+        return null_safe_join(rows, F.broadcast(per), keys)
+    left = rows.withColumn("__salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    right = per.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return null_safe_join(left, right, [*keys, "__salt"], plain=("__salt",)).drop("__salt")
+
+
 def winsorise(df: DataFrame, cols: list[str], keys: list[str] | None = None, probs=(0.01, 0.99), suffix: str = "") -> DataFrame:
     """Pull values outside the two group quantiles back to them."""
     keys = list(keys or [])

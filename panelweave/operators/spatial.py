@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.operators.prefix import attach_group, exact_quantiles, null_safe_join
+from panelweave.operators.prefix import attach_group, attach_units, exact_quantiles
 from panelweave.session import cut_lineage
 
 
@@ -264,55 +264,62 @@ def lookalike_candidates(
 PAIR_LIMIT = 512
 
 
-def _disc_sums(points: DataFrame, keys: list[str], radius: Column, split: int, x: str, y: str) -> DataFrame:
+def _numbered(points: DataFrame, keys: list[str], radius: Column) -> DataFrame:
+    """Points with `rad` and `gid`, a number standing for (keys, rad) in the joins below."""
+    d = points.withColumn("rad", radius)
+    ks = [*keys, "rad"]
+    groups = cut_lineage(d.select(*ks).distinct().withColumn("gid", F.monotonically_increasing_id()))
+    return attach_units(d, groups, ks, written=True)
+
+
+def _disc_sums(points: DataFrame, split: int, x: str, y: str) -> DataFrame:
     """Per distinct location: n and the sum of squared distances over the points within the radius.
 
     Equal locations are merged first. Where the 3x3 block of radius-sized cells around a
     location is thinly filled its locations are compared one by one; in crowded places
-    whole cells are added up instead. Both ways are exact.
+    whole cells are added up instead. Both ways are exact. `points` carry gid and rad.
     """
-    key = [*keys, "rad"]
     loc = cut_lineage(
-        points.groupBy(*keys, F.col(x).alias("px"), F.col(y).alias("py"), radius.alias("rad"))
-        .agg(F.count(F.lit(1)).alias("m"))
+        points.groupBy("gid", F.col(x).alias("px"), F.col(y).alias("py"))
+        .agg(F.count(F.lit(1)).alias("m"), F.first("rad").alias("rad"))
         .withColumn("bx", cell_of("px", F.col("rad")))
         .withColumn("by", cell_of("py", F.col("rad")))
     )
-    here = loc.groupBy(*key, "bx", "by").agg(F.count(F.lit(1)).alias("c"))
-    grid = ("rad", "bx", "by")
+    grid = ["gid", "bx", "by"]
+    here = loc.groupBy(*grid).agg(F.count(F.lit(1)).alias("c"))
     crowded = None
     thin_loc = loc
     if (here.agg(F.max("c")).first()[0] or 0) * 9 > PAIR_LIMIT:
         block = (
-            here.select(*key, around("bx").alias("bx"), "by", "c").select(*key, "bx", around("by").alias("by"), "c")
-            .groupBy(*key, "bx", "by")
+            here.select("gid", around("bx").alias("bx"), "by", "c").select("gid", "bx", around("by").alias("by"), "c")
+            .groupBy(*grid)
             .agg(F.sum("c").alias("around"))
         )
-        placed = cut_lineage(null_safe_join(loc, block, [*key, "bx", "by"], plain=grid))
+        placed = cut_lineage(loc.join(block, grid))
         thin_loc = placed.where(F.col("around") <= PAIR_LIMIT)
-        crowded = placed.where(F.col("around") > PAIR_LIMIT).select(*key, "px", "py")
-    probe = (
-        thin_loc.select(*key, "px", "py", around("bx").alias("bx"), "by")
-        .select(*key, "px", "py", "bx", around("by").alias("by"))
+        crowded = placed.where(F.col("around") > PAIR_LIMIT).select("gid", "rad", "px", "py")
+    probe = thin_loc.select("gid", "rad", "px", "py", around("bx").alias("bx"), "by").select(
+        "gid", "rad", "px", "py", "bx", around("by").alias("by")
     )
-    other = loc.select(*key, "bx", "by", F.col("px").alias("qx"), F.col("py").alias("qy"), "m")
+    other = loc.select(*grid, F.col("px").alias("qx"), F.col("py").alias("qy"), "m")
     dd = F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)
     thin = (
-        null_safe_join(probe, other, [*key, "bx", "by"], plain=grid)
+        probe.join(other, grid)
         .withColumn("dd", dd)
         .where(F.sqrt("dd") <= F.col("rad"))
-        .groupBy(*key, "px", "py")
+        .groupBy("gid", "px", "py")
         .agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("dd")).alias("d2"))
     )
     if crowded is None:
         return thin
-    return thin.unionByName(_crowded_sums(loc.select(*key, "px", "py", "m"), crowded, key, split))
+    return thin.unionByName(_crowded_sums(loc.select("gid", "rad", "px", "py", "m"), crowded, split))
 
 
-def _crowded_sums(loc: DataFrame, wanted: DataFrame, key: list[str], split: int) -> DataFrame:
+def _crowded_sums(loc: DataFrame, wanted: DataFrame, split: int) -> DataFrame:
     """Disc sums by cells of radius/split: a cell wholly inside the disc gives its totals
     without touching its points, and only cells cut by the circle are joined point by point.
     Coordinates inside a cell are kept relative to its corner."""
+    key = ["gid", "rad"]
     g = F.col("rad") / split
     wanted = wanted.withColumn("gx", cell_of("px", g)).withColumn("gy", cell_of("py", g))
     loc = loc.withColumn("gx", cell_of("px", g)).withColumn("gy", cell_of("py", g))
@@ -335,7 +342,7 @@ def _crowded_sums(loc: DataFrame, wanted: DataFrame, key: list[str], split: int)
     # cells holding data decide which neighbour cells exist: join cell to cell, not point to cell
     homes = wanted.select(*key, "gx", "gy").distinct().withColumn("o", F.explode(grid))
     homes = homes.select(*key, F.col("gx").alias("hx"), F.col("gy").alias("hy"), (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
-    links = null_safe_join(homes, cells, [*key, "gx", "gy"])
+    links = homes.join(cells, [*key, "gx", "gy"])
     src = wanted.select(*key, "px", "py", F.col("gx").alias("hx"), F.col("gy").alias("hy"))
     ox, oy = F.col("gx") * g, F.col("gy") * g
     far_x = F.greatest(F.abs(F.col("px") - ox), F.abs(F.col("px") - (ox + g)))
@@ -345,7 +352,7 @@ def _crowded_sums(loc: DataFrame, wanted: DataFrame, key: list[str], split: int)
     # a hair of slack keeps borderline cells on the exact point-by-point side
     inside = far_x * far_x + far_y * far_y <= F.col("rad") * F.col("rad") * (1 - 1e-12)
     outside = near_x * near_x + near_y * near_y > F.col("rad") * F.col("rad") * (1 + 1e-12)
-    seen = null_safe_join(src, links, [*key, "hx", "hy"]).where(~outside).withColumn("inside", inside)
+    seen = src.join(links, [*key, "hx", "hy"]).where(~outside).withColumn("inside", inside)
     ax, ay = F.col("px") - ox, F.col("py") - oy
     whole = seen.where("inside").select(
         *key,
@@ -357,23 +364,23 @@ def _crowded_sums(loc: DataFrame, wanted: DataFrame, key: list[str], split: int)
     other = loc.select(*key, "gx", "gy", F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("m"))
     dd = F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)
     cut = (
-        null_safe_join(seen.where(~F.col("inside")).select(*key, "px", "py", "gx", "gy"), other, [*key, "gx", "gy"])
+        seen.where(~F.col("inside"))
+        .select(*key, "px", "py", "gx", "gy")
+        .join(other, [*key, "gx", "gy"])
         .withColumn("dd", dd)
         .where(F.sqrt("dd") <= F.col("rad"))
         .select(*key, "px", "py", F.col("m").alias("n"), (F.col("m") * F.col("dd")).alias("d2"))
     )
-    return whole.unionByName(cut).groupBy(*key, "px", "py").agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"))
+    return whole.unionByName(cut).groupBy("gid", "px", "py").agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"))
 
 
 def neighbours_within(
     points: DataFrame, keys: list[str], radius: float | Column, name: str = "n_within", split: int = 3, x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Number of points of the same group within `radius`, the point itself included."""
-    r = radius if isinstance(radius, Column) else F.lit(float(radius))
-    sums = _disc_sums(points, keys, r, split, x, y).select(
-        *keys, F.col("px").alias(x), F.col("py").alias(y), F.col("n").cast("long").alias(name)
-    )
-    return null_safe_join(points, sums, [*keys, x, y])
+    d = _numbered(points, keys, radius if isinstance(radius, Column) else F.lit(float(radius)))
+    sums = _disc_sums(d, split, x, y).select("gid", F.col("px").alias(x), F.col("py").alias(y), F.col("n").cast("long").alias(name))
+    return d.join(sums, ["gid", x, y]).select(*points.columns, name)
 
 
 def kernel_density(
@@ -392,28 +399,25 @@ def kernel_density(
     distinct locations up to 9 bandwidths; what lies beyond weighs below 3e-18 of the point
     itself per neighbour, under the rounding of a double.
     """
-    r = radius if isinstance(radius, Column) else F.lit(float(radius))
+    d = _numbered(points, keys, radius if isinstance(radius, Column) else F.lit(float(radius)))
+    rr = F.col("rad") * F.col("rad")
     if kernel == "epanechnikov":
-        sums = _disc_sums(points, keys, r, split, x, y)
-        rr = F.col("rad") * F.col("rad")
+        sums = _disc_sums(d, split, x, y).select("gid", F.col("px").alias(x), F.col("py").alias(y), "n", "d2")
         dens = (0.75 * (F.col("n") - F.col("d2") / rr) / (math.pi * rr)).alias(name)
-        out = sums.select(*keys, F.col("px").alias(x), F.col("py").alias(y), dens)
-        return null_safe_join(points, out, [*keys, x, y])
-    loc = points.groupBy(*keys, F.col(x).alias("px"), F.col(y).alias("py"), r.alias("rad")).agg(F.count(F.lit(1)).alias("m"))
-    reach = F.col("rad") * 9
-    key = [*keys, "rad"]
-    a = loc.select(*key, "px", "py", cell_of("px", reach).alias("gx"), cell_of("py", reach).alias("gy"))
-    probe = a.withColumn("gx", around("gx")).withColumn("gy", around("gy"))
-    b = loc.select(
-        *key, F.col("px").alias("qx"), F.col("py").alias("qy"), "m", cell_of("px", reach).alias("gx"), cell_of("py", reach).alias("gy")
+        return d.join(sums, ["gid", x, y]).select(*points.columns, dens)
+    loc = cut_lineage(
+        d.groupBy("gid", F.col(x).alias("px"), F.col(y).alias("py")).agg(F.count(F.lit(1)).alias("m"), F.first("rad").alias("rad"))
     )
-    u2 = (F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)) / (F.col("rad") * F.col("rad"))
-    dens = (
-        null_safe_join(probe, b, [*key, "gx", "gy"])
-        .groupBy(*key, "px", "py")
-        .agg((F.sum(F.col("m") * F.exp(u2 * -0.5)) / (2 * math.pi * F.first("rad") * F.first("rad"))).alias(name))
+    reach = F.col("rad") * 9
+    cell = [cell_of("px", reach).alias("gx"), cell_of("py", reach).alias("gy")]
+    probe = loc.select("gid", "rad", "px", "py", *cell)
+    probe = probe.withColumn("gx", around("gx")).withColumn("gy", around("gy"))
+    other = loc.select("gid", F.col("px").alias("qx"), F.col("py").alias("qy"), "m", *cell)
+    u2 = (F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)) / rr
+    sums = probe.join(other, ["gid", "gx", "gy"]).groupBy("gid", F.col("px").alias(x), F.col("py").alias(y)).agg(
+        F.sum(F.col("m") * F.exp(u2 * -0.5)).alias("k")
     )
-    return null_safe_join(points, dens.select(*keys, F.col("px").alias(x), F.col("py").alias(y), name), [*keys, x, y])
+    return d.join(sums, ["gid", x, y]).select(*points.columns, (F.col("k") / (2 * math.pi * rr)).alias(name))
 
 
 def decluster_weights(
@@ -445,8 +449,8 @@ def decluster_weights(
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     qs = exact_quantiles(d, keys, "__w", [cap], name="__q")
     caps = attach_group(qs.withColumn("__cap", F.col("__q")[0]).drop("__q"), sizes, keys)
-    d = attach_group(d, caps, keys).withColumn("__w", F.least("__w", "__cap"))
+    d = attach_units(d, caps, keys).withColumn("__w", F.least("__w", "__cap"))
     means = d.groupBy(*keys).agg(F.avg("__w").alias("__m"))
-    d = attach_group(d, means, keys)
+    d = attach_units(d, means, keys)
     d = d.withColumn(name, F.when(F.col("__n") < 3, 1.0).otherwise(F.col("__w") / F.col("__m")))
     return d.drop("__w", "__cap", "__n", "__m").unionByName(flat.withColumn(name, F.lit(1.0)))

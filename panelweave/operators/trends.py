@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from panelweave.functions.distributions import p_student
-from panelweave.operators.prefix import exact_quantiles, null_safe_join
+from panelweave.operators.prefix import attach_units, exact_quantiles, null_safe_join
 from panelweave.session import cut_lineage
 
 # Leverage counted as one, Huber tuning constant, scale constant, step tolerance.
@@ -46,7 +46,7 @@ def unit_trends(df: DataFrame, keys: list[str], y: str, x: str, w: str | None =
         ]
     per = rows.groupBy(*keys).agg(n.alias("n"), *first, F.min(X).alias("__mn"), F.max(X).alias("__mx"))
     per = per.withColumn("__b1", F.when(F.col("__mx") > F.col("__mn"), F.col("__sxy") / F.col("__sxx")))
-    j = null_safe_join(rows, per, keys)
+    j = attach_units(rows, per, keys)
     e0, h0 = Y - F.col("__yb"), Wt / F.col("__sw")
     dx = X - F.col("__xb")
     e1, h1 = e0 - F.col("__b1") * dx, Wt * (1 / F.col("__sw") + F.try_divide(dx * dx, F.col("__sxx")))
@@ -175,7 +175,8 @@ def _prepare(df: DataFrame, keys: list[str], y: str, x: str, covs: list[str], w:
     )
     for c in names:
         stats = stats.withColumn(f"{c}_on", F.coalesce(F.col(f"{c}_on"), F.lit(False)))
-    j = null_safe_join(base, stats, keys)
+    stats = cut_lineage(stats)
+    j = attach_units(base, stats, keys, written=True)
     for c in names[1:]:
         j = j.where(~F.col(f"{c}_on") | F.col(c).isNotNull())
     for c in names:
@@ -209,7 +210,7 @@ def covariate_trends(df: DataFrame, keys: list[str], y: str, x: str, covs: list[
             F.array(*[_dot(pick, F.col("ginv"), i * p) for i in range(p)]).alias("__g"),
             ((F.lit(True) if tag == "0" else F.col("__x_on") & (F.col("ginv")[p + 1] > 0))).alias("__ok"),
         )
-        j = null_safe_join(rows, fit, keys)
+        j = attach_units(rows, fit, keys)
         e = F.col("__y") - _dot(z, F.col("beta"))
         h = F.col("__w") * _dot([_dot(z, F.col("ginv"), i * p) for i in range(p)], F.array(*z))
         j = j.withColumn("__h", h).withColumn("__m", F.col("__w") * e * _dot(z, F.col("__g")))
@@ -248,7 +249,7 @@ def distinct_x_guard(df: DataFrame, keys: list[str], y: str, x: str) -> DataFram
     d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"))
     ends = d.groupBy(*keys).agg(F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
     inner = (F.col("__x") > F.col("__mn")) & (F.col("__x") < F.col("__mx"))
-    g = null_safe_join(d, ends, keys).groupBy(*keys).agg(
+    g = attach_units(d, ends, keys).groupBy(*keys).agg(
         F.min(F.when(inner, F.col("__x"))).alias("a"), F.max(F.when(inner, F.col("__x"))).alias("b")
     )
     return g.select(*keys, (F.col("a").isNull() | (F.col("a") == F.col("b"))).alias("few_x"))
@@ -308,7 +309,8 @@ def huber_trends(
     covs = list(covs or [])
     rows, stats = _prepare(df, keys, y, x, covs, None)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    sized = null_safe_join(rows, sizes, keys)
+    sizes = cut_lineage(sizes)
+    sized = attach_units(rows, sizes, keys, written=True)
     cs = [f"__c{i}" for i in range(len(covs))]
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
 
@@ -372,17 +374,17 @@ def _huber_distributed(rows: DataFrame, stats: DataFrame, keys: list[str], cs: l
             live = state.where(~F.col("done"))
             if live.isEmpty():
                 break
-            j = null_safe_join(rows, live.select(*keys, "beta"), keys).withColumn("__r", F.col("__y") - _dot(z, F.col("beta")))
+            j = attach_units(rows, live.select(*keys, "beta"), keys, written=True).withColumn("__r", F.col("__y") - _dot(z, F.col("beta")))
             med = exact_quantiles(j.withColumn("__ar", F.abs("__r")), keys, "__ar", [0.5]).select(
                 *keys, (F.col("q")[0] / MAD_SCALE).alias("__s")
             )
-            j = null_safe_join(j, med, keys)
+            j = attach_units(j, med, keys)
             wt = F.when(F.col("__s") > 0, F.least(F.lit(1.0), F.try_divide(F.lit(HUBER_K) * F.col("__s"), F.abs("__r")))).otherwise(1.0)
             fit = moment_fit(j.withColumn("__hw", F.coalesce(wt, F.lit(1.0))), keys, z, F.col("__y"), F.col("__hw")).select(
                 *keys, F.col("beta").alias("__nb")
             )
             step = null_safe_join(null_safe_join(live.drop("used", "scale"), med, keys), fit, keys)
-            gap = null_safe_join(
+            gap = attach_units(
                 rows, step.select(*keys, "beta", "__nb"), keys
             ).groupBy(*keys).agg(
                 F.sum(F.pow(_dot(z, F.col("__nb")) - _dot(z, F.col("beta")), 2)).alias("__d"),
@@ -400,7 +402,7 @@ def _huber_distributed(rows: DataFrame, stats: DataFrame, keys: list[str], cs: l
                 (flat | close).alias("conv"),
             )
             state = cut_lineage(state.where("done").unionByName(new))
-        j = null_safe_join(rows, state, keys)
+        j = attach_units(rows, state, keys, written=True)
         r_new, r_old = F.col("__y") - _dot(z, F.col("beta")), F.col("__y") - _dot(z, F.col("used"))
         wt = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.lit(HUBER_K) * F.col("scale"), F.abs(r_old))), F.lit(1.0))
         sums = j.groupBy(*keys).agg(

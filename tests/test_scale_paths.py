@@ -140,3 +140,13 @@ def test_nearest_both_ways(spark, monkeypatch):
                     free.pop(c)
                     want.append((s, r.u, c, p))
     assert small == sorted(want)
+
+
+def test_salted_attach(spark, monkeypatch):
+    df = units(spark)
+    plain = {r.g: r for r in trends.unit_trends(df, ["g"], "y", "x").collect()}
+    monkeypatch.setattr(prefix, "BROADCAST_ROWS", 0)
+    salted = {r.g: r for r in trends.unit_trends(df, ["g"], "y", "x").collect()}
+    assert plain.keys() == salted.keys()
+    for g in (1, 2, 3):
+        assert salted[g].se_1 == pytest.approx(plain[g].se_1) and salted[g].n == plain[g].n
