@@ -1,9 +1,8 @@
 """Ordered scans and exact quantiles for groups of any size.
 
 Groups small enough for one task (checked by count) use Spark's own window or `percentile`.
-Beyond that a scan is split in two: rows fall into value buckets by a monotone rule, each
-bucket is scanned on its own, and the (few) bucket totals are scanned to give every bucket
-its offset. Results equal the single-window form exactly.
+Beyond that rows are dealt by ranges of the full sort key, each range is scanned on its own,
+and the (few) range totals are scanned to give every range its offset. Both ways sort alike.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.nulls import as_col
 from panelweave.session import cut_lineage
 
-_LO, _HI, _B = "__lo", "__hi", "__bucket"
+_B = "__range"
 
 # Rows of one group a single task may sort or keep distinct values of.
 TASK_ROWS = 1_000_000
@@ -59,13 +58,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def with_value_bucket(df: DataFrame, keys: list[str], order: str, buckets: int = 256) -> DataFrame:
-    """Add `__bucket`: equal-width bucket of numeric `order` between the group's min and max."""
-    bounds = df.groupBy(*keys).agg(F.min(order).cast("double").alias(_LO), F.max(order).cast("double").alias(_HI))
-    d = attach_group(df, bounds, keys)
-    width = F.col(_HI) - F.col(_LO)
-    pos = F.when(width > 0, (F.col(order).cast("double") - F.col(_LO)) / width).otherwise(0.0)
-    return d.withColumn(_B, F.least(F.floor(pos * buckets), F.lit(buckets - 1)).cast("int")).drop(_LO, _HI)
+_FNS = {"sum": F.sum, "max": F.max, "min": F.min}
+_FRAMES = {"upto": (W.unboundedPreceding, 0), "before": (W.unboundedPreceding, -1), "from": (0, W.unboundedFollowing)}
 
 
 def scan(
@@ -75,7 +69,6 @@ def scan(
     ties: list[str],
     items: dict[str, tuple],
     descending: bool = False,
-    buckets: int = 256,
     group_rows: int | None = None,
 ) -> DataFrame:
     """Running aggregates along (order, ties) in each group.
@@ -83,50 +76,37 @@ def scan(
     `items` maps a new column to (fn, value, side) with fn one of sum/max/min and side
     `upto` (rows up to and including this one), `before` (rows before it) or `from` (this
     one and all later rows). `group_rows` is the size of the largest group if already known.
+    Both ways below sort by the same columns of any type, NULL first (last if descending).
     """
-    fns = {"sum": F.sum, "max": F.max, "min": F.min}
-    frames = {"upto": (W.unboundedPreceding, 0), "before": (W.unboundedPreceding, -1), "from": (0, W.unboundedFollowing)}
-    oo = F.col(order).desc() if descending else F.col(order).asc()
-    ordered = [oo, *[F.col(t).asc() for t in ties]]
+    ordered = [F.col(order).desc() if descending else F.col(order).asc(), *[F.col(t).asc() for t in ties]]
     if (largest_group(df, keys) if group_rows is None else group_rows) <= TASK_ROWS:
         w = W.partitionBy(*keys).orderBy(*ordered)
-        return df.select("*", *[fns[fn](v).over(w.rowsBetween(*frames[side])).alias(n) for n, (fn, v, side) in items.items()])
-    d = df
-    for i, (_, value, _) in enumerate(items.values()):
-        d = d.withColumn(f"__v{i}", value)
-    d = with_value_bucket(d, keys, order, buckets)
-    specs = [(i, fns[fn], fn, side) for i, (fn, _, side) in enumerate(items.values())]
-    ob = F.col(_B).desc() if descending else F.col(_B).asc()
-    across = W.partitionBy(*keys).orderBy(ob)
+        return df.select("*", *[_FNS[fn](v).over(w.rowsBetween(*_FRAMES[side])).alias(n) for n, (fn, v, side) in items.items()])
+    return spread_scan(df, keys, ordered, items)
+
+
+def spread_scan(df: DataFrame, keys: list[str], ordered: list[Column], items: dict[str, tuple], partitions: int | None = None) -> DataFrame:
+    """`scan` for groups of any size, without counting them first.
+
+    Rows are dealt by ranges of (keys, order) and written, which fixes who lies where. Each
+    (group, range) is scanned on its own. Only the first and last group of a range can go on in
+    another one, so at most two carried values per range are added by a broadcast join.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    specs = [(i, name, fn, side) for i, (name, (fn, _, side)) in enumerate(items.items())]
+    d = df.select("*", *[v.alias(f"__v{i}") for i, (_, v, _) in enumerate(items.values())])
+    d = cut_lineage(d.repartitionByRange(n, *[F.col(k).asc() for k in keys], *ordered).withColumn(_B, F.spark_partition_id()))
+    totals = d.groupBy(*keys, _B).agg(*[_FNS[fn](f"__v{i}").alias(f"__t{i}") for i, _, fn, _ in specs])
+    across = W.partitionBy(*keys).orderBy(_B)  # a row per range that the group reaches
+    sides = {"from": across.rowsBetween(1, W.unboundedFollowing)}
+    carried = [_FNS[fn](f"__t{i}").over(sides.get(side, across.rowsBetween(W.unboundedPreceding, -1))).alias(f"__o{i}") for i, _, fn, side in specs]
+    carry = totals.select(*keys, _B, F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("__ranges"), *carried).where("__ranges > 1").drop("__ranges")
     inside = W.partitionBy(*keys, _B).orderBy(*ordered)
-    totals = d.groupBy(*keys, _B).agg(*[f(f"__v{i}").alias(f"__t{i}") for i, f, _, _ in specs])
-    # at most `buckets` rows per group from here on
-    carry = totals.select(
-        *keys,
-        _B,
-        *[
-            f(f"__t{i}")
-            .over(
-                across.rowsBetween(1, W.unboundedFollowing) if side == "from" else across.rowsBetween(W.unboundedPreceding, -1)
-            )
-            .alias(f"__o{i}")
-            for i, f, _, side in specs
-        ],
-    )
-    d = d.select(
-        "*",
-        *[
-            f(f"__v{i}")
-            .over(inside.rowsBetween(*frames[side]))
-            .alias(f"__i{i}")
-            for i, f, _, side in specs
-        ],
-    )
-    out = null_safe_join(d, carry, [*keys, _B])
+    d = d.select("*", *[_FNS[fn](f"__v{i}").over(inside.rowsBetween(*_FRAMES[side])).alias(f"__i{i}") for i, _, fn, side in specs])
+    out = null_safe_join(d, F.broadcast(carry), [*keys, _B], "left", plain=(_B,))
     joined = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}
-    for (name, _), (i, _, fn, _) in zip(items.items(), specs):
-        out = out.withColumn(name, joined[fn](F.col(f"__i{i}"), F.col(f"__o{i}")))
-    return out.drop(_B, *[f"__{p}{i}" for p in "vio" for i in range(len(specs))])
+    new = [joined[fn](F.col(f"__i{i}"), F.col(f"__o{i}")).alias(name) for i, name, fn, _ in specs]
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in items], *new)
 
 
 def running_total(
@@ -146,7 +126,6 @@ def exact_quantiles(
     keys: list[str],
     value: str,
     probs: list[float],
-    buckets: int = 256,
     name: str = "q",
     group_rows: int | None = None,
 ) -> DataFrame:
@@ -154,34 +133,26 @@ def exact_quantiles(
     d = df.where(F.col(value).isNotNull())
     if (largest_group(d, keys) if group_rows is None else group_rows) <= TASK_ROWS:
         return d.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(name))
-    return _spread_quantiles(d, keys, value, probs, buckets, name)
+    return _spread_quantiles(d, keys, value, probs, name)
 
 
-def _spread_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], buckets: int, name: str) -> DataFrame:
+def _spread_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], name: str) -> DataFrame:
     """Distinct values are counted first (copies collapse map-side) and stored once; cumulative
-    counts then locate the two order statistics each quantile interpolates between."""
+    counts then locate the two order statistics each quantile interpolates between. Positions
+    and weights are those of Spark's `percentile`."""
     d = cut_lineage(df.groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__c")))
-    c = scan(d, keys, "__x", [], {"__last": ("sum", F.col("__c"), "upto")}, buckets=buckets, group_rows=TASK_ROWS + 1)
+    c = spread_scan(d, keys, [F.col("__x")], {"__last": ("sum", F.col("__c"), "upto")})
     ranked = attach_group(c, d.groupBy(*keys).agg(F.sum("__c").alias("__n")), keys)
-    parts = []
+    at = lambda p: (F.col("__n") - 1) * F.lit(float(p))
+    # `__last` copies are at or below a value, so it holds positions last - c .. last - 1
+    holds = lambda r: (F.col("__last") > r) & (F.col("__last") - F.col("__c") <= r)
+    parts = [F.max("__n").alias("__n")]
     for i, p in enumerate(probs):
-        h = (F.col("__n") - 1) * F.lit(float(p)) + 1
-        lo, hi = F.floor(h + 1e-9), F.ceil(h - 1e-9)
-        # `__last` is the rank of the last copy of a value, the first copy is at last - c + 1
-        holds = lambda r: (F.col("__last") >= r) & (F.col("__last") - F.col("__c") + 1 <= r)
-        parts += [
-            F.max(F.when(holds(lo), F.col("__x"))).alias(f"__a{i}"),
-            F.max(F.when(holds(hi), F.col("__x"))).alias(f"__b{i}"),
-            F.max(F.when(holds(lo), F.greatest(h - lo, F.lit(0.0)))).alias(f"__f{i}"),
-        ]
-    agg = ranked.groupBy(*keys).agg(*parts)
-    q = F.array(
-        *[
-            F.col(f"__a{i}") + F.when(F.col(f"__f{i}") > 1e-9, F.col(f"__f{i}") * (F.col(f"__b{i}") - F.col(f"__a{i}"))).otherwise(0.0)
-            for i in range(len(probs))
-        ]
+        parts += [F.max(F.when(holds(f(at(p))), F.col("__x"))).alias(f"__{a}{i}") for a, f in (("a", F.floor), ("b", F.ceil))]
+    one = lambda i, p: F.when(F.col(f"__a{i}") == F.col(f"__b{i}"), F.col(f"__a{i}")).otherwise(
+        (F.ceil(at(p)) - at(p)) * F.col(f"__a{i}") + (at(p) - F.floor(at(p))) * F.col(f"__b{i}")
     )
-    return agg.select(*keys, q.alias(name))
+    return ranked.groupBy(*keys).agg(*parts).select(*keys, F.array(*[one(i, p) for i, p in enumerate(probs)]).alias(name))
 
 
 def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -196,22 +167,27 @@ def attach_group(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFr
     return null_safe_join(df, per_group, keys) if keys else attach_single(df, per_group)
 
 
-# Rows of a per-group table that may be broadcast, and the spread of a crowded key beyond that.
-BROADCAST_ROWS = 500_000
+# Bytes (as JSON text) of a per-group table that may be broadcast, and the spread of a crowded key beyond that.
+BROADCAST_BYTES = 64_000_000
 SALTS = 32
 
 
+def text_bytes(df: DataFrame) -> int:
+    """Size of a written table as JSON text; one number comes back."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+
+
 def attach_units(rows: DataFrame, per_group: DataFrame, keys: list[str], written: bool = False) -> DataFrame:
     """`attach_group` for row tables with crowded keys.
 
-    The per-group table is written first, so its size is known: up to BROADCAST_ROWS rows it is
-    broadcast and the rows are not shuffled at all; beyond that both sides carry a salt and a
-    key holding a large share of the rows is spread over SALTS tasks.
+    The per-group table is written first and measured: up to BROADCAST_BYTES it is broadcast and
+    the rows are not shuffled at all; beyond that both sides carry a salt and a key holding a
+    large share of the rows is spread over SALTS tasks.
     """
     if not keys:
         return attach_single(rows, per_group)
     per = per_group if written else cut_lineage(per_group)
-    if per.count() <= BROADCAST_ROWS:
+    if text_bytes(per) <= BROADCAST_BYTES:
         return null_safe_join(rows, F.broadcast(per), keys)
     left = rows.withColumn("__salt", F.floor(F.rand(7) * SALTS).cast("int"))
     right = per.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

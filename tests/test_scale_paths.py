@@ -19,32 +19,57 @@ def skewed(spark, n=3000, seed=1):
 def test_spread_quantiles(spark):
     df, pdf = skewed(spark)
     ps = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
-    for buckets in (4, 256):
-        got = {r.g: r.q for r in prefix._spread_quantiles(df, ["g"], "x", ps, buckets, "q").collect()}
-        for g, part in pdf.groupby("g"):
-            assert got[g] == pytest.approx(list(np.quantile(part.x, ps)), rel=1e-12)
+    got = {r.g: r.q for r in prefix._spread_quantiles(df, ["g"], "x", ps, "q").collect()}
+    one_task = {r.g: r.q for r in prefix.exact_quantiles(df, ["g"], "x", ps).collect()}
+    assert got == one_task
+    for g, part in pdf.groupby("g"):
+        assert got[g] == pytest.approx(list(np.quantile(part.x, ps)), rel=1e-12)
 
 
 def test_spread_quantiles_null_key_and_no_key(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 2.0)], "g int, x double")
-    got = {r.g: r.q for r in prefix._spread_quantiles(df, ["g"], "x", [0.5], 8, "q").collect()}
+    got = {r.g: r.q for r in prefix._spread_quantiles(df, ["g"], "x", [0.5], "q").collect()}
     assert got == {None: [2.0], 1: [2.0]}
-    assert prefix._spread_quantiles(df, [], "x", [0.5], 8, "q").first().q == [2.0]
+    assert prefix._spread_quantiles(df, [], "x", [0.5], "q").first().q == [2.0]
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_bucketed_scan(spark, descending):
+def test_spread_scan(spark, descending):
     df, _ = skewed(spark)
     items = {
         "s": ("sum", F.col("x"), "upto"), "b": ("max", F.when(F.col("id") % 2 == 0, F.col("x")), "before"),
         "f": ("min", F.when(F.col("id") % 3 == 0, F.col("id")), "from"),
     }
     a = prefix.scan(df, ["g"], "x", ["id"], items, descending, group_rows=1)
-    b = prefix.scan(df, ["g"], "x", ["id"], items, descending, buckets=16, group_rows=10**9)
+    b = prefix.scan(df, ["g"], "x", ["id"], items, descending, group_rows=10**9)
     ra, rb = (sorted(d.select("id", F.round("s", 6).alias("s"), "b", "f").collect()) for d in (a, b))
     assert ra == rb
 
 
+ODD = [
+    ("null order", "x double", [(None,), (3.0,), (1.0,), (2.0,), (None,)]),
+    ("text order", "x string", [("b",), ("a",), (None,), ("ü",), ("B",)]),
+    ("outlier", "x double", [(float(i),) for i in range(60)] + [(1e12,)]),
+    ("ties", "x double", [(5.0,)] * 54 + [(float(i),) for i in range(6)]),
+]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("name,schema,rows", ODD, ids=[o[0] for o in ODD])
+def test_scan_is_the_same_at_every_size(spark, name, schema, rows, descending):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, " + schema)
+    items = {"n": ("sum", F.lit(1), "upto"), "after": ("sum", F.col("id"), "from"), "m": ("max", F.col("id"), "before")}
+    a, b = (prefix.scan(df, [], "x", ["id"], items, descending, group_rows=g) for g in (1, 10**9))
+    assert a.columns == b.columns and sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+
+
+def test_ranges_share_a_tail(spark, tmp_path):
+    """One value at 1e12 must not push all others into one task."""
+    df = spark.range(4000).select(F.when(F.col("id") == 7, 1e12).otherwise(F.col("id").cast("double")).alias("x"))
+    d = df.repartitionByRange(8, "x").groupBy(F.spark_partition_id()).count()
+    assert d.agg(F.max("count")).first()[0] < 1500
+
+
 def test_numbering(spark, monkeypatch):
     df, pdf = skewed(spark, 500)
     monkeypatch.setattr(prefix, "TASK_ROWS", 10)
@@ -145,7 +170,7 @@ def test_nearest_both_ways(spark, monkeypatch):
 def test_salted_attach(spark, monkeypatch):
     df = units(spark)
     plain = {r.g: r for r in trends.unit_trends(df, ["g"], "y", "x").collect()}
-    monkeypatch.setattr(prefix, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(prefix, "BROADCAST_BYTES", -1)
     salted = {r.g: r for r in trends.unit_trends(df, ["g"], "y", "x").collect()}
     assert plain.keys() == salted.keys()
     for g in (1, 2, 3):
