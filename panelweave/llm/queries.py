@@ -1,6 +1,6 @@
 """All registered queries of this subpackage and their SQL."""
 
-from panelweave.llm import simhash  # noqa: F401
+from panelweave.llm import chat, langid, mixing, secrets, simhash  # noqa: F401
 from panelweave.llm.common import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
