@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.common import table
-from panelweave.llm.stages import near_duplicates
+from panelweave.llm.stages import language, mixture, near_duplicates, no_benchmark, no_secrets
 from panelweave.session import cut_lineage
 
 STAGES = [
-    ("simhash near-dedup", near_duplicates),
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", no_benchmark),
+    ("secret scans", no_secrets),
+    ("mixing sources to target weights", mixture),
 ]
 
 # Fingerprints, a trained classifier and a knapsack have no SQL form; tests compare with brute force.

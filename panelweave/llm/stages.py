@@ -1,7 +1,8 @@
 """Pipeline stages: each takes (spark, docs, sf_dir) and returns the documents it keeps.
 
-All stages keep the columns of `docs` and treat rows that share an id but differ elsewhere as
-different documents.
+All but the last keep the columns of `docs`, and no more. Rows that share an id but differ
+elsewhere are different documents; decisions are matched to rows by id and a hash of the row.
+NULL texts, ids, languages and sources are treated as the operators say; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -9,17 +10,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import simhash
-from panelweave.llm.common import row_hash
+from panelweave.llm import decontaminate, langid, mixing, secrets, simhash
+from panelweave.llm.common import row_hash, table
 
 _KEY = "__row_hash"
 
 
+def _same(docs: DataFrame, keys: DataFrame, id_col: str, hash_col: str) -> Column:
+    return (docs[_KEY] == keys[hash_col]) & docs["doc_id"].eqNullSafe(keys[id_col])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; a text without letters goes."""
+    found = langid.identify(docs, langid.fit_documents(docs))
+    return found.where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the row with the smallest (doc_id, row hash) stays, once."""
+    """Of each near-duplicate group the row with the smallest (doc_id, row hash), once."""
     found = simhash.near_duplicates(docs, key=_KEY)
-    keep = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(F.struct("doc_id", _KEY)).alias("k"))
+    # without any id in a component, its fingerprints stand for themselves
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
+    keep = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _KEY)).alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("__id"), F.col(f"k.{_KEY}").alias("__h"))
     d = docs.withColumn(_KEY, row_hash(docs))
-    kept = d.join(keep, (d[_KEY] == keep["__h"]) & d["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    kept = d.join(keep, _same(d, keep, "__id", "__h"), "left_semi")
     return kept.dropDuplicates([_KEY]).select(*docs.columns)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, as it is or with other parameters."""
+    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).withColumnsRenamed({"doc_id": "__id", "row": "__h"})
+    d = docs.withColumn(_KEY, row_hash(docs))
+    return d.join(bad, _same(d, bad, "__id", "__h"), "left_anti").select(*docs.columns)
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced; `n_chars` is that of the new text where a text changed."""
+    new = secrets.redacted(docs.withColumn("__old", F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col("__old"))
+    chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return new.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with size, source_size, target and taken (words, repeats counted)."""
+    plan = mixing.mix(docs, key=_KEY).where("taken > 0")
+    # rows equal in every column draw the same place; one line each, with the words of all
+    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col(_KEY).alias("__h")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target")], F.sum("taken").alias("taken"))
+    d = docs.withColumn(_KEY, row_hash(docs)).dropDuplicates([_KEY])
+    return d.join(plan, _same(d, plan, "__id", "__h")).select(*[d[c] for c in docs.columns], "size", "source_size", "target", "taken")
