@@ -31,11 +31,11 @@ def fixed(c: Column | str, digits: int) -> Column:
 
 
 def compact_number(c: Column | str, digits: int = 2) -> Column:
-    """Fixed notation, scientific when the magnitude is non-zero and below 0.01."""
+    """Fixed notation, scientific with one decimal when the magnitude is non-zero and below 0.01."""
     x = as_col(c).cast("double")
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))
-        .when((x != 0) & (F.abs(x) < 0.01), F.format_string(f"%.{digits}e", x))
+        .when((x != 0) & (F.abs(x) < 0.01), F.format_string("%.1e", x))
         .otherwise(F.format_string(f"%.{digits}f", x))
     )
 

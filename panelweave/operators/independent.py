@@ -7,37 +7,41 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.operators.prefix import attach_single
 from panelweave.session import cut_lineage
 
 
-def random_independent_sets(ids: DataFrame, edges: DataFrame, key: str, samples: DataFrame, seed: int = 1, max_rounds: int = 200) -> DataFrame:
+def random_independent_sets(ids: DataFrame, edges: DataFrame, key: str, samples: DataFrame, seed: int = 1, order=None) -> DataFrame:
     """(sample_id, key): per sample the set a sequential greedy pass in random order keeps.
 
-    The random order is the hash of (seed, sample, key). Per round every live node whose
+    The random order is the hash of (seed, sample, key), or `order(sample column, key column)`. Per round every live node whose
     rank is below all its live neighbours is kept and its neighbours leave; this gives the
-    greedy set itself, in a number of rounds that grows with log(nodes). `edges` holds a, b.
+    greedy set itself, in a number of rounds that grows with log(nodes), and at least the
+    smallest live node settles in each. `edges` holds a, b. The state is the live nodes and the
+    live links (lo, hi) by rank, which shrink round by round.
     """
-    # stored once: every round reads the links again
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    rank = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col("sample_id"), F.col(c)).alias("h"), F.col(c).alias("k"))
-    numbers = samples.agg(F.collect_set("sample_id").alias("s"))  # sample numbers only
-    nodes = attach_single(ids.select(F.col(key).alias("a")).distinct(), numbers)
-    live = cut_lineage(nodes.select(F.explode("s").alias("sample_id"), "a"))
+    nodes = ids.select(F.col(key).alias("a")).distinct()
+    numbers = sorted(r.sample_id for r in samples.select("sample_id").distinct().collect())  # the declared list, not data
+    if not numbers:
+        return nodes.select(F.lit(None).cast(samples.schema["sample_id"].dataType).alias("sample_id"), F.col("a").alias(key)).where("false")
+    each = F.array(*[F.lit(n) for n in numbers]).cast(f"array<{samples.schema['sample_id'].dataType.simpleString()}>")
+    live = cut_lineage(nodes.select(F.explode(each).alias("sample_id"), "a"))
+    place = order or (lambda sample, k: F.xxhash64(F.lit(seed), sample, k))
+    rank = lambda c: F.struct(place(F.col("sample_id"), F.col(c)).alias("h"), F.col(c).alias("k"))
+    pair = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    links = live.withColumnRenamed("a", "x").join(pair, "x").join(live.select("sample_id", F.col("a").alias("y")), ["sample_id", "y"], "left_semi")
+    first = rank("x") < rank("y")
+    links = links.select("sample_id", F.when(first, F.col("x")).otherwise(F.col("y")).alias("lo"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("hi"))
+    links = cut_lineage(links)
     kept: list[DataFrame] = []
-    for _ in range(max_rounds):
-        links = live.join(both, "a").join(live.select("sample_id", F.col("a").alias("b")), ["sample_id", "b"], "left_semi")
-        beaten = links.where(rank("b") < rank("a")).select("sample_id", "a").distinct()
-        win = live.join(beaten, ["sample_id", "a"], "left_anti").withColumn("win", F.lit(True))
-        out = links.join(win.select("sample_id", F.col("a").alias("b")), ["sample_id", "b"], "left_semi").select("sample_id", "a")
-        state = live.join(win, ["sample_id", "a"], "left").join(
-            out.distinct().withColumn("out", F.lit(True)), ["sample_id", "a"], "left"
-        )
-        state = cut_lineage(state)
-        kept.append(state.where("win").select("sample_id", "a"))
-        live = state.where(F.col("win").isNull() & F.col("out").isNull()).select("sample_id", "a")
-        if live.isEmpty():
+    while True:
+        win = cut_lineage(live.join(links.select("sample_id", F.col("hi").alias("a")).distinct(), ["sample_id", "a"], "left_anti"))
+        kept.append(win)
+        if links.isEmpty():
             break
-    else:
-        raise RuntimeError(f"independent sets not finished after {max_rounds} rounds")
+        lost = links.join(win.withColumnRenamed("a", "lo"), ["sample_id", "lo"], "left_semi").select("sample_id", F.col("hi").alias("a")).distinct()
+        gone = cut_lineage(lost.unionByName(win))
+        live = cut_lineage(live.join(gone, ["sample_id", "a"], "left_anti"))
+        for end in ("lo", "hi"):
+            links = links.join(gone.withColumnRenamed("a", end), ["sample_id", end], "left_anti")
+        links = cut_lineage(links)
     return reduce(lambda x, y: x.unionByName(y), kept).withColumnRenamed("a", key)

@@ -40,11 +40,12 @@ def _newton(beta: pd.Series, info: pd.Series, score: pd.Series) -> pd.DataFrame:
 
 
 def propensity(df: DataFrame, keys: list[str], flag: str, covs: list[str], maxit: int = 25, tol: float = 1e-8) -> DataFrame:
-    """Add `score` (fitted probability of `flag`) and `score_ok` from a logit per spec.
+    """Add `score` (fitted probability of `flag`), `score_ok` and `score_converged` from a logit per spec.
 
     Specs small enough for a task are fitted there, all in one pass; larger ones by Newton
     steps that are one grouped sum each. A spec that cannot be fitted keeps score_ok = false
-    and a NULL score.
+    and a NULL score; one that still moves after `maxit` steps (separated arms) has scores but
+    score_converged = false.
     """
     if not keys:
         return propensity(df.withColumn("__spec", F.lit(0)), ["__spec"], flag, covs, maxit, tol).drop("__spec")
@@ -63,7 +64,7 @@ def propensity(df: DataFrame, keys: list[str], flag: str, covs: list[str], maxit
         state = cut_lineage(_logit_blocks(lean, keys, p, maxit, tol))
     else:
         state = _logit_steps(lean, keys, z, maxit, tol)
-    fit = state.select(*keys, F.col("beta").alias("__beta"), F.col("ok").alias("score_ok"))
+    fit = state.select(*keys, F.col("beta").alias("__beta"), F.col("ok").alias("score_ok"), (F.col("ok") & F.col("conv")).alias("score_converged"))
     eta = reduce(lambda a, b: a + b, [z[i] * F.col("__beta")[i] for i in range(p)])
     out = null_safe_join(std, fit, keys).withColumn("score", F.when(F.col("score_ok"), 1 / (1 + F.exp(-eta))))
     return out.drop("__beta", *[f"__z{i}" for i in range(len(covs))])
@@ -78,7 +79,7 @@ def _logit_blocks(lean: DataFrame, keys: list[str], p: int, maxit: int, tol: flo
         use = ~np.isnan(z).any(axis=1) & ~np.isnan(t)
         z, t = z[use], t[use]
         keep = [j for j in range(p) if np.any(z[:, j] != 0)]  # constant covariates were set to zero
-        beta, ok = np.zeros(p), bool(len(t)) and 0 < t.mean() < 1
+        beta, ok, conv = np.zeros(p), bool(len(t)) and 0 < t.mean() < 1, False
         for _ in range(maxit if ok else 0):
             mu = 1 / (1 + np.exp(-np.clip(z @ beta, -700, 700)))
             try:
@@ -88,12 +89,13 @@ def _logit_blocks(lean: DataFrame, keys: list[str], p: int, maxit: int, tol: flo
                 break
             beta[keep] += step
             if np.max(np.abs(step)) <= tol:
+                conv = True
                 break
         ok = ok and bool(np.all(np.isfinite(beta)))
         out = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**out, "beta": [beta.tolist()], "ok": [ok]})
+        return pd.DataFrame({**out, "beta": [beta.tolist()], "ok": [ok], "conv": [conv]})
 
-    return lean.groupBy(*keys).applyInPandas(fit, f"{ddl}beta array<double>, ok boolean")
+    return lean.groupBy(*keys).applyInPandas(fit, f"{ddl}beta array<double>, ok boolean, conv boolean")
 
 
 def _logit_steps(lean: DataFrame, keys: list[str], z: list[Column], maxit: int, tol: float) -> DataFrame:
@@ -122,7 +124,7 @@ def _logit_steps(lean: DataFrame, keys: list[str], z: list[Column], maxit: int,
         state = cut_lineage(moved.unionByName(kept))
         if state.where(F.col("ok") & (F.col("move") > tol)).isEmpty():
             break
-    return state
+    return state.withColumn("conv", F.col("move") <= tol)
 
 
 # ---- full matching ---------------------------------------------------------------------

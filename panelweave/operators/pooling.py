@@ -16,21 +16,22 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelweave.functions.distributions import p_normal, p_student, t_two_sided
 from panelweave.functions.labels import stars
-from panelweave.operators.prefix import null_safe_join, private_keys
+from panelweave.operators.prefix import attach_units, null_safe_join, private_keys
 from panelweave.session import cut_lineage
 
 # ---- meta-regression with a random cluster intercept -----------------------------------
 
 
 def cluster_moments(df: DataFrame, keys: list[str], cluster: str, y: str, v: str, flag: str) -> DataFrame:
-    """Sums over one cluster with weights 1/v and regressors (1, flag)."""
-    w, x, yy = 1 / F.col(v), F.col(flag).cast("double"), F.col(y).cast("double")
+    """Sums over one cluster with weights 1/v and regressors (1, flag), y about its mean `y_mid` in the spec."""
     rows = df.where(F.col(y).isNotNull() & (F.col(v) > 0) & F.col(flag).isNotNull())
+    rows = attach_units(rows, rows.groupBy(*keys).agg(F.avg(F.col(y).cast("double")).alias("y_mid")), keys)
+    w, x, yy = 1 / F.col(v), F.col(flag).cast("double"), F.col(y).cast("double") - F.col("y_mid")
     return rows.groupBy(*keys, cluster).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(w).alias("s0"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"),
         F.sum(w * yy).alias("sy"), F.sum(w * x * yy).alias("sxy"), F.sum(w * yy * yy).alias("syy"),
-        F.sum(F.log(F.col(v))).alias("slv"),
+        F.sum(F.log(F.col(v))).alias("slv"), F.first("y_mid").alias("y_mid"),
     )
 
 
@@ -62,6 +63,8 @@ def _search(reml: bool):
                 continue
             scale = max(tot[5] / tot[0] - (tot[3] / tot[0]) ** 2, 1e-12)
             grid = np.concatenate([[0.0], scale * 2.0 ** np.arange(-30, 13)])
+            while np.argmin(dev := _profile(g, grid, reml)[0]) == len(grid) - 1 and np.isfinite(dev[-1]) and grid[-1] < 1e300:
+                grid = np.append(grid, grid[-1] * 16)  # until the minimum is inside
             for _ in range(10):
                 k = int(np.argmin(_profile(g, grid, reml)[0]))
                 best, lo, hi = grid[k], grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
@@ -86,11 +89,11 @@ def meta_regression(
     """
     mom = cluster_moments(df, keys, cluster, y, v, flag)
     d = mom.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*_SUMS))).alias("g"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k_cluster")
+        F.array_sort(F.collect_list(F.struct(*_SUMS))).alias("g"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k_cluster"), F.first("y_mid").alias("y_mid")
     )
-    d = d.select(*keys, "n", "k_cluster", _search(method.upper() == "REML")(*[F.col(f"g.{c}") for c in _SUMS]).alias("s"))
+    d = d.select(*keys, "n", "k_cluster", "y_mid", _search(method.upper() == "REML")(*[F.col(f"g.{c}") for c in _SUMS]).alias("s"))
     terms = F.array(
-        F.struct(F.lit("(Intercept)").alias("term"), F.col("s.b_i").alias("estimate"), F.col("s.se_i").alias("se")),
+        F.struct(F.lit("(Intercept)").alias("term"), (F.col("s.b_i") + F.col("y_mid")).alias("estimate"), F.col("s.se_i").alias("se")),
         F.struct(F.lit(flag).alias("term"), F.col("s.b_f").alias("estimate"), F.col("s.se_f").alias("se")),
     )
     d = d.where(F.col("s.b_i").isNotNull() & ~F.isnan("s.b_i"))
@@ -133,6 +136,7 @@ def fixed_effects(
     )
     if not keys:
         return fixed_effects(df.withColumn("__spec", F.lit(0)), ["__spec"], cluster, y, v, flag, levels, points, p_values).drop("__spec")
+    rows = attach_units(rows, rows.groupBy(*keys).agg(F.avg("__y").alias("__mid")), keys).withColumn("__y", F.col("__y") - F.col("__mid")).drop("__mid")
     spread = rows.groupBy(*keys).agg(F.var_pop("__y").alias("spread"), F.count(F.lit(1)).alias("n"), F.countDistinct("__g").alias("k_cluster"))
     first = F.concat(
         F.array(F.lit(0.0)),
@@ -205,7 +209,10 @@ def cluster_robust(df: DataFrame, keys: list[str], cluster: str, y: str, v: str,
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.stack([np.array([[r.a00, r.a01], [r.a01, r.a11]]) for r in pdf.itertuples()])
         u = pdf[["u0", "u1"]].to_numpy()
-        m = np.linalg.inv(a.sum(axis=0))
+        total = a.sum(axis=0)
+        if not np.linalg.det(total) > 1e-12 * total[0, 0] * total[1, 1]:  # the flag does not vary
+            return pd.DataFrame({**{k: [] for k in keys}, "term": [], "estimate": [], "se": [], "df": [], "p": []})
+        m = np.linalg.inv(total)
         root, inv_root = [], []
         for g in range(len(a)):
             # nonzero block of I - Xw M Xw' in the basis of the columns of Xw
@@ -221,9 +228,13 @@ def cluster_robust(df: DataFrame, keys: list[str], cluster: str, y: str, v: str,
         out = []
         for j, (name, b) in enumerate((("(Intercept)", pdf.b0.iloc[0]), (flag, pdf.b1.iloc[0]))):
             # quadratic form in whitened errors: p_g = (I-H)' Xw_g t_g' m_j
-            vec = [root[g].T @ m[j] for g in range(len(a))]
-            gram = np.array([[(vec[g] @ a[g] @ vec[h] if g == h else 0.0) - vec[g] @ a[g] @ m @ a[h] @ vec[h] for h in range(len(a))] for g in range(len(a))])
-            dof = np.trace(gram) ** 2 / np.sum(gram * gram)
+            # their products are diag(own) - side m side', whose trace and squares need sums only
+            vec = np.stack([root[g].T @ m[j] for g in range(len(a))])
+            side = np.einsum("gij,gj->gi", a, vec)
+            own = np.einsum("gi,gi->g", vec, side)
+            cross = m @ (side.T @ side)
+            squares = np.sum(own**2) - 2 * np.sum(own * np.einsum("gi,ij,gj->g", side, m, side)) + np.trace(cross @ cross)
+            dof = (own.sum() - np.trace(cross)) ** 2 / squares
             se = np.sqrt(cov[j, j])
             out.append((name, b, se, dof, float(t_two_sided(np.array([b / se]), np.array([dof]))[0])))
         res = pd.DataFrame(out, columns=["term", "estimate", "se", "df", "p"])

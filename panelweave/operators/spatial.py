@@ -104,7 +104,6 @@ def nearest_segment(
     point_id: str,
     attrs: list[str],
     cell: float,
-    levels: int = 8,
     x: str = "x",
     y: str = "y",
 ) -> DataFrame:
@@ -113,15 +112,14 @@ def nearest_segment(
     Grids of size cell*4^k are laid over the segments. For a point the smallest k whose
     3x3 block is occupied bounds its distance by 2*sqrt(2) cells of that grid, hence the
     block one grid coarser surely holds the nearest segment: one probe table, no rounds.
-    Segments farther than about cell*4^(levels-1) are out of reach and leave the point out.
+    The joint bounding box tells how many grids there are: the coarsest has cells as wide as the
+    whole map, so every point with coordinates finds a segment. Points without coordinates come
+    back with NULL, as do all points if there is no segment.
     """
     size = F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("lev").cast("double"))
-    cells = (
-        edges.select("x1", "y1", "x2", "y2", *attrs)
-        .withColumn("lev", span(F.lit(0), F.lit(levels)))
-        .withColumn("cx", span(cell_of(F.least("x1", "x2"), size), cell_of(F.greatest("x1", "x2"), size)))
-        .withColumn("cy", span(cell_of(F.least("y1", "y2"), size), cell_of(F.greatest("y1", "y2"), size)))
-    )
+    levels = grid_levels(points, edges, cell, x, y)
+    cells = edges.select("x1", "y1", "x2", "y2", *attrs).withColumn("lev", span(F.lit(0), F.lit(levels)))
+    cells = along_segment(cells, size)
     occupied = (
         cells.where(F.col("lev") < levels)
         .select("lev", "cx", "cy")
@@ -131,8 +129,9 @@ def nearest_segment(
         .distinct()
     )
     pts = points.select(F.col(point_id), F.col(x).alias("px"), F.col(y).alias("py"))
+    located = pts.where(F.col("px").isNotNull() & F.col("py").isNotNull() & ~F.isnan("px") & ~F.isnan("py"))
     probe = (
-        pts.withColumn("lev", span(F.lit(0), F.lit(levels - 1)))
+        located.withColumn("lev", span(F.lit(0), F.lit(levels - 1)))
         .select(point_id, "lev", cell_of("px", size).alias("cx"), cell_of("py", size).alias("cy"), "px", "py")
         .join(occupied, ["lev", "cx", "cy"], "left_semi")
         .groupBy(point_id)
@@ -144,14 +143,42 @@ def nearest_segment(
         .join(cells, ["lev", "cx", "cy"])
         .select(point_id, F.struct(segment_distance("px", "py").alias("dist"), *attrs).alias("m"))
     )
-    return near.groupBy(point_id).agg(F.min("m").alias("m")).select(point_id, "m.dist", *[f"m.{a}" for a in attrs])
-
-
-def with_nearest_fallback(hits: DataFrame, points: DataFrame, edges: DataFrame, point_id: str, cell: float, levels: int = 8) -> DataFrame:
+    best = near.groupBy(point_id).agg(F.min("m").alias("m"))
+    return points.select(point_id).distinct().join(best, point_id, "left").select(point_id, "m.dist", *[f"m.{a}" for a in attrs])
+
+
+def grid_levels(points: DataFrame, edges: DataFrame, cell: float, x: str = "x", y: str = "y") -> int:
+    """Grids of cell*4^k needed until one cell is as wide as all points and edges together."""
+    ends = lambda a, b: [F.min(F.least(a, b)), F.max(F.greatest(a, b))]
+    p = points.where(~F.isnan(x) & ~F.isnan(y)).agg(*ends(F.col(x), F.col(x)), *ends(F.col(y), F.col(y))).first()
+    e = edges.agg(*ends(F.col("x1"), F.col("x2")), *ends(F.col("y1"), F.col("y2"))).first()
+    known = [v for v in (*p[:2], *e[:2]) if v is not None], [v for v in (*p[2:], *e[2:]) if v is not None]
+    extent = max((max(v) - min(v) for v in known if v), default=0.0)
+    levels = 1
+    while cell * 4.0 ** (levels - 1) < extent:
+        levels += 1
+    return levels
+
+
+def along_segment(segments: DataFrame, size: Column) -> DataFrame:
+    """Add the cells (cx, cy) that each segment x1,y1 - x2,y2 passes: by columns of cells, in each
+    the rows between the ends of the part inside. As many rows as cells, not as the box has."""
+    d = segments.withColumn("__s", size).withColumn("cx", span(cell_of(F.least("x1", "x2"), F.col("__s")), cell_of(F.greatest("x1", "x2"), F.col("__s"))))
+    dx = F.col("x2") - F.col("x1")
+    at = lambda v: F.col("y1") + (F.col("y2") - F.col("y1")) * F.try_divide(v - F.col("x1"), dx)
+    left = F.greatest(F.least("x1", "x2"), F.col("cx") * F.col("__s"))
+    right = F.least(F.greatest("x1", "x2"), (F.col("cx") + 1) * F.col("__s"))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    pad = F.col("__s") * 1e-6  # rounding may not lose a cell; one too many does no harm
+    y0, y1 = (F.when(dx == 0, v).otherwise(F.greatest(low, F.least(high, f(at(left), at(right))))) for v, f in ((low, F.least), (high, F.greatest)))
+    return d.withColumn("cy", span(cell_of(y0 - pad, F.col("__s")), cell_of(y1 + pad, F.col("__s")))).drop("__s")
+
+
+def with_nearest_fallback(hits: DataFrame, points: DataFrame, edges: DataFrame, point_id: str, cell: float) -> DataFrame:
     """Polygon per point where there is one, else the polygon whose border is nearest."""
     found = hits.select(point_id, "geom_id").withColumn("by", F.lit("inside"))
     rest = points.join(hits.select(point_id), point_id, "left_anti")
-    near = nearest_segment(rest, edges, point_id, ["geom_id"], cell, levels)
+    near = nearest_segment(rest, edges, point_id, ["geom_id"], cell)
     return found.unionByName(near.select(point_id, "geom_id", F.lit("nearest").alias("by")))
 
 

@@ -10,12 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.labels import significance_band
-from panelweave.functions.nulls import effective_n
+from panelweave.functions.nulls import effective_n, strict_avg
 from panelweave.operators import matching as M
 from panelweave.operators import pooling as R
 from panelweave.operators.prefix import attach_group, attach_single, null_safe_join
 from panelweave.operators.tables import both_arms, complete_cases, drop_flagged_groups, drop_listed, top_rows, valid_units
 from panelweave.operators.trends import huber_trends, unit_trends
+from panelweave.session import cut_lineage
 
 # Default covariates, nations left out as islands, minimum rows, sweep levels.
 DEFAULT_COVARIATES = ["lat_c", "lon_c", "urbkHaKm2", "CS_max", "LB_river"]
@@ -156,8 +157,8 @@ def control_set_sweep(
     controls = d.where(~F.col(arm)).join(sets.select("sample_id", unit), unit)
     work = treated.unionByName(controls)
     key = ["sample_id"]
-    scored = M.propensity(work, key, arm, covs)
-    matched = M.match_weights(scored, M.full_matching(scored, key, unit, arm), key, unit, arm)
+    scored = cut_lineage(M.propensity(work, key, arm, covs))
+    matched = cut_lineage(M.match_weights(scored, M.full_matching(scored, key, unit, arm), key, unit, arm))
     smd = M.balance(matched, key, arm, ["score", *covs]).groupBy(*key).agg(F.avg(F.abs("smd")).alias("mean_smd"), F.max(F.abs("smd")).alias("max_smd"))
     w = lambda c: F.when(c, F.col("weights"))
     size = matched.groupBy(*key).agg(
@@ -169,8 +170,9 @@ def control_set_sweep(
     fit = R.mixed_model(matched, key, cluster, outcome, ["type", *regressors])
     pick = lambda t, p: fit.where(F.col("term") == t).select(*key, F.col("estimate").alias(f"{p}_eff"), F.col("se").alias(f"{p}_se"), F.col("p").alias(f"{p}_p"))
     why = fit.groupBy(*key).agg(F.max("status").alias("status"), F.max("error").alias("error"))
+    scores = scored.groupBy(*key).agg(F.bool_and("score_converged").alias("score_converged"))
     out = ids.withColumn("label", F.lit(label))
-    for part in (smd, size, same, pick("type", "treat"), pick("(Intercept)", "int"), why):
+    for part in (scores, smd, size, same, pick("type", "treat"), pick("(Intercept)", "int"), why):
         out = null_safe_join(out, part, key, "left")
     ok = F.col("mean_smd").isNotNull() & F.col("max_smd").isNotNull() & F.col("ess_ratio").isNotNull()
     out = out.withColumn("status", F.when(ok & F.col("treat_eff").isNotNull(), "ok").otherwise("failed"))
@@ -214,7 +216,7 @@ def run_spec(wells: DataFrame, units: DataFrame, spec: Spec, aquifer: str, count
         w = drop_flagged_groups(w, [aquifer], F.col(river).cast("boolean"))
     keys = [aquifer, country]
     first = huber_trends(w, keys, y, x) if spec.robust else unit_trends(w, keys, y, x)
-    share = w.groupBy(*keys).agg(F.avg(F.col(river).cast("double")).alias(river))
+    share = w.groupBy(*keys).agg(strict_avg(F.col(river).cast("double")).alias(river))
     u = attach_group(attach_group(first, units, keys), share, keys)
     u = valid_units(u, spec.n_min, flag)
     u = complete_cases(u, list(spec.covs))

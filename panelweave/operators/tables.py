@@ -72,8 +72,8 @@ def not_listed_in(df: DataFrame, listed: str, name: str) -> DataFrame:
 
 
 def override_values(df: DataFrame, target: str, key: str, table: DataFrame, value: str) -> DataFrame:
-    """Replace `target` where `key` is in the decision table."""
-    t = table.select(F.col(key), F.col(value).alias("__ov"))
+    """Replace `target` where `key` is in the decision table; of repeated keys the largest value counts."""
+    t = table.groupBy(key).agg(F.max(value).alias("__ov"))
     return df.join(t, key, "left").withColumn(target, F.coalesce(F.col("__ov"), F.col(target))).drop("__ov")
 
 

@@ -27,10 +27,16 @@ def unit_trends(df: DataFrame, keys: list[str], y: str, x: str, w: str | None =
     """Intercept-only mean and slope on x per unit, HC3 errors (HC1 where a leverage is one).
 
     beta_0 is the mean of the intercept-only model; p_1 is NULL with three or fewer distinct x.
+    Weighted sums are taken about the unit's plain means, so a far origin loses no digits.
     """
     rows = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(
-        *keys, F.col(y).cast("double").alias("__y"), F.col(x).cast("double").alias("__x"), (F.col(w) if w else F.lit(1.0)).alias("__w")
+        *keys, F.col(y).cast("double").alias("__y"), F.col(x).cast("double").alias("__x"), (F.col(w) if w else F.lit(1.0)).cast("double").alias("__w")
     )
+    if w is None:
+        rows = rows.withColumn("__cy", F.lit(0.0))
+    else:
+        centre = rows.groupBy(*keys).agg(F.avg("__x").alias("__cx"), F.avg("__y").alias("__cy"))
+        rows = attach_units(rows, centre, keys).select(*keys, (F.col("__y") - F.col("__cy")).alias("__y"), (F.col("__x") - F.col("__cx")).alias("__x"), "__w", "__cy")
     X, Y, Wt = F.col("__x"), F.col("__y"), F.col("__w")
     n = F.count(F.lit(1))
     if w is None:
@@ -44,15 +50,15 @@ def unit_trends(df: DataFrame, keys: list[str], y: str, x: str, w: str | None =
             (F.sum(Wt * X * X) - F.pow(F.sum(Wt * X), 2) / sw).alias("__sxx"),
             (F.sum(Wt * X * Y) - F.sum(Wt * X) * F.sum(Wt * Y) / sw).alias("__sxy"),
         ]
-    per = rows.groupBy(*keys).agg(n.alias("n"), *first, F.min(X).alias("__mn"), F.max(X).alias("__mx"))
+    per = rows.groupBy(*keys).agg(n.alias("n"), *first, F.min(X).alias("__mn"), F.max(X).alias("__mx"), F.first("__cy").alias("__cy"))
     per = per.withColumn("__b1", F.when(F.col("__mx") > F.col("__mn"), F.col("__sxy") / F.col("__sxx")))
-    j = attach_units(rows, per, keys)
+    j = attach_units(rows.drop("__cy"), per, keys)
     e0, h0 = Y - F.col("__yb"), Wt / F.col("__sw")
     dx = X - F.col("__xb")
     e1, h1 = e0 - F.col("__b1") * dx, Wt * (1 / F.col("__sw") + F.try_divide(dx * dx, F.col("__sxx")))
     room = lambda h: F.when(1 - h > 1e-12, 1 - h)
     inner = (X > F.col("__mn")) & (X < F.col("__mx"))
-    sums = j.groupBy(*keys, "n", "__sw", "__yb", "__b1", "__sxx").agg(
+    sums = j.groupBy(*keys, "n", "__sw", "__yb", "__cy", "__b1", "__sxx").agg(
         F.sum(F.pow(Wt * e0 / room(h0), 2)).alias("__a3"),
         F.sum(F.pow(Wt * e0, 2)).alias("__a1"),
         F.max(h0).alias("__h0"),
@@ -69,7 +75,7 @@ def unit_trends(df: DataFrame, keys: list[str], y: str, x: str, w: str | None =
     out = sums.select(
         *keys,
         "n",
-        F.col("__yb").alias("beta_0"),
+        (F.col("__yb") + F.col("__cy")).alias("beta_0"),
         (F.sqrt(v0) / F.col("__sw")).alias("se_0"),
         F.col("__b1").alias("beta_1"),
         F.when(F.col("__b1").isNotNull(), F.sqrt(v1) / F.col("__sxx")).alias("se_1"),
@@ -289,15 +295,6 @@ def _huber_block(z: np.ndarray, y: np.ndarray, maxit: int) -> tuple[np.ndarray,
     return beta, sd * np.sqrt(np.diag(np.linalg.inv(z.T @ z))), ok
 
 
-def _independent_columns(z: np.ndarray) -> list[int]:
-    keep: list[int] = []
-    for j in range(z.shape[1]):
-        r = z[:, j] if not keep else z[:, j] - z[:, keep] @ np.linalg.lstsq(z[:, keep], z[:, j], rcond=None)[0]
-        if r @ r > 1e-14 * max(z[:, j] @ z[:, j], 1e-300):
-            keep.append(j)
-    return keep
-
-
 def huber_trends(
     df: DataFrame, keys: list[str], y: str, x: str, covs: list[str] | None = None, maxit: int = 50, block_rows: int = 100_000, p_values: bool = True
 ) -> DataFrame:
@@ -305,9 +302,16 @@ def huber_trends(
 
     Units of at most `block_rows` rows are fitted as blocks inside tasks; larger ones go
     through the same iterations as grouped sums over all their rows, so size is no limit.
+    Which columns depend on others is decided for all units alike, from grouped sums.
     """
     covs = list(covs or [])
     rows, stats = _prepare(df, keys, y, x, covs, None)
+    for tag, names in (("0", []), ("1", ["__x"])):
+        z = [F.lit(1.0), *[F.col(c) for c in [*names, *[f"__c{i}" for i in range(len(covs))]]]]
+        fit = moment_fit(rows, keys, z, F.col("__y"), F.lit(1.0))
+        used = F.array(*[(F.col("ginv")[i * len(z) + i] > 0) for i in range(len(z))])
+        stats = null_safe_join(stats, fit.select(*keys, used.alias(f"__used_{tag}")), keys)
+    stats = cut_lineage(stats)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     sizes = cut_lineage(sizes)
     sized = attach_units(rows, sizes, keys, written=True)
@@ -321,7 +325,7 @@ def huber_trends(
         one = np.ones(len(pdf))
         for tag, names in (("0", cs), ("1", ["__x", *cs])):
             full = np.column_stack([one, *[pdf[c].to_numpy() for c in names]])
-            keep = _independent_columns(full)
+            keep = [i for i, on in enumerate(pdf[f"__used_{tag}"].iloc[0]) if on]
             beta, se, ok = np.zeros(full.shape[1]), np.full(full.shape[1], np.nan), False
             b, s, ok = _huber_block(full[:, keep], yv, maxit)
             beta[keep] = b

@@ -67,15 +67,19 @@ def attach_sources(pairs: DataFrame, sources: dict[str, tuple[DataFrame, bool]],
     return out
 
 
-def attach_sources_pivoted(pairs: DataFrame, long: DataFrame, sources: list[str], cols: list[str]) -> DataFrame:
-    """Same, from one long table (code, CC, src, cols): one aggregate and two joins in all."""
-    wide = long.groupBy("code", "CC").pivot("src", sources).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in cols])
+def attach_sources_pivoted(pairs: DataFrame, long: DataFrame, sources: list[str], cols: list[str], by_country: tuple[str, ...] = ("_C",)) -> DataFrame:
+    """Same, from one long table (code, CC, src, cols): one aggregate and two joins for each key set.
+
+    Sources in `by_country` are totals of the country over all codes and joined by country alone.
+    """
     out = pairs
-    for side in (1, 2):
-        ren = [
-            F.col(f"`{s}_{c}`" if len(cols) > 1 else f"`{s}`").alias(f"{c}{s}_{side}") for s in sources for c in cols
-        ]
-        out = null_safe_join(out, wide.select("code", F.col("CC").alias(f"CC_{side}"), *ren), ["code", f"CC_{side}"], "left")
+    for keys, own in ((["code"], [s for s in sources if s not in by_country]), ([], [s for s in sources if s in by_country])):
+        if not own:
+            continue
+        wide = long.where(F.col("src").isin(own)).groupBy(*keys, "CC").pivot("src", own).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in cols])
+        for side in (1, 2):
+            ren = [F.col(f"`{s}_{c}`" if len(cols) > 1 else f"`{s}`").alias(f"{c}{s}_{side}") for s in own for c in cols]
+            out = null_safe_join(out, wide.select(*keys, F.col("CC").alias(f"CC_{side}"), *ren), [*keys, f"CC_{side}"], "left")
     return out
 
 

@@ -9,6 +9,7 @@ from panelweave.plans import (  # noqa: F401
     report_queries,
     source_queries,
     spatial_queries,
+    sweep_queries,
     table_queries,
     trend_queries,
 )

@@ -138,11 +138,21 @@ def _sets(spark, d):
     b = boxes(spark, d)
     e = cells.overlap_edges(cells.fill_polygons(box_edges(b), 1.0), "geom_id")
     samples = table(spark, d, "region").select((F.col("r_regionkey") + 1).alias("sample_id"))
-    return b, e, independent.random_independent_sets(b.select("geom_id"), e, "geom_id", samples, seed=7)
+    return b, e, independent.random_independent_sets(b.select("geom_id"), e, "geom_id", samples, order=lambda s, k: (k * 7919 + s * 104729) % 1000003)
 
 
-@query("random_independent_sets")
+@query(
+    "random_independent_sets",
+    f"""WITH RECURSIVE {BOXES}, e AS (SELECT a.geom_id AS a, b.geom_id AS b FROM boxes a JOIN boxes b ON a.geom_id <> b.geom_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+       nb AS (SELECT a, list(b) AS near FROM e GROUP BY 1),
+       ord AS (SELECT r_regionkey + 1 AS s, geom_id, coalesce(near, []) AS near, row_number() OVER (PARTITION BY r_regionkey ORDER BY (geom_id * 7919 + (r_regionkey + 1) * 104729) % 1000003, geom_id) AS o
+         FROM region, boxes LEFT JOIN nb ON nb.a = geom_id),
+       g AS (SELECT s, CAST(0 AS BIGINT) AS o, CAST([] AS BIGINT[]) AS kept FROM ord WHERE o = 1
+         UNION ALL SELECT g.s, ord.o, CASE WHEN list_has_any(g.kept, ord.near) THEN g.kept ELSE list_append(g.kept, ord.geom_id) END FROM g JOIN ord ON ord.s = g.s AND ord.o = g.o + 1)
+       SELECT s AS sample_id, unnest(kept) AS geom_id FROM g WHERE o = (SELECT max(o) FROM ord)""",
+)
 def random_independent_sets(spark, d):
+    """The greedy sets themselves, on an order that both engines can compute."""
     return _sets(spark, d)[2]
 
 

@@ -17,27 +17,35 @@ _VARS = {
     "Area": "bal > -999999",
 }
 COLS = list(_VARS)
+_CODE = "CASE WHEN c_nationkey % 4 = 0 AND c_custkey % 2 = 0 THEN (n_regionkey + 1) % 5 ELSE n_regionkey END"
 
 
 def indicators(spark, d):
-    """Customer balances as areas: (code, CC, src, GW, GW3, CR3, UR, IR, Area), one row per customer and source."""
+    """Customer balances as areas: (code, CC, src, GW, GW3, CR3, UR, IR, Area), one row per customer and source.
+
+    Half the customers of every fourth nation lie in a second code, so country totals differ from code totals.
+    """
     c = table(spark, d, "customer").join(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
-    c = c.select(F.col("n_regionkey").alias("code"), F.col("c_nationkey").alias("CC"), F.col("c_nationkey").alias("nat"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
+    c = c.select(F.expr(_CODE).alias("code"), F.col("c_nationkey").alias("CC"), F.col("c_nationkey").alias("nat"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
     srcs = F.filter(F.array(*[F.when(F.expr(cond), F.lit(s)) for s, cond in _SRC.items()]), lambda s: s.isNotNull())
     vals = [F.when(F.expr(cond), F.abs("bal") / 1000).alias(v) for v, cond in _VARS.items()]
     return c.select("code", "CC", F.explode(srcs).alias("src"), *vals)
 
 
 _IND = (
-    "cust AS (SELECT n_regionkey AS code, c_nationkey AS CC, c_nationkey AS nat, c_acctbal AS bal, c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey), "
-    + "wide AS (SELECT code, CC, "
-    + ", ".join(
-        f"CASE WHEN count(*) FILTER ({sc}) > 0 THEN coalesce(sum(abs(bal) / 1000) FILTER (({sc}) AND ({vc})), 0) END AS {v}{s}" for s, sc in _SRC.items() for v, vc in _VARS.items()
+    f"cust AS (SELECT {_CODE} AS code, c_nationkey AS CC, c_nationkey AS nat, c_acctbal AS bal, c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey), "
+    + "".join(
+        f"{name} AS (SELECT {keys}, "
+        + ", ".join(
+            f"CASE WHEN count(*) FILTER ({sc}) > 0 THEN coalesce(sum(abs(bal) / 1000) FILTER (({sc}) AND ({vc})), 0) END AS {v}{s}"
+            for s, sc in _SRC.items() if (s == "_C") == (name == "nations") for v, vc in _VARS.items()
+        )
+        + f" FROM cust GROUP BY {keys}), "
+        for name, keys in (("wide", "code, CC"), ("nations", "CC"))
     )
-    + " FROM cust GROUP BY 1, 2), "
     + "dyads AS (SELECT p.code, p.CC_1, p.CC_2, "
-    + ", ".join(f"{w}.{v}{s} AS {v}{s}_{i}" for i, w in ((1, "a"), (2, "b")) for s in _SRC for v in _VARS)
-    + " FROM pairs p LEFT JOIN wide a ON a.code = p.code AND a.CC = p.CC_1 LEFT JOIN wide b ON b.code = p.code AND b.CC = p.CC_2)"
+    + ", ".join(f"{w if s != '_C' else 'n' + w}.{v}{s} AS {v}{s}_{i}" for i, w in ((1, "a"), (2, "b")) for s in _SRC for v in _VARS)
+    + " FROM pairs p LEFT JOIN wide a ON a.code = p.code AND a.CC = p.CC_1 LEFT JOIN wide b ON b.code = p.code AND b.CC = p.CC_2 LEFT JOIN nations na ON na.CC = p.CC_1 LEFT JOIN nations nb ON nb.CC = p.CC_2)"
 )
 DYADS = f"{PAIRS}, {_IND}"
 
@@ -100,7 +108,11 @@ def two_sided_indicators(spark, d):
 
 @query(
     "two_sided_indicators_by_source",
-    f"WITH {DYADS} SELECT code, CC_1, CC_2, " + ", ".join(f"round({v}{s}_{i}, 5) AS {v}{s}_{i}" for i in (1, 2) for s in ("_B1", "_B2") for v in ("GW", "UR")) + " FROM dyads",
+    f"WITH {DYADS}, own AS (SELECT CC, "
+    + ", ".join(f"CASE WHEN count(*) FILTER ({_SRC['_B2']}) > 0 THEN coalesce(sum(abs(bal) / 1000) FILTER (({_SRC['_B2']}) AND ({_VARS[v]})), 0) END AS {v}" for v in ("GW", "UR"))
+    + " FROM cust GROUP BY 1) SELECT d.code, d.CC_1, d.CC_2, "
+    + ", ".join(f"round(d.{v}_B1_{i}, 5) AS {v}_B1_{i}, round(o{i}.{v}, 5) AS {v}_B2_{i}" for i in (1, 2) for v in ("GW", "UR"))
+    + " FROM dyads d LEFT JOIN own o1 ON o1.CC = d.CC_1 LEFT JOIN own o2 ON o2.CC = d.CC_2",
 )
 def two_sided_indicators_by_source(spark, d):
     """Source tables joined one after the other, with and without the aquifer key."""
@@ -163,3 +175,24 @@ def pair_distance_classes(spark, d):
 def class_cross_tab(spark, d):
     c = typology.classify(dyads(spark, d)).withColumn("maxD", typology.distance_class(0.3))
     return tables.cross_tab(c, "class", typology.CLASSES, "maxD", typology.DISTANCE_CLASSES)
+
+
+def _tab_sql(col, values, cls=f"WITH {DYADS}, {_CLS}"):
+    return f"""{cls}, m AS (SELECT class, {col} FROM cls), t AS (SELECT class, v, count(*) AS n FROM m GROUP BY 1, 2)
+       SELECT a.class, b.v, coalesce(n, 0) AS Freq FROM (SELECT unnest(['IU0', 'IU1', 'UB', 'BL', 'DA']) AS class) a CROSS JOIN (SELECT unnest({values}) AS v) b
+       LEFT JOIN t ON t.class = a.class AND t.v = b.v"""
+
+
+@query("class_cooperation_tab", _tab_sql("CASE WHEN (CC_1 + CC_2) % 4 = 0 THEN 'none' ELSE 'some' END AS v", "['none', 'some']"))
+def class_cooperation_tab(spark, d):
+    """Classes against whether the pair has an agreement (score 0 or more)."""
+    score = (F.col("CC_1") + F.col("CC_2")) % 4
+    c = typology.classify(dyads(spark, d)).withColumn("v", F.when(score == 0, "none").otherwise("some"))
+    return tables.cross_tab(c, "class", typology.CLASSES, "v", ["none", "some"])
+
+
+@query("class_river_tab", _tab_sql("CASE WHEN CC_1 % 3 = 0 AND CC_2 % 2 = 0 THEN 'river' ELSE 'land' END AS v", "['land', 'river']"))
+def class_river_tab(spark, d):
+    """Classes against the river flag of the pair's border."""
+    c = typology.classify(dyads(spark, d)).withColumn("v", F.when((F.col("CC_1") % 3 == 0) & (F.col("CC_2") % 2 == 0), "river").otherwise("land"))
+    return tables.cross_tab(c, "class", typology.CLASSES, "v", ["land", "river"])

@@ -25,10 +25,12 @@ _PANEL = f"""{WELLS}, {TRENDS}, {UNITS}, panel AS MATERIALIZED (SELECT t.*, TB,
   FROM trends t JOIN units u ON t.aquifer = u.aquifer AND t.cc = u.cc WHERE n > 0 AND beta_1 IS NOT NULL AND se_0 > 0 AND se_1 > 0)"""
 
 
-def _meta_sql(src: str, keys: str) -> str:
-    """REML of the two-term model on a zooming grid, from `src` (keys, g, y, v, x)."""
+def _meta_sql(src: str, keys: str, reml: bool = True) -> str:
+    """REML (or ML) of the two-term model on a zooming grid, from `src` (keys, g, y, v, x)."""
     k = f"{keys}, "
     dev = """sum(slv + ln(1 + t * s0)) + ln(A00 * A11 - A01 * A01) + q - (b0 * (A11 * b0 - A01 * b1) + b1 * (A00 * b1 - A01 * b0)) / (A00 * A11 - A01 * A01)"""
+    if not reml:
+        dev = dev.replace("+ ln(A00 * A11 - A01 * A01) ", "")
     sums = """sum(s0 - t / (1 + t * s0) * s0 * s0) AS A00, sum(sx - t / (1 + t * s0) * s0 * sx) AS A01, sum(sxx - t / (1 + t * s0) * sx * sx) AS A11,
       sum(sy - t / (1 + t * s0) * s0 * sy) AS b0, sum(sxy - t / (1 + t * s0) * sx * sy) AS b1, sum(syy - t / (1 + t * s0) * sy * sy) AS q, sum(slv + ln(1 + t * s0)) AS ld"""
     out = [
@@ -108,10 +110,16 @@ def leave_one_country_out(spark, d):
     return rounded(got.select("drop", "estimate", "delta_b", "infl_std"), 3)
 
 
-@query("maximum_likelihood_fit")
+@query(
+    "maximum_likelihood_fit",
+    f"""WITH {_PANEL}, {_WINS}, src AS (SELECT 1 AS outcome, cc AS g, CAST(TB AS DOUBLE) AS x, beta_1 AS y, v1 AS v FROM w), {_meta_sql('src', 'outcome', False)}
+       SELECT outcome, term, round(CASE WHEN term = 'TB' THEN e1 ELSE e0 END, 3) + 0.0 AS estimate, round(CASE WHEN term = 'TB' THEN se1 ELSE se0 END, 3) AS se,
+         (SELECT count(*) FROM src) AS n, (SELECT count(DISTINCT g) FROM src) AS k_cluster FROM fit, (SELECT unnest(['(Intercept)', 'TB']) AS term)""",
+)
 def maximum_likelihood_fit(spark, d):
     s = matching.sampling_variances(panel(spark, d), [], None).withColumn("outcome", F.lit(1))
-    return pooling.meta_regression(s, ["outcome"], "cc", "beta_1", "vi_1", "TB", method="ML")
+    fit = pooling.meta_regression(s, ["outcome"], "cc", "beta_1", "vi_1", "TB", method="ML", p_values=False)
+    return rounded(fit.select("outcome", "term", "estimate", "se", "n", "k_cluster"), 3)
 
 
 def _fe_sql() -> str:
@@ -266,7 +274,7 @@ def matched_second_stage(spark, d):
 
 @query("nearest_ratio_sweep")
 def nearest_ratio_sweep(spark, d):
-    return sweeps.ratio_sweep(panel(spark, d, 20), "unit_id", "cc", "TB", COVS, [1, 2])
+    return sweeps.ratio_sweep(panel(spark, d, 20), "unit_id", "cc", "TB", COVS, list(range(1, 11)))
 
 
 @query("covariate_set_sweep")

@@ -11,6 +11,14 @@ from panelweave.plans.standins import BOX_EDGES, BOXES, POINTS, WELLS, box_edges
 
 _A = projection.WGS84_A
 
+# the stand-in points and one point far off the map
+_FAR = "spread AS (SELECT id, lon, lat FROM points UNION ALL SELECT -1, 9000.0, -200.0)"
+
+
+def _far(p):
+    away = p.sparkSession.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(9000.0).alias("x"), F.lit(-200.0).alias("y"))
+    return p.select(F.col("id").cast("long").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y")).unionByName(away)
+
 
 @query(
     "projected_points",
@@ -54,25 +62,26 @@ _T = "greatest(least(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif(po
 
 @query(
     "nearest_border_distance",
-    f"""WITH {POINTS}, {BOXES}, {BOX_EDGES}, j AS (SELECT id, lon AS px, lat AS py, x1, y1, x2, y2 FROM points, box_edges), k AS (SELECT *, {_T} FROM j)
+    f"""WITH {POINTS}, {BOXES}, {BOX_EDGES}, {_FAR}, j AS (SELECT id, lon AS px, lat AS py, x1, y1, x2, y2 FROM spread, box_edges), k AS (SELECT *, {_T} FROM j)
        SELECT id, round(min({_SEG}), 6) AS dist FROM k GROUP BY id""",
 )
 def nearest_border_distance(spark, d):
-    p = points(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    n = spatial.nearest_segment(p, box_edges(boxes(spark, d)), "id", ["geom_id"], 4.0, levels=5)
+    n = spatial.nearest_segment(_far(points(spark, d)), box_edges(boxes(spark, d)), "id", ["geom_id"], 4.0)
     return rounded(n.select("id", "dist"))
 
 
 @query(
     "nearest_fallback",
-    f"""WITH {POINTS}, {BOXES}, hit AS (SELECT DISTINCT id FROM points JOIN boxes ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1)
-       SELECT "by", count(DISTINCT id) AS n FROM (SELECT id, CASE WHEN id IN (SELECT id FROM hit) THEN 'inside' ELSE 'nearest' END AS "by" FROM points) GROUP BY 1""",
+    f"""WITH {POINTS}, {BOXES}, {BOX_EDGES}, {_FAR}, hit AS (SELECT id, geom_id FROM spread JOIN boxes ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1),
+       j AS (SELECT id, lon AS px, lat AS py, x1, y1, x2, y2, geom_id FROM spread, box_edges WHERE id NOT IN (SELECT id FROM hit)), k AS (SELECT *, {_T} FROM j),
+       r AS (SELECT id, geom_id, {_SEG} AS dist FROM k), o AS (SELECT id, geom_id, row_number() OVER (PARTITION BY id ORDER BY dist, geom_id) AS o FROM r)
+       SELECT id, geom_id, 'inside' AS "by" FROM hit UNION ALL SELECT id, geom_id, 'nearest' FROM o WHERE o = 1""",
 )
 def nearest_fallback(spark, d):
-    p = points(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    p = _far(points(spark, d))
     e = box_edges(boxes(spark, d))
     hits = spatial.polygon_hits(p, e, "id", 8.0)
-    return spatial.with_nearest_fallback(hits, p, e, "id", 4.0, levels=5).groupBy("by").agg(F.countDistinct("id").alias("n"))
+    return spatial.with_nearest_fallback(hits, p, e, "id", 4.0).select("id", "geom_id", "by")
 
 
 @query(

@@ -224,9 +224,7 @@ def list_text(spark, d):
 )
 def number_text(spark, d):
     l = table(spark, d, "lineitem").withColumn("v", F.when(F.col("l_linenumber") == 1, F.col("l_discount") / 64).otherwise(F.col("l_quantity")))
-    v = F.col("v")
-    txt = F.when((v != 0) & (F.abs(v) < 0.01), F.format_string("%.1e", v)).otherwise(F.format_string("%.2f", v))
-    return l.select("l_orderkey", "l_linenumber", txt.alias("txt"), labels.p_text("l_tax").alias("p_txt"))
+    return l.select("l_orderkey", "l_linenumber", labels.compact_number("v").alias("txt"), labels.p_text("l_tax").alias("p_txt"))
 
 
 @query(

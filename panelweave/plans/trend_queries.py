@@ -38,20 +38,31 @@ def unit_trend_with_descriptors(spark, d):
     return rounded(out.select(*_K, "n", "beta_1", "TB", "nW", "urbkHaKm2", "LB_river"), 6, beta_1=4)
 
 
-@query(
-    "weighted_unit_trend",
-    f"""WITH {WELLS}, s AS (SELECT aquifer, cc, count(*) AS n, sum(w) AS sw, sum(w * x) / sum(w) AS xb, sum(w * y) / sum(w) AS yb FROM (SELECT *, 1 + tax * 10 AS w FROM wells) GROUP BY 1, 2),
+_WEIGHTED = f"""WITH {WELLS}, s AS (SELECT aquifer, cc, count(*) AS n, sum(w) AS sw, sum(w * x) / sum(w) AS xb, sum(w * y) / sum(w) AS yb FROM (SELECT *, 1 + tax * 10 AS w FROM wells) GROUP BY 1, 2),
        b AS (SELECT v.aquifer, v.cc, any_value(n) AS n, any_value(sw) AS sw, any_value(yb) AS yb, any_value(xb) AS xb, sum(w * (x - xb) * (x - xb)) AS sxx, sum(w * (x - xb) * (y - yb)) AS sxy
              FROM (SELECT *, 1 + tax * 10 AS w FROM wells) v JOIN s ON v.aquifer = s.aquifer AND v.cc = s.cc GROUP BY 1, 2)
-       SELECT v.aquifer, v.cc, any_value(n) AS n, round(any_value(yb), 4) AS beta_0, round(any_value(sxy / sxx), 4) + 0.0 AS beta_1,
+       SELECT v.aquifer, v.cc, any_value(n) AS n, round(any_value(yb), 2) AS beta_0, round(any_value(sxy / sxx), 4) + 0.0 AS beta_1,
          round(sqrt(sum(pow(w * (y - yb) / (1 - w / sw), 2))) / any_value(sw), 4) AS se_0,
          round(sqrt(sum(pow(w * (x - xb) * (y - yb - sxy / sxx * (x - xb)) / (1 - w * (1 / sw + (x - xb) * (x - xb) / sxx)), 2))) / any_value(sxx), 4) AS se_1
-       FROM (SELECT *, 1 + tax * 10 AS w FROM wells) v JOIN b ON v.aquifer = b.aquifer AND v.cc = b.cc GROUP BY 1, 2 HAVING any_value(n) > 3""",
-)
+       FROM (SELECT *, 1 + tax * 10 AS w FROM wells) v JOIN b ON v.aquifer = b.aquifer AND v.cc = b.cc GROUP BY 1, 2 HAVING any_value(n) > 3"""
+
+
+@query("weighted_unit_trend", _WEIGHTED)
 def weighted_unit_trend(spark, d):
-    w = wells(spark, d).withColumn("w", F.col("tax") * 10 + 1)
+    return _weighted(wells(spark, d))
+
+
+def _weighted(w):
+    t = trends.unit_trends(w.withColumn("w", F.col("tax") * 10 + 1), _K, "y", "x", "w", p_values=False).where("n > 3")
+    return rounded(t.select(*_K, "n", "beta_0", "se_0", "beta_1", "se_1"), 4, beta_0=2)
+
+
+@query("weighted_trend_far_origin", f"SELECT aquifer, cc, n, beta_0, round(beta_1, 2) + 0.0 AS beta_1, round(se_1, 2) AS se_1 FROM ({_WEIGHTED.replace(', 4)', ', 9)')})")
+def weighted_trend_far_origin(spark, d):
+    """x moved by 1e7, as map coordinates are: slopes and errors stay."""
+    w = wells(spark, d).withColumn("x", F.col("x") + 1e7).withColumn("w", F.col("tax") * 10 + 1)
     t = trends.unit_trends(w, _K, "y", "x", "w", p_values=False).where("n > 3")
-    return rounded(t.select(*_K, "n", "beta_0", "se_0", "beta_1", "se_1"), 4)
+    return rounded(t.select(*_K, "n", "beta_0", "beta_1", "se_1"), 2)
 
 
 @query(

@@ -175,3 +175,65 @@ def test_salted_attach(spark, monkeypatch):
     assert plain.keys() == salted.keys()
     for g in (1, 2, 3):
         assert salted[g].se_1 == pytest.approx(plain[g].se_1) and salted[g].n == plain[g].n
+
+
+def test_weighted_trend_far_from_the_origin(spark):
+    rng = np.random.default_rng(4)
+    x = 1e7 + np.arange(200) * 1e-3
+    y = 2 * (x - 1e7) + rng.normal(0, 0.01, 200)
+    w = rng.uniform(0.5, 2, 200)
+    rows = lambda shift: spark.createDataFrame([(1, float(a - shift), float(b), float(c)) for a, b, c in zip(x, y, w)], "g int, x double, y double, w double")
+    far, near = (trends.unit_trends(rows(s), ["g"], "y", "x", "w").first() for s in (0.0, 1e7))
+    assert far.beta_1 == pytest.approx(near.beta_1, rel=1e-5) and far.se_1 == pytest.approx(near.se_1, rel=1e-5)
+    assert near.beta_1 == pytest.approx(np.polyfit(x - 1e7, y, 1, w=np.sqrt(w))[0], rel=1e-8)
+    assert near.beta_0 == pytest.approx(np.average(y, weights=w), rel=1e-12)
+    ones = trends.unit_trends(rows(0.0).withColumn("w", F.lit(1.0)), ["g"], "y", "x", "w").first()
+    assert ones.beta_1 == pytest.approx(trends.unit_trends(rows(0.0), ["g"], "y", "x").first().beta_1, rel=1e-9)
+
+
+def test_huber_drops_the_same_columns_at_every_size(spark):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 10, 400)
+    c = 3 * x + rng.normal(0, 1e-6, 400)  # nearly collinear
+    y = 1 + 2 * x + rng.normal(0, 0.1, 400)
+    df = spark.createDataFrame([(1, float(a), float(b), float(e)) for a, b, e in zip(x, c, y)], "g int, x double, c double, y double")
+    a, b = (trends.huber_trends(df, ["g"], "y", "x", ["c"], block_rows=n).first() for n in (100_000, 1))
+    assert a.beta_1 == pytest.approx(b.beta_1, rel=1e-4) and a.se_1 == pytest.approx(b.se_1, rel=1e-3)
+    assert a.beta_1 == pytest.approx(2, abs=0.05)
+
+
+def test_nearest_segment_reaches_everything(spark):
+    seg = spark.createDataFrame([(7, 0.0, 0.0, 3.0, 40.0)], "g int, x1 double, y1 double, x2 double, y2 double")
+    pts = spark.createDataFrame([(1, 200_000.0, -5.0), (2, 1.0, 20.0), (3, None, 1.0), (4, float("nan"), 1.0)], "id int, x double, y double")
+    got = {r.id: (r.dist, r.g) for r in spatial.nearest_segment(pts, seg, "id", ["g"], 1.0).collect()}
+    assert got[1][0] == pytest.approx(np.hypot(200_000, 5), rel=1e-9) and got[1][1] == 7
+    assert got[2][0] == pytest.approx(abs(1 * 40 - 20 * 3) / np.hypot(3, 40), rel=1e-9)
+    assert got[3] == got[4] == (None, None)
+    assert {r.id: r.dist for r in spatial.nearest_segment(pts, seg.where("false"), "id", ["g"], 1.0).collect()} == dict.fromkeys((1, 2, 3, 4))
+
+
+def test_cells_along_a_segment(spark):
+    rng = np.random.default_rng(8)
+    segs = [(i, *map(float, rng.uniform(-20, 20, 4))) for i in range(40)] + [(98, 1.0, -7.0, 1.0, 9.0), (99, -7.0, 2.0, 9.0, 2.0)]
+    df = spark.createDataFrame(segs, "i int, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.i, r.cx, r.cy) for r in spatial.along_segment(df, F.lit(1.5)).collect()}
+    for i, x1, y1, x2, y2 in segs:
+        t = np.linspace(0, 1, 3000)
+        for cx, cy in set(zip(np.floor((x1 + t * (x2 - x1)) / 1.5).astype(int).tolist(), np.floor((y1 + t * (y2 - y1)) / 1.5).astype(int).tolist())):
+            assert (i, cx, cy) in got
+    assert len(got) < 42 * 60
+
+
+def test_separated_arms_are_told(spark):
+    df = spark.createDataFrame([(0, i, i >= 100, float(i)) for i in range(200)] + [(1, i, i % 3 == 0, float(i % 7)) for i in range(200)], "spec int, u int, t boolean, a double")
+    got = {r.spec: r.c for r in matching.propensity(df, ["spec"], "t", ["a"]).groupBy("spec").agg(F.bool_and("score_converged").alias("c")).collect()}
+    assert got == {0: False, 1: True}
+
+
+def test_country_totals_ignore_the_code(spark):
+    from panelweave.operators import typology
+
+    pairs = spark.createDataFrame([("A", "X", "Y"), ("B", "X", "Z")], "code string, CC_1 string, CC_2 string")
+    long = spark.createDataFrame([("A", "X", s, v) for s, v in (("", 10.0), ("_C", 10.0))] + [("B", "X", s, v) for s, v in (("", 20.0), ("_C", 20.0))], "code string, CC string, src string, GW double")
+    got = {r.code: (r.GW_1, r.GW_C_1) for r in typology.attach_sources_pivoted(pairs, long, ["", "_C"], ["GW"]).collect()}
+    assert got == {"A": (10.0, 30.0), "B": (20.0, 30.0)}
