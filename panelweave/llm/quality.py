@@ -39,7 +39,7 @@ BINS = sorted({w for words in COMMON_WORDS.values() for w in words})
 CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "space": r"[\x20\x09-\x0D]+", "stop": r"[.,;:!?'\"()-]+", "digit": r"\p{Nd}+", "symbol": r"[#*$%&|<>]+"}
 
 CLASS_CHARS, COMMON_COUNT = 200, 30  # shortest texts judged: characters, common words
-CLASS_DISTANCE, WORD_DISTANCE = 0.35, 0.75  # farthest from the nearest reference
+CLASS_DISTANCE, WORD_DISTANCE = 0.28, 0.75  # farthest from the nearest reference
 
 
 def words_of(text: Column) -> Column:
@@ -167,7 +167,57 @@ def judge(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))})
 
 
-@query("op3_quality_divergence")
+def _sql() -> str:
+    """The same verdicts in SQL, from long tables of words, lines and bins."""
+    lit = lambda v: "'" + v.replace("'", "''") + "'"
+    steps, left = ["k0 AS (SELECT doc_id, lang, text AS t0 FROM d)"], "t0"
+    for i, pattern in enumerate(CLASSES.values()):
+        steps.append(f"k{i + 1} AS (SELECT *, regexp_replace(t{i}, {lit(pattern)}, '', 'g') AS t{i + 1} FROM k{i})")
+        left = f"t{i + 1}"
+    n = len(CLASSES)
+    sizes = [f"length(t{i}) - length(t{i + 1})" for i in range(n)] + [f"length({left})"]
+    classes = " UNION ALL ".join(f"SELECT doc_id, {i} AS bin, {c} AS c FROM k{n}" for i, c in enumerate(sizes))
+    langs = ", ".join(map(lit, COMMON_WORDS))
+    bins = ", ".join(map(lit, BINS))
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((p + q) / 2)) ELSE 0 END"
+
+    def nearest_sql(name: str) -> str:
+        return f"""{name}_n AS (SELECT doc_id, sum(c) AS n FROM {name} GROUP BY 1),
+  {name}_r AS (SELECT lang, bin, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM {name} JOIN good USING (doc_id) GROUP BY 1, 2),
+  {name}_t AS (SELECT doc_id, lang, c / n AS p, q FROM {name} JOIN {name}_n USING (doc_id) JOIN {name}_r USING (bin) WHERE n > 0),
+  {name}_l AS (SELECT doc_id, lang, sqrt(greatest(0.0, sum(({part('p')} + {part('q')}) / 2))) AS js FROM {name}_t GROUP BY 1, 2),
+  {name}_d AS (SELECT doc_id, min(js) AS js FROM {name}_l GROUP BY 1)"""
+
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS ws FROM d),
+  p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+  g AS (SELECT doc_id, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  rep AS (SELECT doc_id, a, b, c FROM g WHERE c IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) > 1),
+  spot AS (SELECT DISTINCT g.doc_id, g.i + k AS i FROM g JOIN rep ON g.doc_id = rep.doc_id AND g.a = rep.a AND g.b = rep.b AND g.c = rep.c, (SELECT unnest([0, 1, 2]) AS k)),
+  n3 AS (SELECT doc_id, count(*) AS n FROM spot GROUP BY 1),
+  l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d),
+  dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+  nw AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars FROM p GROUP BY 1),
+  base AS (SELECT d.doc_id, d.lang, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(n3.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN nw USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN n3 USING (doc_id)),
+  b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM base),
+  good AS (SELECT doc_id, lang FROM b WHERE NOT base_failed AND lang IN ({langs})),
+  {", ".join(steps)},
+  cls AS ({classes}),
+  {nearest_sql("cls")},
+  bn AS (SELECT unnest([{bins}]) AS bin),
+  hit AS (SELECT doc_id, rtrim(lower(word), '.,;:!?') AS bin, count(*) AS c FROM p GROUP BY 1, 2),
+  wrd AS (SELECT f.doc_id, f.bin, coalesce(hit.c, 0) AS c FROM (SELECT doc_id, bin FROM d, bn) f LEFT JOIN hit ON hit.doc_id = f.doc_id AND hit.bin = f.bin),
+  {nearest_sql("wrd")}
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(c.js, 6) AS class_distance, round(x.js, 6) AS word_distance, base_failed,
+  NOT base_failed AND NOT coalesce(cn.n >= {CLASS_CHARS} AND c.js > {CLASS_DISTANCE}, false) AND NOT coalesce(xn.n >= {COMMON_COUNT} AND x.js > {WORD_DISTANCE}, false) AS kept
+FROM b LEFT JOIN cls_d c USING (doc_id) LEFT JOIN wrd_d x USING (doc_id) LEFT JOIN cls_n cn USING (doc_id) LEFT JOIN wrd_n xn USING (doc_id)
+"""
+
+
+@query("op3_quality_divergence", _sql())
 def op3_quality_divergence(spark, d):
     out = judge(cut_lineage(measures(table(spark, d, "documents"))))
     digits = [F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")]
