@@ -7,8 +7,9 @@ one diagonal (document place minus item place) are one occurrence of the item. A
 enough windows counts if its slots are consistent: each item value stands for one document value
 of its type and the other way round.
 
-Everything is column expressions and joins. Item windows are broadcast only while their number
-is within `BROADCAST_WINDOWS`; beyond that Spark joins by shuffle, with the same rows.
+Everything is column expressions and joins. Item windows, and the keys of documents whose slots
+are compared, are broadcast only while their number is within `BROADCAST_WINDOWS`; beyond that
+Spark joins by shuffle, with the same rows.
 
 Defined cases: NULL text has no words; an item shorter than a window is one window of all its
 words; windows with fewer than `LITERALS` words that are no placeholders say nothing and are
@@ -28,15 +29,16 @@ from panelweave.session import cut_lineage
 WIDTH = 8  # template words
 LITERALS = 6  # of a window, at least
 ENOUGH = 5  # windows of an occurrence, or all of a shorter item
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 1_000_000  # rows of a few numbers each
 
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # placeholders, from the private-use area
 # Units that follow a number. (Fixed values.)
 UNITS = "mm cm m km kg g mg t l ml h min s ms ha mph kb mb gb kw kwh v w hz percent euro euros dollar dollars hours hour days day years year".split()
 
 _NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-# a capital behind a word or comma and one space starts a name; sentence starts do not
-_NAME_START = r"([\p{L}\p{N},;] )(\p{Lu})"
+# a capital and a small letter behind a word or comma and one space start a name; sentence starts
+# do not, nor do words all in capitals
+_NAME_START = r"([\p{L}\p{N},;] )(\p{Lu}\p{Ll})"
 _AFTER_UNIT = r"([^\p{L}]|$)"
 
 
@@ -84,6 +86,11 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return counts.select("item_id", F.least(F.lit(ENOUGH), "item_windows").alias("needed"), F.explode("ws").alias("w")).select("item_id", "needed", "w.item_pos", "w.h")
 
 
+def _small(written: DataFrame) -> DataFrame:
+    """A written table of hashes and numbers, marked for broadcast while it is small."""
+    return F.broadcast(written) if written.count() <= BROADCAST_WINDOWS else written
+
+
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, row, item_id, shift, n_windows, first_pos, last_pos) of occurrences with enough windows.
 
@@ -92,8 +99,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     wanted = cut_lineage(item_windows(items))
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_hash(docs).alias("row"), windows(template(marked(F.col(f"`{text_col}`")))).alias("hs"))
     at = d.select("doc_id", "row", F.posexplode("hs").alias("doc_pos", "h"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_WINDOWS else wanted
-    hits = at.join(side, "h")
+    hits = at.join(_small(wanted), "h")
     shift = (F.col("doc_pos") - F.col("item_pos")).alias("shift")
     found = hits.groupBy("doc_id", "row", "item_id", "needed", shift).agg(
         F.count_distinct("item_pos").alias("n_windows"), F.min("item_pos").alias("first_pos"), F.max("item_pos").alias("last_pos")
@@ -149,6 +155,35 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return consistent(occurrences(docs, items), docs, items).where("consistent").select("doc_id", "row").distinct()
 
 
-@query("op10_decontaminate")
+def _sql() -> str:
+    """The same report in SQL, with window texts in place of hashes."""
+    slots = f"('{NAME}', '{NUMBER}', '{UNIT}')"
+    marks = f"lower(regexp_replace(regexp_replace(coalesce(text, ''), '[{NAME}{NUMBER}{UNIT}]', '', 'g'), '{_NAME_START}', '\\1{NAME}\\2', 'g'))"
+    t = f"regexp_replace(regexp_replace(m, '{NAME}\\p{{L}}+', '{NAME}', 'g'), '{_NUMBER}', '{NUMBER}', 'g')"
+    t = f"regexp_replace({t}, '{NUMBER} ?({'|'.join(UNITS)}){_AFTER_UNIT}', '{NUMBER} {UNIT}\\2', 'g')"
+
+    def side(name: str, table_name: str, key: str) -> str:
+        return f"""{name}m AS (SELECT {key}, {marks} AS m FROM {table_name}),
+  {name}t AS (SELECT {key}, regexp_extract_all({t}, '[{NAME}{NUMBER}{UNIT}]|\\p{{L}}+') AS ws, regexp_extract_all(m, '{NAME}?\\p{{L}}+|{_NUMBER}') AS vs FROM {name}m),
+  {name}p AS (SELECT {key}, ws, unnest(range(1, greatest(1, len(ws) - {WIDTH - 1}) + 1)) AS pos FROM {name}t WHERE len(ws) > 0),
+  {name}w AS (SELECT {key}, ws, pos, array_to_string(list_slice(ws, pos, pos + {WIDTH - 1}), ' ') AS h, list_slice(ws, pos, pos + {WIDTH - 1}) AS part FROM {name}p)"""
+
+    return f"""
+WITH {side('d', 'documents', 'doc_id')},
+  {side('i', 'benchmark', 'item_id')},
+  says AS (SELECT item_id, pos, h, count(*) OVER (PARTITION BY item_id) AS n FROM iw WHERE len(list_filter(part, lambda x: x NOT IN {slots})) >= least({LITERALS}, len(ws))),
+  occ AS (SELECT dw.doc_id, says.item_id, dw.pos - says.pos AS shift, count(DISTINCT says.pos) AS n_windows, min(says.pos) AS lo, max(says.pos) AS hi
+    FROM dw JOIN says ON dw.h = says.h GROUP BY 1, 2, 3 HAVING count(DISTINCT says.pos) >= least({ENOUGH}, any_value(n))),
+  spot AS (SELECT doc_id, item_id, shift, unnest(range(lo, hi + {WIDTH})) AS p FROM occ),
+  pair AS (SELECT s.doc_id, s.item_id, s.shift, it.ws[p] AS k, it.vs[p] AS i, dt.vs[p + s.shift] AS d FROM spot s JOIN it ON it.item_id = s.item_id JOIN dt ON dt.doc_id = s.doc_id
+    WHERE p <= len(it.ws) AND it.ws[p] IN {slots} AND dt.ws[p + s.shift] = it.ws[p]),
+  slot AS (SELECT doc_id, item_id, shift, count(DISTINCT (k, i)) = count(DISTINCT (k, i, d)) AND count(DISTINCT (k, d)) = count(DISTINCT (k, i, d)) AS ok,
+    count(*) FILTER (i <> d) AS changed FROM pair GROUP BY 1, 2, 3)
+SELECT occ.doc_id, occ.item_id, max(n_windows) AS n_windows, count(*) AS n_occurrences, bool_and(coalesce(changed, 0) > 0) AS reparameterised
+FROM occ LEFT JOIN slot ON slot.doc_id = occ.doc_id AND slot.item_id = occ.item_id AND slot.shift = occ.shift WHERE coalesce(ok, true) GROUP BY 1, 2
+"""
+
+
+@query("op10_decontaminate", _sql())
 def op10_decontaminate(spark, d):
     return report(table(spark, d, "documents"), table(spark, d, "benchmark"))

@@ -1,17 +1,20 @@
 import re
 
+import duckdb
 import pytest
 
+from oracle_check import compare, connect
 from panelweave.llm import decontaminate as dc
-from panelweave.llm.queries import QUERIES
+from panelweave.llm.queries import ORACLES, QUERIES
 
 ITEM = "A train leaves the station with Anna at 12 km and then slows down before the bridge so that Anna waits 3 hours for the bus to reach the town."
+BRIDGE = "The old bridge over the river was closed for many weeks after the flood came down from the hills."
 PROSE = "Nothing of this sort is told here, since the writer wanted to speak of other matters altogether and did so at length without any pause."
 
 
 @pytest.fixture(scope="module")
 def items(spark):
-    return spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "Five words are too few"), (5, "Bob 1 2 3 4 5 6 7 8 9 10")], "item_id long, text string")
+    return spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "Five words are too few"), (5, "Bob 1 2 3 4 5 6 7 8 9 10"), (6, BRIDGE)], "item_id long, text string")
 
 
 def found(documents, items, texts):
@@ -34,6 +37,11 @@ def test_short_items(documents, items):
     assert set(got) == {(0, 4)}
 
 
+def test_capitals_and_other_stops(documents, items):
+    got = found(documents, items, [PROSE + " " + BRIDGE.upper(), ITEM.replace(" and", ", and -").replace(".", "!")])
+    assert set(got) == {(0, 6), (1, 1)}
+
+
 def test_both_join_ways(documents, items, monkeypatch):
     texts = [PROSE, ITEM, PROSE + " " + ITEM.replace("12", "99")]
     a = found(documents, items, texts)
@@ -66,6 +74,20 @@ def test_query(spark):
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in QUERIES["op10_decontaminate"](spark, d).collect()}
     assert got == plain(docs, items)
+    ok, said = compare(spark, connect(d), QUERIES["op10_decontaminate"], ORACLES["op10_decontaminate"], d)
+    assert ok, said
+
+
+def test_sql_twin_with_slots(spark, documents, items, tmp_path):
+    """The SQL agrees on names, numbers and units too."""
+    other = ITEM.replace("Anna", "Zed").replace("12", "7.5").replace("3 ", "44 ").replace("km", "mm")
+    docs = documents([(0, PROSE), (1, PROSE + " " + ITEM), (2, other + " " + PROSE), (3, PROSE + " " + ITEM.replace("Anna at", "Zed at")), (4, ITEM + "\n" + other)])
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", items)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path / name}/*.parquet')")
+    ok, said = compare(spark, con, lambda s, _: dc.report(docs, items), ORACLES["op10_decontaminate"], "")
+    assert ok, said
 
 
 def test_odd_rows(spark, odd_documents, no_documents, clashing, items):
