@@ -181,25 +181,38 @@ def fit_documents(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """Columns `keep` of every row with lang_pred, score and rejected."""
+    """Columns `keep` of every row with lang_pred, score and rejected (columns of these names are replaced)."""
     from pyspark.sql.types import StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
+    new = ["lang_pred", "score", "rejected"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             got = [m.predict(t.as_py()) for t in b.column(len(keep))]
             lang, score, rejected = zip(*got) if got else ((), (), ())
-            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*keep, "lang_pred", "score", "rejected"])
+            found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *found], names=[*keep, *new])
 
     return rows.mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose language is not rejected, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not shared.value.predict(t.as_py())[2] for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op5_language_id")
 def op5_language_id(spark, d):
     docs = table(spark, d, "documents")

@@ -248,14 +248,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
-    """Every row's doc_id, fp, component_id (and the hash `key`, if asked for)."""
+    """Every row's doc_id, fp, component_id; with `key` also the hash and `root`, which tells
+    components apart where different texts share an id."""
     rows = cut_lineage(fingerprints(docs, id_col, text_col, key))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     root = components(links(distinct.select("fp")))
     labelled = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    label = cut_lineage(labelled.join(least, "root").select("fp", "component_id"))
-    return rows.join(label, "fp", "left").select(*[c for c in rows.columns if c != "fp"], "fp", "component_id")
+    label = cut_lineage(labelled.join(least, "root").select("fp", "component_id", "root"))
+    return rows.join(label, "fp", "left").select(*[c for c in rows.columns if c != "fp"], "fp", "component_id", *(["root"] if key else []))
 
 
 @query("op4_simhash_near_duplicates")

@@ -13,50 +13,69 @@ from pyspark.sql import functions as F
 from panelweave.llm import decontaminate, langid, mixing, secrets, simhash
 from panelweave.llm.common import row_hash, table
 
-_KEY = "__row_hash"
 
 
-def _same(docs: DataFrame, keys: DataFrame, id_col: str, hash_col: str) -> Column:
-    return (docs[_KEY] == keys[hash_col]) & docs["doc_id"].eqNullSafe(keys[id_col])
+def _fresh(docs: DataFrame, name: str) -> str:
+    """`name`, longer if `docs` has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _hashed(docs: DataFrame) -> tuple[DataFrame, str]:
+    key = _fresh(docs, "__row_hash")
+    return docs.withColumn(key, row_hash(docs)), key
+
+
+def _same(docs: DataFrame, keys: DataFrame, key: str) -> Column:
+    return (docs[key] == keys["__h"]) & docs["doc_id"].eqNullSafe(keys["__id"])
+
+
+def _columns(docs: DataFrame, names: list[str]) -> list[Column]:
+    return [docs[f"`{c}`"] for c in names]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; a text without letters goes."""
-    found = langid.identify(docs, langid.fit_documents(docs))
-    return found.where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return langid.recognised(docs, langid.fit_documents(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the row with the smallest (doc_id, row hash), once."""
-    found = simhash.near_duplicates(docs, key=_KEY)
-    # without any id in a component, its fingerprints stand for themselves
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    keep = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _KEY)).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("__id"), F.col(f"k.{_KEY}").alias("__h"))
-    d = docs.withColumn(_KEY, row_hash(docs))
-    kept = d.join(keep, _same(d, keep, "__id", "__h"), "left_semi")
-    return kept.dropDuplicates([_KEY]).select(*docs.columns)
+    """Of each near-duplicate group the row with the smallest (doc_id, row hash), once; NULL ids come last."""
+    found = simhash.near_duplicates(docs, key="h")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("k")
+    keep = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h"))
+    d, key = _hashed(docs)
+    kept = d.join(keep, _same(d, keep, key), "left_semi").dropDuplicates([key])
+    return kept.select(*_columns(kept, docs.columns))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, as it is or with other parameters."""
-    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).withColumnsRenamed({"doc_id": "__id", "row": "__h"})
-    d = docs.withColumn(_KEY, row_hash(docs))
-    return d.join(bad, _same(d, bad, "__id", "__h"), "left_anti").select(*docs.columns)
+    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("row").alias("__h"))
+    d, key = _hashed(docs)
+    kept = d.join(bad, _same(d, bad, key), "left_anti")
+    return kept.select(*_columns(kept, docs.columns))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced; `n_chars` is that of the new text where a text changed."""
-    new = secrets.redacted(docs.withColumn("__old", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("__old"))
+    old = _fresh(docs, "__old")
+    new = secrets.redacted(docs.withColumn(old, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(old))
     chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return new.withColumn("n_chars", chars).select(*docs.columns)
+    new = new.withColumn("n_chars", chars)
+    return new.select(*_columns(new, docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, source_size, target and taken (words, repeats counted)."""
-    plan = mixing.mix(docs, key=_KEY).where("taken > 0")
-    # rows equal in every column draw the same place; one line each, with the words of all
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col(_KEY).alias("__h")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target")], F.sum("taken").alias("taken"))
-    d = docs.withColumn(_KEY, row_hash(docs)).dropDuplicates([_KEY])
-    return d.join(plan, _same(d, plan, "__id", "__h")).select(*[d[c] for c in docs.columns], "size", "source_size", "target", "taken")
+    """Documents that the mix takes, with size, source_size, target and taken (words, repeats counted).
+
+    Columns of these names are replaced. Rows equal in every column become one line with the words of all.
+    """
+    new = ["size", "source_size", "target", "taken"]
+    plan = mixing.mix(docs, key="h").where("taken > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(*[F.max(c).alias(c) for c in new[:3]], F.sum("taken").alias("taken"))
+    d, key = _hashed(docs)
+    d = d.dropDuplicates([key])
+    return d.join(plan, _same(d, plan, key)).select(*_columns(d, [c for c in docs.columns if c not in new]), *[plan[c] for c in new])
