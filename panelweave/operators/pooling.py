@@ -202,7 +202,8 @@ def cluster_robust(df: DataFrame, keys: list[str], cluster: str, y: str, v: str,
     c = F.col("tau2") / (1 + F.col("tau2") * F.col("s0"))
     s = lambda a, b, ab: F.col(ab) - c * F.col(a) * F.col(b)
     a00, a01, a11 = s("s0", "s0", "s0"), s("s0", "sx", "sx"), s("sx", "sx", "sxx")
-    u0, u1 = s("s0", "sy", "sy") - a00 * F.col("b0") - a01 * F.col("b1"), s("sx", "sy", "sxy") - a01 * F.col("b0") - a11 * F.col("b1")
+    b0 = F.col("b0") - F.col("y_mid")  # the sums are about y_mid
+    u0, u1 = s("s0", "sy", "sy") - a00 * b0 - a01 * F.col("b1"), s("sx", "sy", "sxy") - a01 * b0 - a11 * F.col("b1")
     d = d.select(*keys, cluster, a00.alias("a00"), a01.alias("a01"), a11.alias("a11"), u0.alias("u0"), u1.alias("u1"), "b0", "b1")
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*keys).schema.fields)
 
