@@ -7,13 +7,19 @@ one diagonal (document place minus item place) are one occurrence of the item. A
 enough windows counts if its slots are consistent: each item value stands for one document value
 of its type and the other way round.
 
+Windows of an item are of three sorts:
+
+* strict: of at least `LITERALS` words that are no placeholders
+* loose: all windows of an item with fewer than `ENOUGH` strict ones. An occurrence known by them
+  only has to be consistent and to share the whole template or `LITERALS` words with the item
+* plain: windows of the words themselves. Enough of them are a copy, whatever the slots
+
 Everything is column expressions and joins. Item windows, and the keys of documents whose slots
 are compared, are broadcast only while their number is within `BROADCAST_WINDOWS`; beyond that
 Spark joins by shuffle, with the same rows.
 
 Defined cases: NULL text has no words; an item shorter than a window is one window of all its
-words; windows with fewer than `LITERALS` words that are no placeholders say nothing and are
-left out (an item of nothing else is never found); rows with one doc_id count as one document in
+words; an item of placeholders only is found by its own values only; rows with one doc_id count as one document in
 the report, while `contaminated` tells them apart by their whole row; repeated items are found
 each; empty tables give no rows; columns other than ids and texts are ignored.
 """
@@ -65,25 +71,71 @@ def is_slot(word: Column) -> Column:
     return word.isin(NAME, NUMBER, UNIT)
 
 
-def windows(words: Column) -> Column:
-    """A hash for each window of WIDTH words; of all words if there are fewer; none if there are none."""
+def plain_words(mark: Column) -> Column:
+    """The words behind `marked` without marks; as many as `template` has."""
+    return values(F.replace(mark, F.lit(NAME), F.lit("")))
+
+
+def _starts(words: Column) -> Column:
+    """First places (from 1) of the windows of WIDTH words; one if there are fewer words; none if there are none."""
+    return F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (WIDTH - 1))))
+
+
+def windows(words: Column, starts: Column, reading: str = "template") -> Column:
+    """(pos from 0, h, reading) of the windows at `starts`; every word is hashed once."""
+    one = lambda x, i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(x, i, WIDTH)).alias("h"), F.lit(reading).alias("reading"))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda x: F.transform(starts, lambda i: one(x, i)))
+
+
+def other_windows(words: Column, other: Column, reading: str) -> Column:
+    """The windows of `other`, a second reading of `words`, that hold a word which differs."""
+    n = F.size(words)
+    last = F.greatest(F.lit(1), n - (WIDTH - 1))
+
+    def of(o):
+        differ = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda q: F.get(words, q - 1) != F.get(o, q - 1))
+        around = F.transform(differ, lambda q: F.sequence(F.greatest(F.lit(1), q - (WIDTH - 1)), F.least(q, last)))
+        return windows(o, F.array_distinct(F.flatten(around)), reading)
 
-    def of(w):
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (WIDTH - 1)))
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WIDTH))))
+    return let(other, of)
 
-    return let(words, of)
+
+_NO_WINDOWS = "array<struct<pos:int,h:bigint,reading:string>>"
+
+
+def text_windows(mark: Column) -> Column:
+    """All template windows of a text, and the plain ones where they are others."""
+
+    def of(m, w):
+        plain = F.when(F.exists(w, is_slot), other_windows(w, plain_words(m), "plain")).otherwise(F.array().cast(_NO_WINDOWS))
+        return F.concat(windows(w, _starts(w)), plain)
+
+    return let(mark, lambda m: let(template(m), lambda w: of(m, w)))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Rows (item_id, item_pos, h, needed) of the windows that say something."""
-    t = items.select(F.col(f"`{id_col}`").alias("item_id"), template(marked(F.col(f"`{text_col}`"))).alias("words"))
-    t = t.withColumn("hs", windows(F.col("words")))
-    literal = F.size(F.filter(F.slice("words", F.col("item_pos") + 1, WIDTH), lambda w: ~is_slot(w)))
-    w = t.select("item_id", "words", F.posexplode("hs").alias("item_pos", "h"))
-    w = w.where(literal >= F.least(F.lit(LITERALS), F.size("words")))
-    counts = w.groupBy("item_id", "words").agg(F.count(F.lit(1)).alias("item_windows"), F.collect_list(F.struct("item_pos", "h")).alias("ws"))
-    return counts.select("item_id", F.least(F.lit(ENOUGH), "item_windows").alias("needed"), F.explode("ws").alias("w")).select("item_id", "needed", "w.item_pos", "w.h")
+    """Rows (item_id, item_pos, h, strict, loose, plain, needed, enough, total).
+
+    `needed` are the strict windows of an occurrence, `enough` the windows of the other sorts,
+    `total` all windows of the item.
+    """
+    t = items.select(F.col(f"`{id_col}`").alias("item_id"), marked(F.col(f"`{text_col}`")).alias("m")).distinct()
+    t = t.select("item_id", template(F.col("m")).alias("words"), plain_words(F.col("m")).alias("plain_words")).where(F.size("words") > 0)
+    literal = lambda i: F.size(F.filter(F.slice("words", i, WIDTH), lambda w: ~is_slot(w)))
+    t = t.withColumn("says", F.transform(_starts(F.col("words")), lambda i: literal(i) >= F.least(F.lit(LITERALS), F.size("words"))))
+    t = t.withColumns({"total": F.size("says"), "n_strict": F.size(F.filter("says", lambda x: x))})
+    t = t.withColumns({"ws": windows(F.col("words"), _starts(F.col("words"))), "ps": windows(F.col("plain_words"), _starts(F.col("words")))})
+    t = t.withColumns({"enough": F.least(F.lit(ENOUGH), "total"), "needed": F.least(F.lit(ENOUGH), "n_strict")})
+    w = t.select("item_id", "needed", "enough", "total", (F.col("n_strict") < F.col("enough")).alias("loose"), F.explode(F.arrays_zip("says", "ws", "ps")).alias("z"))
+    w = w.withColumn("same", F.col("z.ws.h") == F.col("z.ps.h"))
+    no, yes = F.lit(False), F.lit(True)
+    kind = lambda h, strict, loose, plain: F.struct(h.alias("h"), strict.alias("strict"), loose.alias("loose"), plain.alias("plain"))
+    both = F.array(kind(F.col("z.ws.h"), F.col("z.says"), F.col("loose"), F.col("same")), kind(F.col("z.ps.h"), no, no, yes))
+    # a template window without slots is its plain window; one that says nothing is not joined
+    rows = F.filter(F.when(F.col("same"), F.slice(both, 1, 1)).otherwise(both), lambda k: k["strict"] | k["loose"] | k["plain"])
+    return w.select("item_id", F.col("z.ws.pos").alias("item_pos"), "needed", "enough", "total", F.explode(rows).alias("k")).select(
+        "item_id", "item_pos", "k.*", "needed", "enough", "total"
+    )
 
 
 def _small(written: DataFrame) -> DataFrame:
@@ -92,30 +144,35 @@ def _small(written: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, row, item_id, shift, n_windows, first_pos, last_pos) of occurrences with enough windows.
+    """Rows (doc_id, row, item_id, shift, n_windows, first_pos, last_pos, sort, total) of occurrences with enough windows.
 
-    `row` is a hash of the whole document row, `shift` the diagonal, positions are the item's.
+    `row` is a hash of the whole document row, `shift` the diagonal, positions are the item's;
+    `sort` is that of the windows which the occurrence is known by: strict, else plain, else loose.
     """
     wanted = cut_lineage(item_windows(items))
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_hash(docs).alias("row"), windows(template(marked(F.col(f"`{text_col}`")))).alias("hs"))
-    at = d.select("doc_id", "row", F.posexplode("hs").alias("doc_pos", "h"))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_hash(docs).alias("row"), text_windows(marked(F.col(f"`{text_col}`"))).alias("hs"))
+    at = d.select("doc_id", "row", F.explode("hs").alias("w")).select("doc_id", "row", F.col("w.pos").alias("doc_pos"), F.col("w.h").alias("h"), F.col("w.reading").alias("reading"))
     hits = at.join(_small(wanted), "h")
-    shift = (F.col("doc_pos") - F.col("item_pos")).alias("shift")
-    found = hits.groupBy("doc_id", "row", "item_id", "needed", shift).agg(
-        F.count_distinct("item_pos").alias("n_windows"), F.min("item_pos").alias("first_pos"), F.max("item_pos").alias("last_pos")
-    )
-    return found.where(F.col("n_windows") >= F.col("needed")).drop("needed")
+    sorts = ["strict", "plain", "loose"]
+    keys = ["doc_id", "row", "item_id", "needed", "enough", "total", "shift"]
+    hits = hits.withColumns({"strict": F.col("strict") & (F.col("reading") == "template"), "loose": F.col("loose") & (F.col("reading") != "plain")})
+    hits = hits.withColumn("shift", F.col("doc_pos") - F.col("item_pos")).groupBy(*keys, "item_pos").agg(*[F.max(k).alias(k) for k in sorts])
+    of = lambda k: F.struct(F.count_if(k).alias("n_windows"), F.min(F.when(F.col(k), F.col("item_pos"))).alias("first_pos"), F.max(F.when(F.col(k), F.col("item_pos"))).alias("last_pos"), F.lit(k).alias("sort"))
+    found = hits.groupBy(*keys).agg(*[of(k).alias(k) for k in sorts])
+    least = {"strict": F.greatest("needed", F.lit(1)), "plain": F.col("enough"), "loose": F.col("enough")}
+    best = F.coalesce(*[F.when(F.col(f"{k}.n_windows") >= least[k], F.col(k)) for k in sorts])
+    return found.select("doc_id", "row", "item_id", "shift", "total", best.alias("b")).where("b IS NOT NULL").select("doc_id", "row", "item_id", "shift", "b.*", "total")
 
 
 def consistent(found: DataFrame, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`found` with `n_slots`, `changed` (slots whose value differs) and `consistent`.
 
-    Only occurrences of items that have slots go back to the texts.
+    Only occurrences of items that have slots go back to the texts, and none known by plain windows.
     """
     found = cut_lineage(found)
     i = items.select(F.col("item_id"), marked(F.col("text")).alias("m")).select("item_id", template(F.col("m")).alias("it"), values(F.col("m")).alias("iv"))
     i = cut_lineage(i.where(F.exists("it", is_slot)).distinct())
-    open_ = found.join(i, "item_id")
+    open_ = found.where("sort <> 'plain'").join(i, "item_id")
     spots = F.filter(F.sequence(F.col("first_pos") + 1, F.col("last_pos") + WIDTH), lambda p: is_slot(F.get("it", p - 1)))
     open_ = open_.withColumn("spots", spots).where(F.size("spots") > 0)
     d = docs.select(F.col(f"`{id_col}`").alias("d_id"), row_hash(docs).alias("d_row"), F.col(f"`{text_col}`").alias("d_text"))
@@ -127,9 +184,11 @@ def consistent(found: DataFrame, docs: DataFrame, items: DataFrame, id_col: str
     pairs = F.filter(F.transform("spots", pair), lambda x: x["k"] == x["j"])
     both = both.withColumn("pairs", pairs)
     kinds = lambda *f: F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(*[x[c] for c in f]))))
+    shared = F.filter(F.sequence(F.col("first_pos") + 1, F.col("last_pos") + WIDTH), lambda p: ~is_slot(F.get("it", p - 1)) & (F.get("it", p - 1) == F.get("dt", p - 1 + F.col("shift"))))
+    guarded = (F.size(shared) >= LITERALS) | (F.size(shared) > 0) & (F.col("n_windows") == F.col("total"))
     one_to_one = (kinds("k", "i") == kinds("k", "i", "d")) & (kinds("k", "d") == kinds("k", "i", "d"))
     keys = ["doc_id", "row", "item_id", "shift"]
-    checked = both.select(*keys, F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda x: x["i"] != x["d"])).alias("changed"), one_to_one.alias("ok"))
+    checked = both.select(*keys, F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda x: x["i"] != x["d"])).alias("changed"), (one_to_one & ((F.col("sort") == "strict") | guarded)).alias("ok"))
     # items repeated under one id may be read more than once: the best reading counts
     checked = checked.groupBy(*keys).agg(F.max("ok").alias("ok"), F.max("n_slots").alias("n_slots"), F.min("changed").alias("changed"))
     c = checked.select(*[F.col(k).alias(f"c_{k}") for k in keys], "ok", "n_slots", "changed")

@@ -97,3 +97,18 @@ def test_odd_rows(spark, odd_documents, no_documents, clashing, items):
     assert dc.contaminated(odd_documents, items.where("false")).count() == 0
     twice = odd_documents.unionByName(spark.createDataFrame([(8, ITEM, "en", "s", 1)] * 2, odd_documents.schema))
     assert [r.doc_id for r in dc.contaminated(twice, items).collect()] == [8]  # one kind of row of three with this id
+
+
+DENSE = "If John Smith drives 60 km in 2 h, how far does John Smith drive in 5 h?"
+
+
+def test_items_dense_in_slots(spark, documents):
+    """Items without a window of six literal words are found as copies and with other parameters, not by their shape alone."""
+    solve, ask, counts = "Solve 3 x + 5 = 20 for x.", "What is 12 times 17?", "1 2 3 4 5 6 7 8 9 10 11 12 13 14"
+    items = spark.createDataFrame([(1, DENSE), (2, solve), (3, ask), (4, counts)], "item_id long, text string")
+    other = DENSE.replace("John Smith", "Mary Jones").replace("60", "75").replace("5 h", "9 h")
+    two_people = other.replace("does Mary Jones", "does Paul Black")
+    texts = [PROSE + " " + DENSE, DENSE + " " + PROSE, PROSE + " " + other, PROSE + " " + two_people, solve, ask, PROSE + " " + counts, "7 7 8 8 9 9 1 1 2 2 3 3 4 4 5 5 6 6", DENSE.lower(), PROSE]
+    got = found(documents, items, texts)
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2), (5, 3), (6, 4), (8, 1)}
+    assert got[2, 1].reparameterised and not got[0, 1].reparameterised
