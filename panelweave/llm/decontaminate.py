@@ -5,13 +5,15 @@ so that a question asked again with other parameters keeps its template. Windows
 template words of the benchmark items are joined by hash with those of the documents. Matches on
 one diagonal (document place minus item place) are one occurrence of the item. An occurrence of
 enough windows counts if its slots are consistent: each item value stands for one document value
-of its type and the other way round.
+of its type (units in one spelling); two item values may stand for one document value.
 
 Windows of an item are of three sorts:
 
 * strict: of at least `LITERALS` words that are no placeholders
 * loose: all windows of an item with fewer than `ENOUGH` strict ones. An occurrence known by them
   only has to be consistent and to share the whole template or `LITERALS` words with the item
+  (an item that would have too few windows without its sentence starts also has all windows
+  loose, and those in which capitalised sentence starts are read as names)
 * plain: windows of the words themselves. Enough of them are a copy, whatever the slots
 
 Everything is column expressions and joins. Item windows, and the keys of documents whose slots
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import let, query, row_hash, table
+from panelweave.llm.quality import COMMON_WORDS
 from panelweave.session import cut_lineage
 
 WIDTH = 8  # template words
@@ -41,17 +44,26 @@ NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # placeholders, from the priv
 # Units that follow a number. (Fixed values.)
 UNITS = "mm cm m km kg g mg t l ml h min s ms ha mph kb mb gb kw kwh v w hz percent euro euros dollar dollars hours hour days day years year".split()
 
+# Spellings of one unit. (Fixed values.)
+SPELLINGS = {"hours": "h", "hour": "h", "days": "day", "years": "year", "euros": "euro", "dollars": "dollar"}
+
+START = "\ue003"  # mark of a capitalised word that is no name for certain
+# Words that are no names where a sentence starts. (Fixed values.)
+NO_NAMES = sorted({w.capitalize() for words in COMMON_WORDS.values() for w in words if len(w) > 1} | set("If How What When Where Who Why Which Then There".split()))
+
 _NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 # a capital and a small letter behind a word or comma and one space start a name; sentence starts
 # do not, nor do words all in capitals
 _NAME_START = r"([\p{L}\p{N},;] )(\p{Lu}\p{Ll})"
+_MAYBE_NAME = rf"(?<![\p{{L}}{NAME}])(?!(?:{'|'.join(NO_NAMES)})(?!\p{{L}}))(?=\p{{Lu}}\p{{Ll}})"
 _AFTER_UNIT = r"([^\p{L}]|$)"
 
 
-def marked(text: Column) -> Column:
-    """Small letters, with a mark before each name."""
+def marked(text: Column, starts: bool = False) -> Column:
+    """Small letters, with a mark before each name and, if asked for, another before each possible one."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}]", "")
-    return F.lower(F.regexp_replace(bare, _NAME_START, f"$1{NAME}$2"))
+    names = F.regexp_replace(bare, _NAME_START, f"$1{NAME}$2")
+    return F.lower(F.regexp_replace(names, _MAYBE_NAME, START) if starts else names)
 
 
 def values(mark: Column) -> Column:
@@ -59,12 +71,26 @@ def values(mark: Column) -> Column:
     return F.regexp_extract_all(mark, F.lit(rf"{NAME}?\p{{L}}+|{_NUMBER}"), F.lit(0))
 
 
-def template(mark: Column) -> Column:
-    """Template words: placeholders and literal words."""
+def tokens(mark: Column) -> Column:
+    """Template words: placeholders and literal words, possible names with their mark."""
     t = F.regexp_replace(mark, rf"{NAME}\p{{L}}+", NAME)
     t = F.regexp_replace(t, _NUMBER, NUMBER)
     t = F.regexp_replace(t, rf"{NUMBER} ?({'|'.join(UNITS)}){_AFTER_UNIT}", f"{NUMBER} {UNIT}$2")
-    return F.regexp_extract_all(t, F.lit(rf"[{NAME}{NUMBER}{UNIT}]|\p{{L}}+"), F.lit(0))
+    return F.regexp_extract_all(t, F.lit(rf"[{NAME}{NUMBER}{UNIT}]|{START}?\p{{L}}+"), F.lit(0))
+
+
+def is_start(word: Column) -> Column:
+    return F.startswith(word, F.lit(START))
+
+
+def template(words: Column) -> Column:
+    """`tokens` in which possible names are literal words."""
+    return F.when(F.exists(words, is_start), F.transform(words, lambda w: F.when(is_start(w), F.substring(w, 2, 10**9)).otherwise(w))).otherwise(words)
+
+
+def renamed(words: Column) -> Column:
+    """`tokens` in which possible names are names."""
+    return F.transform(words, lambda w: F.when(is_start(w), F.lit(NAME)).otherwise(w))
 
 
 def is_slot(word: Column) -> Column:
@@ -73,7 +99,7 @@ def is_slot(word: Column) -> Column:
 
 def plain_words(mark: Column) -> Column:
     """The words behind `marked` without marks; as many as `template` has."""
-    return values(F.replace(mark, F.lit(NAME), F.lit("")))
+    return values(F.translate(mark, NAME + START, ""))
 
 
 def _starts(words: Column) -> Column:
@@ -104,35 +130,41 @@ _NO_WINDOWS = "array<struct<pos:int,h:bigint,reading:string>>"
 
 
 def text_windows(mark: Column) -> Column:
-    """All template windows of a text, and the plain ones where they are others."""
+    """All template windows of a text, the plain ones where they are others, and those with possible names."""
 
-    def of(m, w):
+    def of(m, t, w):
+        names = F.when(F.exists(t, is_start), other_windows(w, renamed(t), "names")).otherwise(F.array().cast(_NO_WINDOWS))
         plain = F.when(F.exists(w, is_slot), other_windows(w, plain_words(m), "plain")).otherwise(F.array().cast(_NO_WINDOWS))
-        return F.concat(windows(w, _starts(w)), plain)
+        return F.concat(windows(w, _starts(w)), plain, names)
 
-    return let(mark, lambda m: let(template(m), lambda w: of(m, w)))
+    return let(mark, lambda m: let(tokens(m), lambda t: let(template(t), lambda w: of(m, t, w))))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Rows (item_id, item_pos, h, strict, loose, plain, needed, enough, total).
+    """Rows (item_id, item_pos, h, strict, loose, plain, names, needed, enough, total).
 
     `needed` are the strict windows of an occurrence, `enough` the windows of the other sorts,
-    `total` all windows of the item.
+    `total` all windows of the item; `names` are windows with possible names.
     """
-    t = items.select(F.col(f"`{id_col}`").alias("item_id"), marked(F.col(f"`{text_col}`")).alias("m")).distinct()
-    t = t.select("item_id", template(F.col("m")).alias("words"), plain_words(F.col("m")).alias("plain_words")).where(F.size("words") > 0)
+    t = items.select(F.col(f"`{id_col}`").alias("item_id"), marked(F.col(f"`{text_col}`"), True).alias("m")).distinct()
+    t = t.select("item_id", tokens(F.col("m")).alias("tokens"), plain_words(F.col("m")).alias("plain_words"))
+    t = t.withColumn("words", template(F.col("tokens"))).where(F.size("words") > 0)
     literal = lambda i: F.size(F.filter(F.slice("words", i, WIDTH), lambda w: ~is_slot(w)))
     t = t.withColumn("says", F.transform(_starts(F.col("words")), lambda i: literal(i) >= F.least(F.lit(LITERALS), F.size("words"))))
     t = t.withColumns({"total": F.size("says"), "n_strict": F.size(F.filter("says", lambda x: x))})
     t = t.withColumns({"ws": windows(F.col("words"), _starts(F.col("words"))), "ps": windows(F.col("plain_words"), _starts(F.col("words")))})
+    t = t.withColumn("starts", F.transform(_starts(F.col("words")), lambda i: F.exists(F.slice("tokens", i, WIDTH), is_start)))
+    t = t.withColumn("ns", windows(renamed(F.col("tokens")), _starts(F.col("words"))))
     t = t.withColumns({"enough": F.least(F.lit(ENOUGH), "total"), "needed": F.least(F.lit(ENOUGH), "n_strict")})
-    w = t.select("item_id", "needed", "enough", "total", (F.col("n_strict") < F.col("enough")).alias("loose"), F.explode(F.arrays_zip("says", "ws", "ps")).alias("z"))
+    w = t.select("item_id", "needed", "enough", "total", "n_strict", (F.size(F.filter("starts", lambda x: ~x)) < F.col("enough")).alias("names"), F.explode(F.arrays_zip("says", "starts", "ws", "ps", "ns")).alias("z"))
+    w = w.withColumns({"names": F.col("names") & F.col("z.starts"), "loose": F.col("names") | (F.col("n_strict") < F.col("enough"))})
     w = w.withColumn("same", F.col("z.ws.h") == F.col("z.ps.h"))
     no, yes = F.lit(False), F.lit(True)
-    kind = lambda h, strict, loose, plain: F.struct(h.alias("h"), strict.alias("strict"), loose.alias("loose"), plain.alias("plain"))
+    kind = lambda h, strict, loose, plain, names=no: F.struct(h.alias("h"), strict.alias("strict"), loose.alias("loose"), plain.alias("plain"), names.alias("names"))
     both = F.array(kind(F.col("z.ws.h"), F.col("z.says"), F.col("loose"), F.col("same")), kind(F.col("z.ps.h"), no, no, yes))
+    renames = F.when(F.col("names"), F.array(kind(F.col("z.ns.h"), no, yes, no, yes))).otherwise(F.slice(both, 1, 0))
     # a template window without slots is its plain window; one that says nothing is not joined
-    rows = F.filter(F.when(F.col("same"), F.slice(both, 1, 1)).otherwise(both), lambda k: k["strict"] | k["loose"] | k["plain"])
+    rows = F.filter(F.concat(F.when(F.col("same"), F.slice(both, 1, 1)).otherwise(both), renames), lambda k: k["strict"] | k["loose"] | k["plain"])
     return w.select("item_id", F.col("z.ws.pos").alias("item_pos"), "needed", "enough", "total", F.explode(rows).alias("k")).select(
         "item_id", "item_pos", "k.*", "needed", "enough", "total"
     )
@@ -150,12 +182,13 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     `sort` is that of the windows which the occurrence is known by: strict, else plain, else loose.
     """
     wanted = cut_lineage(item_windows(items))
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_hash(docs).alias("row"), text_windows(marked(F.col(f"`{text_col}`"))).alias("hs"))
+    starts = not wanted.where("names").isEmpty()
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_hash(docs).alias("row"), text_windows(marked(F.col(f"`{text_col}`"), starts)).alias("hs"))
     at = d.select("doc_id", "row", F.explode("hs").alias("w")).select("doc_id", "row", F.col("w.pos").alias("doc_pos"), F.col("w.h").alias("h"), F.col("w.reading").alias("reading"))
     hits = at.join(_small(wanted), "h")
     sorts = ["strict", "plain", "loose"]
     keys = ["doc_id", "row", "item_id", "needed", "enough", "total", "shift"]
-    hits = hits.withColumns({"strict": F.col("strict") & (F.col("reading") == "template"), "loose": F.col("loose") & (F.col("reading") != "plain")})
+    hits = hits.withColumns({"strict": F.col("strict") & (F.col("reading") == "template"), "loose": F.col("loose") & (F.col("reading") != "plain"), "plain": F.col("plain") & (F.col("reading") != "names")})
     hits = hits.withColumn("shift", F.col("doc_pos") - F.col("item_pos")).groupBy(*keys, "item_pos").agg(*[F.max(k).alias(k) for k in sorts])
     of = lambda k: F.struct(F.count_if(k).alias("n_windows"), F.min(F.when(F.col(k), F.col("item_pos"))).alias("first_pos"), F.max(F.when(F.col(k), F.col("item_pos"))).alias("last_pos"), F.lit(k).alias("sort"))
     found = hits.groupBy(*keys).agg(*[of(k).alias(k) for k in sorts])
@@ -170,25 +203,29 @@ def consistent(found: DataFrame, docs: DataFrame, items: DataFrame, id_col: str
     Only occurrences of items that have slots go back to the texts, and none known by plain windows.
     """
     found = cut_lineage(found)
-    i = items.select(F.col("item_id"), marked(F.col("text")).alias("m")).select("item_id", template(F.col("m")).alias("it"), values(F.col("m")).alias("iv"))
-    i = cut_lineage(i.where(F.exists("it", is_slot)).distinct())
+    i = items.select(F.col("item_id"), marked(F.col("text"), True).alias("m")).select("item_id", tokens(F.col("m")).alias("it"), plain_words(F.col("m")).alias("iv"))
+    i = cut_lineage(i.where(F.exists("it", lambda w: is_slot(w) | is_start(w))).distinct())
     open_ = found.where("sort <> 'plain'").join(i, "item_id")
+    # possible names are names in loose occurrences only
+    open_ = open_.withColumn("it", F.when(F.col("sort") == "loose", renamed(F.col("it"))).otherwise(template(F.col("it")))).distinct()
     spots = F.filter(F.sequence(F.col("first_pos") + 1, F.col("last_pos") + WIDTH), lambda p: is_slot(F.get("it", p - 1)))
     open_ = open_.withColumn("spots", spots).where(F.size("spots") > 0)
     d = docs.select(F.col(f"`{id_col}`").alias("d_id"), row_hash(docs).alias("d_row"), F.col(f"`{text_col}`").alias("d_text"))
     key = (F.col("row") == F.col("d_row")) & F.col("doc_id").eqNullSafe(F.col("d_id"))
     near = d.join(open_.select("doc_id", "row").distinct(), key, "left_semi").distinct()
-    near = near.withColumn("m", marked(F.col("d_text"))).select("d_id", "d_row", template(F.col("m")).alias("dt"), values(F.col("m")).alias("dv"))
-    both = open_.join(near, key)
-    pair = lambda p: F.struct(F.get("it", p - 1).alias("k"), F.get("iv", p - 1).alias("i"), F.get("dv", p - 1 + F.col("shift")).alias("d"), F.get("dt", p - 1 + F.col("shift")).alias("j"))
+    near = near.withColumn("m", marked(F.col("d_text"), True)).select("d_id", "d_row", tokens(F.col("m")).alias("dt"), plain_words(F.col("m")).alias("dv"))
+    both = open_.join(near, key).withColumn("dt", F.when(F.col("sort") == "loose", renamed(F.col("dt"))).otherwise(template(F.col("dt"))))
+    spelling = F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv])
+    one = lambda v: F.coalesce(F.element_at(spelling, F.coalesce(v, F.lit(""))), v)
+    pair = lambda p: F.struct(F.get("it", p - 1).alias("k"), one(F.get("iv", p - 1)).alias("i"), one(F.get("dv", p - 1 + F.col("shift"))).alias("d"), F.get("dt", p - 1 + F.col("shift")).alias("j"))
     pairs = F.filter(F.transform("spots", pair), lambda x: x["k"] == x["j"])
     both = both.withColumn("pairs", pairs)
     kinds = lambda *f: F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(*[x[c] for c in f]))))
     shared = F.filter(F.sequence(F.col("first_pos") + 1, F.col("last_pos") + WIDTH), lambda p: ~is_slot(F.get("it", p - 1)) & (F.get("it", p - 1) == F.get("dt", p - 1 + F.col("shift"))))
     guarded = (F.size(shared) >= LITERALS) | (F.size(shared) > 0) & (F.col("n_windows") == F.col("total"))
-    one_to_one = (kinds("k", "i") == kinds("k", "i", "d")) & (kinds("k", "d") == kinds("k", "i", "d"))
+    one_value = kinds("k", "i") == kinds("k", "i", "d")
     keys = ["doc_id", "row", "item_id", "shift"]
-    checked = both.select(*keys, F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda x: x["i"] != x["d"])).alias("changed"), (one_to_one & ((F.col("sort") == "strict") | guarded)).alias("ok"))
+    checked = both.select(*keys, F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda x: x["i"] != x["d"])).alias("changed"), (one_value & ((F.col("sort") == "strict") | guarded)).alias("ok"))
     # items repeated under one id may be read more than once: the best reading counts
     checked = checked.groupBy(*keys).agg(F.max("ok").alias("ok"), F.max("n_slots").alias("n_slots"), F.min("changed").alias("changed"))
     c = checked.select(*[F.col(k).alias(f"c_{k}") for k in keys], "ok", "n_slots", "changed")

@@ -112,3 +112,17 @@ def test_items_dense_in_slots(spark, documents):
     got = found(documents, items, texts)
     assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2), (5, 3), (6, 4), (8, 1)}
     assert got[2, 1].reparameterised and not got[0, 1].reparameterised
+
+
+BOXES = "The clerk at the counter packed {} boxes of apples in the morning and then {} boxes of pears late in the day for the shop."
+DRIVE = "The clerk at the counter waited {} for the first van to come and then {} more for the second van to be there."
+MARIA = "{} buys a loaf of fresh bread at the shop every morning."
+
+
+def test_values_that_may_meet(spark, documents):
+    """Two item values may get one value, units have spellings, and names start sentences."""
+    two_names = "Later on the teacher asked {} to bring the book and the teacher told {} to read the whole book aloud."
+    rows = [(1, BOXES.format(3, 5)), (2, DRIVE.format("2 hours", "3 hours")), (3, MARIA.format("Maria")), (4, two_names.format("Anna", "Anna"))]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [BOXES.format(4, 4), DRIVE.format("1 hour", "3 hours"), PROSE + " " + MARIA.format("Peter"), two_names.format("Zed", "Bob"), MARIA.format("Nobody else ever")]
+    assert set(found(documents, items, texts)) == {(0, 1), (1, 2), (2, 3)}
