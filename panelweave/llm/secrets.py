@@ -11,7 +11,7 @@ Kinds, in the order in which spans at one start are listed:
 * `access`: an access key id of 20 or more characters
 * `hex`: 24 or more lower-case hexadecimal digits
 * `github`, `npm`: prefixed tokens whose last six characters are the base-62 CRC-32 of the rest
-* `iban`: account numbers that satisfy the mod-97 check
+* `iban`: account numbers of the registered countries, of their country's length, that satisfy the mod-97 check
 * `private_key`: PEM private key blocks, header to footer
 
 Defined cases: NULL text is empty text and has no spans; repeated rows are scanned each;
@@ -42,8 +42,7 @@ ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[^-]*-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----")
 
 # Lower-case keywords and the kind whose pattern is tried where they start. (Fixed values.)
 KEYWORDS = {
@@ -62,7 +61,14 @@ KEYWORDS = {
     "npm_": "npm",
     "-----begin": "private_key",
 }
-IBAN_COUNTRIES = "AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()
+# Length of the account numbers of each registered country. (Fixed values.)
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+        "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,12 +86,20 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+@functools.lru_cache(None)
+def iban_pattern(country: str) -> re.Pattern:
+    """Groups of four behind the check digits, then the rest; one blank before each at most."""
+    groups, rest = divmod(IBAN_LENGTHS[country] - 4, 4)
+    tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+    return re.compile(rf"{country}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}(?![A-Za-z0-9])")
+
+
 @functools.lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for word, kind in KEYWORDS.items():
         a.add_word(word, (kind, len(word)))
-    for country in IBAN_COUNTRIES:  # an account number starts with the country and a check digit
+    for country in IBAN_LENGTHS:  # an account number starts with the country and a check digit
         for digit in "0123456789":
             a.add_word(country.lower() + digit, ("iban", 3))
     a.make_automaton()
@@ -117,14 +131,22 @@ def _checked(pattern):
 
 
 def _iban(text, at):
-    if at and text[at - 1].isalnum() or not (m := IBAN.match(text, at)):
+    country = text[at : at + 2]
+    if country not in IBAN_LENGTHS or at and text[at - 1].isalnum():
         return None
-    return m.end(), iban_ok(m[0])
+    m = iban_pattern(country).match(text, at)
+    # a look-alike that fails uses up nothing, since a real number may start inside
+    return m and iban_ok(m[0]) and (m.end(), True) or None
 
 
 def _pem(text, at):
-    m = PEM.match(text, at)
-    return m and (m.end(), True)
+    """To the footer of the same label, before any other header; each character is looked at once."""
+    if not (m := PEM.match(text, at)):
+        return None
+    other = text.find("-----BEGIN ", m.end())
+    footer = f"-----END {m[1]}-----"
+    end = text.find(footer, m.end(), len(text) if other < 0 else other)
+    return (end + len(footer), True) if end >= 0 else None
 
 
 _TRY = {"assign": _assign, "access": _access, "github": _checked(GITHUB), "npm": _checked(NPM), "iban": _iban, "private_key": _pem}

@@ -62,3 +62,26 @@ def test_odd_rows(odd_documents, no_documents, clashing):
     assert secrets.scan_secrets(odd_documents).where("spans = ''").count() == odd_documents.count()
     assert secrets.scan_secrets(no_documents).count() == 0
     assert secrets.redacted(clashing).columns == clashing.columns
+
+
+def kinds(text):
+    return [(k, text[a:b]) for k, a, b in secrets.find_secrets(text) if k in ("iban", "private_key")]
+
+
+def test_account_numbers_before_capitals_and_of_all_countries():
+    spain, austria = "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201"
+    for number, after in [(spain, " BIC"), (spain, " EUR"), (austria, " IBAN"), (spain, "."), (spain, ""), (austria, " X 1")]:
+        assert kinds(f"to {number}{after}") == [("iban", number)]
+    for number in ["GR16 0110 1250 0000 0001 2300 695", "TR33 0006 1005 1978 6457 8413 26", "SA03 8000 0000 6080 1016 7519", "HU42 1177 3016 1111 1018 0000 0000", "NO93 8601 1117 947"]:
+        assert kinds(f"{number} EUR") == [("iban", number)]
+        assert kinds(number.replace(" ", "")) == [("iban", number.replace(" ", ""))]
+        assert kinds(number[:-1] + str((int(number[-1]) + 1) % 10)) == []
+    assert kinds(f"DE12 {spain} GB82 WEST 1234") == [("iban", spain)]
+
+
+def test_encrypted_private_keys():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nMIIE+/=\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN RSA PRIVATE KEY-----\nMIIE"
+    assert kinds(f"a {cut}\n{key}\n{key} b") == [("private_key", key)] * 2
+    assert secrets.redact(f"a {key} b") == "a [SECRET] b"
+    assert kinds(key.replace("END RSA", "END EC")) == []
