@@ -10,8 +10,8 @@ Everything is column expressions. One pass over the texts makes a narrow table o
 references (one row a language, of a fixed list of languages) and the verdicts come from it.
 
 Defined cases: NULL and empty texts have no words and fail the base rules; repeated rows are
-judged each; a language outside the list adds to no reference; without any reference (an empty
-table) nothing is judged by distance. Columns other than id, text and language are ignored.
+judged each; a language outside the list has a class reference of its own and is not judged by
+words; a document whose language has no reference, or which has none, is not judged by distance. Columns other than id, text and language are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ BINS = sorted({w for words in COMMON_WORDS.values() for w in words})
 # Character classes, counted one after another in what the ones before left; the rest is the last class.
 CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "space": r"[\x20\x09-\x0D]+", "stop": r"[.,;:!?'\"()-]+", "digit": r"\p{Nd}+", "symbol": r"[#*$%&|<>]+"}
 
+BROADCAST_LANGUAGES = 10_000  # rows of a few numbers each
 CLASS_CHARS, COMMON_COUNT = 200, 30  # shortest texts judged: characters, common words
 CLASS_DISTANCE, WORD_DISTANCE = 0.28, 0.75  # farthest from the nearest reference
 
@@ -120,7 +121,7 @@ def base_failed(n_words: Column, n_repeat: Column) -> Column:
     return (n_words < LEAST_WORDS) | (100 * n_repeat > MOST_REPEATED * n_words)
 
 
-def distance(counts: Column, reference: list[float]) -> Column:
+def distance(counts: Column, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance of a histogram from a reference distribution."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
 
@@ -129,7 +130,7 @@ def distance(counts: Column, reference: list[float]) -> Column:
         part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
         return (part(p) + part(q)) / 2
 
-    ref = F.array(*[F.lit(float(q)) for q in reference])
+    ref = reference if isinstance(reference, Column) else F.array(*[F.lit(float(q)) for q in reference])
     return let(total, lambda n: F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(counts, ref, lambda c, q: term(c / n, q)), F.lit(0.0), lambda a, b: a + b)))))
 
 
@@ -155,16 +156,31 @@ def nearest(counts: Column, refs: list[list[float]]) -> Column:
     return F.least(*each) if len(each) > 1 else each[0] if each else F.lit(None).cast("double")
 
 
+def other_references(rows: DataFrame) -> DataFrame:
+    """Rows (ref_lang, ref): class shares of each language outside COMMON_WORDS, over its rows that pass the base rules."""
+    good = rows.where(~F.col("lang").isin(list(COMMON_WORDS)) & ~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    sums = good.groupBy(F.col("lang").alias("ref_lang")).agg(F.array(*[F.sum(F.get("classes", i)) for i in range(len(CLASSES) + 1)]).alias("c"))
+    total = F.aggregate("c", F.lit(0).cast("long"), lambda a, b: a + b)
+    return sums.where(total > 0).select("ref_lang", F.transform("c", lambda x: x / total).alias("ref"))
+
+
 def judge(rows: DataFrame) -> DataFrame:
     """The table of `measures` with class_distance, word_distance, base_failed and kept."""
     refs = references(rows)
-    rows = rows.withColumn("class_distance", nearest(F.col("classes"), [c for c, _ in refs.values()]))
+    columns = [c for c in rows.columns if c not in ("class_distance", "word_distance", "base_failed", "kept")]
+    others = cut_lineage(other_references(rows))
+    others = F.broadcast(others) if others.count() <= BROADCAST_LANGUAGES else others
+    rows = rows.select(*columns).join(others, F.col("lang") == F.col("ref_lang"), "left")
+    listed = F.coalesce(F.col("lang").isin(list(refs)), F.lit(False))
+    own = F.when(F.col("ref").isNotNull(), distance(F.col("classes"), F.col("ref")))
+    rows = rows.withColumn("class_distance", F.least(nearest(F.col("classes"), [c for c, _ in refs.values()]), own))
     rows = rows.withColumn("word_distance", nearest(F.col("bins"), [b for _, b in refs.values()]))
     size = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, b: a + b)
-    odd_classes = (size("classes") >= CLASS_CHARS) & (F.col("class_distance") > CLASS_DISTANCE)
-    odd_words = (size("bins") >= COMMON_COUNT) & (F.col("word_distance") > WORD_DISTANCE)
+    odd_classes = (listed | F.col("ref").isNotNull()) & (size("classes") >= CLASS_CHARS) & (F.col("class_distance") > CLASS_DISTANCE)
+    odd_words = listed & (size("bins") >= COMMON_COUNT) & (F.col("word_distance") > WORD_DISTANCE)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))})
+    rows = rows.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))})
+    return rows.drop("ref_lang", "ref")
 
 
 def _sql() -> str:

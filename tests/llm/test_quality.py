@@ -92,3 +92,16 @@ def test_odd_rows(odd_documents, no_documents, clashing):
     assert quality.judge(quality.measures(odd_documents)).count() == odd_documents.count()
     assert quality.judge(quality.measures(no_documents)).count() == 0
     assert quality.judge(quality.measures(clashing)).count() == 6
+
+
+def test_languages_outside_the_list(spark, documents):
+    """Clean text of another script is kept; junk under its label is not; without a reference nothing is judged by distance."""
+    import random
+
+    rng = random.Random(1)
+    hindi = lambda: " ".join("".join(chr(rng.randint(0x0915, 0x0939)) for _ in range(4)) for _ in range(120))
+    junk = " ".join(f"#{i}|$%{i * 7}&<{i}>" for i in range(60))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(-i, hindi(), "hi") for i in range(1, 9)] + [(-20, junk, "hi"), (-21, hindi(), None)]
+    got = {r.doc_id: r.kept for r in quality.judge(quality.measures(docs.unionByName(documents(rows)))).collect()}
+    assert all(got[-i] for i in range(1, 9)) and not got[-20] and got[-21]
