@@ -206,7 +206,7 @@ def test_nearest_segment_reaches_everything(spark):
     seg = spark.createDataFrame([(7, 0.0, 0.0, 3.0, 40.0)], "g int, x1 double, y1 double, x2 double, y2 double")
     pts = spark.createDataFrame([(1, 200_000.0, -5.0), (2, 1.0, 20.0), (3, None, 1.0), (4, float("nan"), 1.0)], "id int, x double, y double")
     got = {r.id: (r.dist, r.g) for r in spatial.nearest_segment(pts, seg, "id", ["g"], 1.0).collect()}
-    assert got[1][0] == pytest.approx(np.hypot(200_000, 5), rel=1e-9) and got[1][1] == 7
+    assert got[1][0] == pytest.approx(np.hypot(199_997, 45), rel=1e-9) and got[1][1] == 7
     assert got[2][0] == pytest.approx(abs(1 * 40 - 20 * 3) / np.hypot(3, 40), rel=1e-9)
     assert got[3] == got[4] == (None, None)
     assert {r.id: r.dist for r in spatial.nearest_segment(pts, seg.where("false"), "id", ["g"], 1.0).collect()} == dict.fromkeys((1, 2, 3, 4))
