@@ -2,6 +2,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from oracle_check import compare, connect
 from panelweave.llm import decontaminate as dc
@@ -78,18 +79,56 @@ def test_query(spark):
     assert ok, said
 
 
-def test_sql_twin_with_slots(spark, documents, items, tmp_path):
-    """The SQL agrees on names, numbers and units too."""
-    other = ITEM.replace("Anna", "Zed").replace("12", "7.5").replace("3 ", "44 ").replace("km", "mm")
-    docs = documents([(0, PROSE), (1, PROSE + " " + ITEM), (2, other + " " + PROSE), (3, PROSE + " " + ITEM.replace("Anna at", "Zed at")), (4, ITEM + "\n" + other)])
+def twin_agrees(spark, docs, items, folder):
     con = duckdb.connect()
     for name, df in (("documents", docs), ("benchmark", items)):
-        df.coalesce(1).write.parquet(str(tmp_path / name))
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path / name}/*.parquet')")
+        df.coalesce(1).write.parquet(str(folder / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder / name}/*.parquet')")
     ok, said = compare(spark, con, lambda s, _: dc.report(docs, items), ORACLES["op10_decontaminate"], "")
     assert ok, said
 
 
+def test_sql_twin_with_slots(spark, documents, items, tmp_path):
+    """The SQL agrees on names, numbers and units too."""
+    other = ITEM.replace("Anna", "Zed").replace("12", "7.5").replace("3 ", "44 ").replace("km", "mm")
+    docs = documents([(0, PROSE), (1, PROSE + " " + ITEM), (2, other + " " + PROSE), (3, PROSE + " " + ITEM.replace("Anna at", "Zed at")), (4, ITEM + "\n" + other)])
+    twin_agrees(spark, docs, items, tmp_path)
+
+
+def test_sql_twin_on_all_sorts_of_windows(spark, documents, tmp_path):
+    """Items dense in slots, copies, names at sentence starts, unit spellings, texts shorter than a window."""
+    names = ["Maria", "Peter", "Anna", "It", "The", "Bob"]
+    made = [DENSE, "Solve 3 x + 5 = 20 for x.", "What is 12 times 17?", "1 2 3 4 5 6 7 8 9 10 11 12", BOXES.format(3, 5), DRIVE.format("2 hours", "3 hours"), MARIA.format("Maria"), BRIDGE, "Five words are too few", "One", ""]
+    items = spark.createDataFrame(list(enumerate(made)), "item_id long, text string")
+    texts = list(made)
+    for i, name in enumerate(names):
+        texts += [MARIA.format(name), PROSE + " " + MARIA.format(name) + " " + BOXES.format(i, 5), DENSE.replace("John", name).replace("60", str(i)), DRIVE.format(f"{i} hour", f"{i + 1} min")]
+    texts += [DENSE.replace("does John Smith", "does Paul Black"), DENSE.lower(), "7 7 8 8 9 9 1 1 2 2 3 3", BRIDGE.upper(), DRIVE.format("2 weeks", "3 feet"), DRIVE.format("4hours", "4\nhours"), "\ue000Anna \ue003 " + BRIDGE, None]
+    twin_agrees(spark, documents(list(enumerate(texts))), items, tmp_path)
+
+
+def test_runs_spare_windows(spark, documents):
+    """Windows of a text are hashed only where neighbouring words could be an item's."""
+    items = spark.createDataFrame([(1, BRIDGE)], "item_id long, text string")
+    pairs = dc.item_pairs(items, False)
+    docs = documents([(0, PROSE), (1, PROSE + " " + BRIDGE + " " + PROSE), (2, "too few"), (3, "old bridge"), (4, ""), (5, None)])
+    words = dc.words_of(F.col("text"))
+    got = {r.doc_id: (list(r.at), r.n) for r in docs.select("doc_id", dc.runs(dc.flags(words, pairs)).alias("at"), F.size(words).alias("n")).collect()}
+    n = len(PROSE.split())
+    assert got[0][0] == [] and got[2][0] == [] and got[3][0] == [1] and got[4][0] == got[5][0] == []
+    inside = range(n + 1, n + 1 + len(BRIDGE.split()) - 7)
+    assert set(inside) <= set(got[1][0]) and len(got[1][0]) <= len(inside) + 3
+    for i in range(6):
+        assert all(1 <= p <= max(1, got[i][1] - 7) for p in got[i][0])
+
+
+def test_null_item_ids(spark, documents):
+    """Slots of an item without id are compared too."""
+    items = spark.createDataFrame([(None, ITEM)], "item_id long, text string")
+    docs = documents([(0, ITEM.replace("12", "13")), (1, ITEM.replace("Anna at", "Zed at"))])
+    assert [(r.doc_id, r.item_id) for r in dc.report(docs, items).collect()] == [(0, None)]
+
+
 def test_odd_rows(spark, odd_documents, no_documents, clashing, items):
     assert dc.report(odd_documents, items).count() == 0
     assert dc.report(no_documents, items).count() == 0
