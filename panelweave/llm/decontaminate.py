@@ -288,9 +288,10 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     wanted = cut_lineage(item_windows(items))
     names = not wanted.where("names").isEmpty()
     pairs = item_pairs(items, names)
-    found = let(words_of(F.col(f"`{text_col}`")), lambda ws: let(runs(flags(ws, pairs)), lambda at: text_windows(ws, at, names)))
+    found = let(words_of(F.col(f"`{text_col}`")), lambda ws: let(flags(ws, pairs), lambda f: let(runs(f), lambda at: text_windows(ws, at, names))))
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_hash(docs).alias("row"), found.alias("hs"))
-    at = d.select("doc_id", "row", F.explode("hs").alias("w")).select("doc_id", "row", F.col("w.pos").alias("doc_pos"), F.col("w.h").alias("h"), F.col("w.reading").alias("reading"))
+    # the outer form, because for the inner one the optimizer adds a filter that reads every text a second time
+    at = d.select("doc_id", "row", F.explode_outer("hs").alias("w")).where("w IS NOT NULL").select("doc_id", "row", F.col("w.pos").alias("doc_pos"), F.col("w.h").alias("h"), F.col("w.reading").alias("reading"))
     hits = at.join(_small(wanted), "h")
     sorts = ["strict", "plain", "loose"]
     keys = ["doc_id", "row", "item_id", "needed", "enough", "total", "shift"]
