@@ -9,9 +9,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelweave.operators.prefix import attach_group, attach_units, exact_quantiles
+from panelweave.operators.prefix import attach_group, attach_units, exact_quantiles, scan
 from panelweave.session import cut_lineage
 
 
@@ -43,50 +44,80 @@ def segment_distance(px: str, py: str) -> Column:
 # ---- points and polygons ---------------------------------------------------------------
 
 
+def _turn(x: Column, y: Column) -> Column:
+    """Sign: on which side of the edge of the same row (x, y) lies."""
+    return (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
+
+
+def _right_of(x: Column, y: Column) -> Column:
+    """Does the edge's line meet the height y right of x?"""
+    t, up = _turn(x, y), F.col("y2") - F.col("y1")
+    return ((up > 0) & (t > 0)) | ((up < 0) & (t < 0))
+
+
+def _above(x: Column, y: Column) -> Column:
+    """Does the edge's line pass above (x, y)? One through the point does if it rises."""
+    t, over = _turn(x, y), F.col("x2") - F.col("x1")
+    return ((over > 0) & (t < 0)) | ((over < 0) & (t > 0)) | ((t == 0) & (over * (F.col("y2") - F.col("y1")) > 0))
+
+
+def _straddles(v: Column, axis: str) -> Column:
+    return (F.col(f"{axis}1") > v) != (F.col(f"{axis}2") > v)
+
+
+def polygon_cells(edges: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """The cells of polygons: (geom_id, cx, cy, border, odd) and the edges in their border cells.
+
+    A cell without an edge lies wholly inside (odd) or outside; cells outside are left out. For a
+    border cell `odd` is the parity of the edges right of its lower left corner. Parities of all
+    cells of a row come from one running sum over the row's crossings.
+    """
+    s = F.lit(float(cell))
+    passed = cut_lineage(along_segment(edges.select("geom_id", "x1", "y1", "x2", "y2").where("x1 <> x2 OR y1 <> y2"), s))
+    border = scan(passed.select("geom_id", "cx", "cy").distinct(), ["geom_id", "cy"], "cx", [], {"next": ("min", F.col("cx"), "before")}, descending=True)
+    asks = border.select("geom_id", "cy", F.col("cx").alias("at"), F.lit(True).alias("border"), F.col("cx").alias("upto")).unionByName(
+        border.where("next > cx + 1").select("geom_id", "cy", (F.col("cx") + 1).alias("at"), F.lit(False).alias("border"), (F.col("next") - 1).alias("upto"))
+    )
+    # an edge counts for all corners left of where it meets the lower line of the row
+    lines = edges.select("geom_id", "x1", "y1", "x2", "y2").withColumn("cy", span(cell_of(F.least("y1", "y2"), s), cell_of(F.greatest("y1", "y2"), s)))
+    lines = lines.where(_straddles(F.col("cy") * s, "y"))
+    meets = F.col("x1") + (F.col("x2") - F.col("x1")) * (F.col("cy") * s - F.col("y1")) / (F.col("y2") - F.col("y1"))
+    near = lines.withColumn("c", cell_of(meets, s))
+    last = [F.when(_right_of((F.col("c") + k) * s, F.col("cy") * s), F.col("c") + k) for k in (1, 0, -1)]  # rounding may be off by one
+    events = near.select("geom_id", "cy", F.coalesce(*last, F.col("c") - 2).alias("at"), F.lit(1).alias("e"))
+    both = events.unionByName(asks.withColumn("e", F.lit(0)), allowMissingColumns=True).withColumn("first", -F.col("e"))
+    counted = scan(both, ["geom_id", "cy"], "at", ["first"], {"n": ("sum", F.col("e"), "upto")}, descending=True).where("e = 0")
+    cells = counted.withColumn("odd", F.col("n") % 2 == 1).where("border OR odd")
+    return cells.select("geom_id", "cy", "border", "odd", span(F.col("at"), F.col("upto")).alias("cx")), passed
+
+
 def polygon_hits(points: DataFrame, edges: DataFrame, point_id: str, cell: float, x: str = "x", y: str = "y") -> DataFrame:
     """(point_id, geom_id) for every polygon that holds the point, border included.
 
-    Bounding boxes are spread over grid cells and meet the points there; the parity of the
-    crossings is then counted over the edges of the point's own horizontal band only.
+    A cell of the grid lies inside a polygon, outside it, or on its border. Points in inner cells
+    are answered without an edge. In a border cell the parity at the cell's corner is carried
+    to the point along the cell's left side and the point's height; only edges in the cell
+    can cross that way.
     """
-    boxes = edges.groupBy("geom_id").agg(
-        F.min(F.least("x1", "x2")).alias("bx0"),
-        F.max(F.greatest("x1", "x2")).alias("bx1"),
-        F.min(F.least("y1", "y2")).alias("by0"),
-        F.max(F.greatest("y1", "y2")).alias("by1"),
-    )
-    cover = boxes.withColumn("cx", span(cell_of("bx0", cell), cell_of("bx1", cell))).withColumn(
-        "cy", span(cell_of("by0", cell), cell_of("by1", cell))
-    )
-    pts = points.select(
-        F.col(point_id), F.col(x).alias("px"), F.col(y).alias("py"), cell_of(x, cell).alias("cx"), cell_of(y, cell).alias("cy")
-    )
-    cand = (
-        pts.join(cover, ["cx", "cy"])
-        .where((F.col("px").between(F.col("bx0"), F.col("bx1"))) & (F.col("py").between(F.col("by0"), F.col("by1"))))
-        .select(point_id, "px", "py", "geom_id", F.col("cy").alias("band"))
-    )
-    banded = edges.select("geom_id", "x1", "y1", "x2", "y2").withColumn(
-        "band", span(cell_of(F.least("y1", "y2"), cell), cell_of(F.greatest("y1", "y2"), cell))
-    )
-    straddles = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
-    crossing_x = F.col("x1") + (F.col("x2") - F.col("x1")) * F.try_divide(
-        F.col("py") - F.col("y1"), F.col("y2") - F.col("y1")
-    )
-    crosses = straddles & (F.col("px") < crossing_x)
-    turn = (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("px") - F.col("x1"))
-    on_edge = (
-        (turn == 0)
-        & F.col("px").between(F.least("x1", "x2"), F.greatest("x1", "x2"))
-        & F.col("py").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    )
-    return (
-        cand.join(banded, ["geom_id", "band"])
+    s = F.lit(float(cell))
+    cells, passed = polygon_cells(edges, cell)
+    pts = points.select(F.col(point_id), F.col(x).alias("px"), F.col(y).alias("py"), cell_of(x, cell).alias("cx"), cell_of(y, cell).alias("cy"))
+    found = pts.join(cells, ["cx", "cy"])
+    inner = found.where(~F.col("border")).select(point_id, "geom_id")
+    px, py, x0, y0 = F.col("px"), F.col("py"), F.col("cx") * s, F.col("cy") * s
+    along = _straddles(py, "y") & _right_of(x0, py) & ~_right_of(px, py)
+    up = _straddles(x0, "x") & _above(x0, y0) & ~_above(x0, py)
+    on_edge = (_turn(px, py) == 0) & px.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & py.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
+    crossed = along.cast("int") + up.cast("int")
+    tested = (
+        found.where("border")
+        .join(passed, ["geom_id", "cx", "cy"])
         .groupBy(point_id, "geom_id")
-        .agg(F.count_if(crosses).alias("k"), F.max(on_edge).alias("on"))
-        .where((F.col("k") % 2 == 1) | F.col("on"))
-        .select(point_id, "geom_id")
+        .agg(F.sum(crossed).alias("k"), F.max(on_edge).alias("on"), F.max("odd").alias("odd"))
+        .where(((F.col("k") + F.col("odd").cast("int")) % 2 == 1) | F.col("on"))
     )
+    # rows that share an id and a place are one point, as before
+    return inner.distinct().unionByName(tested.select(point_id, "geom_id"))
 
 
 def point_in_polygon(
@@ -109,48 +140,57 @@ def nearest_segment(
 ) -> DataFrame:
     """Nearest segment of each point: `dist` and the carried `attrs` (ties by attributes).
 
-    Grids of size cell*4^k are laid over the segments. For a point the smallest k whose
-    3x3 block is occupied bounds its distance by 2*sqrt(2) cells of that grid, hence the
-    block one grid coarser surely holds the nearest segment: one probe table, no rounds.
-    The joint bounding box tells how many grids there are: the coarsest has cells as wide as the
-    whole map, so every point with coordinates finds a segment. Points without coordinates come
-    back with NULL, as do all points if there is no segment.
+    Grids of size cell*4^k are laid over the segments, the coarsest as wide as the whole map. From
+    there each place descends: an occupied cell holds a segment no farther than its farthest corner,
+    which bounds the place's distance, and children that lie wholly beyond the least bound
+    are dropped. A place far from everything so reaches a few cells of the finest grid instead of all
+    segments. Points without (finite) coordinates come back with NULL, as do all if there is no segment.
     """
-    size = F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("lev").cast("double"))
-    levels = grid_levels(points, edges, cell, x, y)
-    cells = edges.select("x1", "y1", "x2", "y2", *attrs).withColumn("lev", span(F.lit(0), F.lit(levels)))
-    cells = along_segment(cells, size)
-    occupied = (
-        cells.where(F.col("lev") < levels)
-        .select("lev", "cx", "cy")
-        .distinct()
-        .withColumn("cx", around("cx"))
-        .withColumn("cy", around("cy"))
-        .distinct()
-    )
-    pts = points.select(F.col(point_id), F.col(x).alias("px"), F.col(y).alias("py"))
-    located = pts.where(F.col("px").isNotNull() & F.col("py").isNotNull() & ~F.isnan("px") & ~F.isnan("py"))
-    probe = (
-        located.withColumn("lev", span(F.lit(0), F.lit(levels - 1)))
-        .select(point_id, "lev", cell_of("px", size).alias("cx"), cell_of("py", size).alias("cy"), "px", "py")
-        .join(occupied, ["lev", "cx", "cy"], "left_semi")
-        .groupBy(point_id)
-        .agg((F.min("lev") + 1).alias("lev"), F.first("px").alias("px"), F.first("py").alias("py"))
-    )
-    near = (
-        probe.withColumn("cx", around(cell_of("px", size)))
-        .withColumn("cy", around(cell_of("py", size)))
-        .join(cells, ["lev", "cx", "cy"])
-        .select(point_id, F.struct(segment_distance("px", "py").alias("dist"), *attrs).alias("m"))
-    )
-    best = near.groupBy(point_id).agg(F.min("m").alias("m"))
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    located = points.select(F.col(point_id), F.col(x).alias("px"), F.col(y).alias("py")).where(known("px") & known("py"))
+    places = located.select("px", "py").distinct()
+    cand = nearest_cells(places, edges, cell)
+    lines = along_segment(edges.select("x1", "y1", "x2", "y2", *attrs), F.lit(float(cell)))
+    near = cand.join(lines, ["cx", "cy"]).select("px", "py", F.struct(segment_distance("px", "py").alias("dist"), *attrs).alias("m"))
+    best = near.groupBy("px", "py").agg(F.min("m").alias("m"))
+    best = attach_units(located, best, ["px", "py"]).groupBy(point_id).agg(F.min("m").alias("m"))
     return points.select(point_id).distinct().join(best, point_id, "left").select(point_id, "m.dist", *[f"m.{a}" for a in attrs])
 
 
+def nearest_cells(places: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """(px, py, cx, cy): per place the cells of the finest grid that may hold its nearest segment."""
+    top = grid_levels(places, edges, cell, "px", "py") - 1
+    cells = along_segment(edges.select("x1", "y1", "x2", "y2"), F.lit(float(cell))).select("cx", "cy").distinct()
+    below = []  # per level above the finest: the occupied children of each occupied cell, 16 at most
+    for _ in range(top):
+        parent = [F.floor(F.col(c) / 4).alias(f"u{c}") for c in ("cx", "cy")]
+        kids = cells.groupBy(*parent).agg(F.collect_list(F.struct("cx", "cy")).alias("kids"))
+        below.append(cut_lineage(kids.withColumnsRenamed({"ucx": "cx", "ucy": "cy"})))
+        cells = below[-1].select("cx", "cy")
+    roots = [F.struct(F.lit(r.cx).alias("cx"), F.lit(r.cy).alias("cy")) for r in cells.collect()]  # the map is one cell wide: four at most
+    if not roots:
+        return places.select("*", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")).where(F.lit(False))
+    cand = places.withColumn("r", F.explode(F.array(*roots))).select("px", "py", F.lit(float("inf")).alias("bound"), "r.*")
+    w = W.partitionBy("px", "py")
+    for level in range(top - 1, -1, -1):
+        size = cell * 4.0**level
+        kids = attach_units(cand, below[level], ["cx", "cy"], written=True).select("px", "py", "bound", F.explode("kids").alias("k")).select("px", "py", "bound", "k.*")
+        low = {c: F.col(k) * size for c, k in (("px", "cx"), ("py", "cy"))}
+        nearer = [F.greatest(low[c] - F.col(c), F.col(c) - (low[c] + size), F.lit(0.0)) for c in low]
+        farther = [F.greatest(F.abs(F.col(c) - low[c]), F.abs(F.col(c) - (low[c] + size))) for c in low]
+        length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1])
+        # a hair of slack: along_segment may name a cell that the segment only touches from outside
+        kids = kids.withColumns({"least": length(nearer) * (1 - 1e-9), "most": length(farther) * (1 + 1e-9) + 1e-5 * size})
+        kids = kids.withColumn("bound", F.least("bound", F.min("most").over(w)))
+        cand = kids.where("least <= bound").select("px", "py", "bound", "cx", "cy")
+    return cand.select("px", "py", "cx", "cy")
+
+
 def grid_levels(points: DataFrame, edges: DataFrame, cell: float, x: str = "x", y: str = "y") -> int:
     """Grids of cell*4^k needed until one cell is as wide as all points and edges together."""
     ends = lambda a, b: [F.min(F.least(a, b)), F.max(F.greatest(a, b))]
-    p = points.where(~F.isnan(x) & ~F.isnan(y)).agg(*ends(F.col(x), F.col(x)), *ends(F.col(y), F.col(y))).first()
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    p = points.where(finite(x) & finite(y)).agg(*ends(F.col(x), F.col(x)), *ends(F.col(y), F.col(y))).first()
     e = edges.agg(*ends(F.col("x1"), F.col("x2")), *ends(F.col("y1"), F.col("y2"))).first()
     known = [v for v in (*p[:2], *e[:2]) if v is not None], [v for v in (*p[2:], *e[2:]) if v is not None]
     extent = max((max(v) - min(v) for v in known if v), default=0.0)

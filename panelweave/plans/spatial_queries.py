@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from panelweave.functions import projection
-from panelweave.operators import spatial
+from panelweave.operators import lines, spatial
 from panelweave.plans.registry import query, rounded, table
 from panelweave.plans.standins import BOX_EDGES, BOXES, POINTS, WELLS, box_edges, boxes, points, wells
 
@@ -97,6 +97,69 @@ def river_side_labels(spark, d):
     return spatial.label_near(e, riv, "seg", 1.7, "LB_river").select("geom_id", "seq", "LB_river")
 
 
+# Outlines in the east-west and north-south direction near lines that run likewise: within a buffer in closed form.
+_ROADS = """roads AS (SELECT x0 + 7 AS bx1, y0 + 5 AS by1, x0 + 7 AS bx2, y1 + 5 AS by2 FROM boxes UNION SELECT x0 - 2, y1 + 3, x1 - 2, y1 + 3 FROM boxes)"""
+
+
+def _roads(b):
+    up = b.select((F.col("x0") + 7).alias("x1"), (F.col("y0") + 5).alias("y1"), (F.col("x0") + 7).alias("x2"), (F.col("y1") + 5).alias("y2"))
+    return up.unionByName(b.select((F.col("x0") - 2).alias("x1"), (F.col("y1") + 3).alias("y1"), (F.col("x1") - 2).alias("x2"), (F.col("y1") + 3).alias("y2"))).distinct()
+
+
+@query(
+    "lines_split_at_buffer",
+    f"""WITH {BOXES}, {BOX_EDGES}, {_ROADS},
+       j AS (SELECT geom_id, seq, x1 = x2 AS up, CASE WHEN x1 = x2 THEN x1 ELSE y1 END AS pos, CASE WHEN x1 = x2 THEN y1 ELSE x1 END AS s, CASE WHEN x1 = x2 THEN y2 ELSE x2 END AS e,
+         CASE WHEN x1 = x2 THEN least(bx1, bx2) ELSE least(by1, by2) END AS c0, CASE WHEN x1 = x2 THEN greatest(bx1, bx2) ELSE greatest(by1, by2) END AS c1,
+         CASE WHEN x1 = x2 THEN least(by1, by2) ELSE least(bx1, bx2) END AS l0, CASE WHEN x1 = x2 THEN greatest(by1, by2) ELSE greatest(bx1, bx2) END AS l1 FROM box_edges, roads),
+       k AS (SELECT *, greatest(c0 - pos, pos - c1, 0) AS off FROM j),
+       i AS (SELECT geom_id, seq, s, e, greatest(l0 - sqrt(2.89 - off * off), least(s, e)) AS a, least(l1 + sqrt(2.89 - off * off), greatest(s, e)) AS z FROM k WHERE off <= 1.7),
+       o AS (SELECT *, max(z) OVER (PARTITION BY geom_id, seq ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM i WHERE a < z),
+       p AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (PARTITION BY geom_id, seq ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS part FROM o),
+       q AS (SELECT geom_id, seq, part, max(z) - min(a) AS len FROM p GROUP BY 1, 2, 3), r AS (SELECT geom_id, seq, count(*) AS n, sum(len) AS len FROM q GROUP BY 1, 2)
+       SELECT b.geom_id, b.seq, coalesce(n, 0)::BIGINT AS near_pieces, round(coalesce(len, 0), 6) AS near_length, round(abs(x2 - x1) + abs(y2 - y1) - coalesce(len, 0), 6) + 0.0 AS far_length
+       FROM box_edges b LEFT JOIN r ON r.geom_id = b.geom_id AND r.seq = b.seq""",
+)
+def lines_split_at_buffer(spark, d):
+    b = boxes(spark, d)
+    e = box_edges(b).withColumn("seg", F.col("geom_id") * 4 + F.col("seq"))
+    cut = lines.split_near(e, _roads(b), "seg", 1.7)
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    of = lambda near: F.round(F.coalesce(F.sum(F.when(F.col("near") == near, length)), F.lit(0.0)), 6)
+    per = cut.groupBy("seg").agg(F.count_if("near").alias("near_pieces"), of(True).alias("near_length"), of(False).alias("far_length"))
+    return per.select(F.floor((F.col("seg")) / 4).alias("geom_id"), (F.col("seg") % 4).cast("int").alias("seq"), "near_pieces", "near_length", "far_length")
+
+
+@query(
+    "polygons_near_lines",
+    f"""WITH {BOXES}, riv AS (SELECT geom_id AS l, x0 + 30 AS p1, y0 + 21 AS q1, x1 + 30 AS p2, y1 + 21 AS q2 FROM boxes WHERE geom_id % 3 = 0),
+       j AS (SELECT geom_id, p1, q1, p2, q2, x0 - 2.5 AS a0, x1 + 2.5 AS a1, y0 AS b0, y1 AS b1, x0 AS c0, x1 AS c1, y0 - 2.5 AS d0, y1 + 2.5 AS d1, x0, x1, y0, y1 FROM boxes, riv),
+       clip AS (SELECT geom_id, p1, q1, p2, q2, x0, x1, y0, y1,
+         greatest(0, (a0 - p1) / (p2 - p1), (b0 - q1) / (q2 - q1)) <= least(1, (a1 - p1) / (p2 - p1), (b1 - q1) / (q2 - q1)) AS wide,
+         greatest(0, (c0 - p1) / (p2 - p1), (d0 - q1) / (q2 - q1)) <= least(1, (c1 - p1) / (p2 - p1), (d1 - q1) / (q2 - q1)) AS tall FROM j),
+       corner AS (SELECT *, unnest([x0, x0, x1, x1]) AS kx, unnest([y0, y1, y0, y1]) AS ky FROM clip),
+       t AS (SELECT *, greatest(0, least(1, ((kx - p1) * (p2 - p1) + (ky - q1) * (q2 - q1)) / (pow(p2 - p1, 2) + pow(q2 - q1, 2)))) AS t FROM corner)
+       SELECT DISTINCT geom_id FROM t WHERE wide OR tall OR sqrt(pow(kx - p1 - t * (p2 - p1), 2) + pow(ky - q1 - t * (q2 - q1), 2)) <= 2.5""",
+)
+def polygons_near_lines(spark, d):
+    """Boxes within 2.5 of a slanted line, or around one: a box grown sideways, upwards and by its corners."""
+    b = boxes(spark, d)
+    riv = b.where("geom_id % 3 = 0").select((F.col("x0") + 30).alias("x1"), (F.col("y0") + 21).alias("y1"), (F.col("x1") + 30).alias("x2"), (F.col("y1") + 21).alias("y2"))
+    return lines.polygons_meeting_lines(box_edges(b), riv, 2.5, 6.0)
+
+
+@query(
+    "nearest_river",
+    f"""WITH {POINTS}, {BOXES}, {_FAR}, riv AS (SELECT geom_id, x0 + 7 AS x1, y0 + 5 AS y1, x1 + 7 AS x2, y1 + 5 AS y2 FROM boxes WHERE x0 > 60),
+       j AS (SELECT id, geom_id, lon AS px, lat AS py, x1, y1, x2, y2 FROM spread, riv), k AS (SELECT *, {_T} FROM j), r AS (SELECT id, geom_id, {_SEG} AS dist FROM k),
+       o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, geom_id) AS o FROM r) SELECT id, geom_id, round(dist, 6) AS dist FROM o WHERE o = 1""",
+)
+def nearest_river(spark, d):
+    """Most points lie far from all lines, which are in the east only; the carried id is compared too."""
+    riv = boxes(spark, d).where("x0 > 60").select("geom_id", (F.col("x0") + 7).alias("x1"), (F.col("y0") + 5).alias("y1"), (F.col("x1") + 7).alias("x2"), (F.col("y1") + 5).alias("y2"))
+    return rounded(spatial.nearest_segment(_far(points(spark, d)), riv, "id", ["geom_id"], 4.0).select("id", "geom_id", "dist"))
+
+
 @query(
     "polygon_centroids",
     f"""WITH {BOXES} SELECT geom_id, round((x0 + x1) / 2, 6) + 0.0 AS x, round((y0 + y1) / 2, 6) + 0.0 AS y, (x1 - x0) * (y1 - y0) / 2 AS area,
