@@ -4,9 +4,10 @@ A text's letters (lower case, everything else a break) give byte 2-, 3- and 4-gr
 to one of `BUCKETS` embeddings, the whole text is the average of its grams, and a linear layer
 with softmax gives the languages. Both layers are trained by stochastic gradient descent in
 numpy on the driver, on a bounded sample: about `SAMPLE_ROWS` labelled rows, as many of each
-language, chosen by a hash of the id. A fifth of the sample is kept from training and
-calibrates a temperature (so that scores are probabilities) and the rejection threshold
-(the score below which only `REJECTED` of the well-labelled texts fall).
+language, chosen by a hash of the id; every language of the sample is learned. A fifth of the
+sample is kept from training and calibrates a temperature (so that scores are probabilities) and
+the rejection threshold (the score below which only `REJECTED` of the well-labelled texts fall,
+carried on beyond the lowest score seen where the sample is too small to show it).
 
 Averaging and the linear layer commute, so prediction looks up one score vector per bucket.
 Whole texts are read, in pieces of bounded size.
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import by_batch, query, table
+from panelweave.operators.prefix import attach_units
+from panelweave.session import cut_lineage
 
 BUCKETS = 1 << 13
 WIDTH = 16  # of an embedding
 GRAMS = (2, 3, 4)
 SAMPLE_ROWS = 4000
-LANGUAGES = 256  # most languages that are learned, the most frequent first
+STEPS = 600  # of gradient descent at least, however small the sample
 REJECTED = 0.001
 PIECE = 1 << 20  # bytes looked at together
 UNKNOWN = "und"
@@ -91,12 +94,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 12, rate: float = 20.0, batch: int = 32, seed: int = 7) -> Model:
+def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 12, rate: float = 20.0, batch: int = 32, seed: int = 7, least_steps: int = STEPS) -> Model:
     """Fit by mini-batch gradient descent; `features` are (buckets, counts) of each text."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    y = np.array([langs.index(v) for v in labels])
+    y = np.searchsorted(langs, labels)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held = order[: len(y) // 5]
@@ -112,7 +115,8 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epoc
             x[i, b] = c / max(1, c.sum())
         return x
 
-    steps, done = max(1, epochs * -(-len(fit) // batch)), 0
+    epochs = max(epochs, -(-least_steps // -(-len(fit) // batch)))
+    steps, done = epochs * -(-len(fit) // batch), 0
     for _ in range(epochs):
         fit = rng.permutation(fit)
         for at in range(0, len(fit), batch):
@@ -132,15 +136,53 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epoc
         parts = [dense(rows[i : i + 256]) @ emb @ out + bias for i in range(0, len(rows), 256)]
         return np.concatenate(parts).astype(np.float64)
 
-    held = held if len(held) else fit
-    z = logits(held)
-    loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
-    heat = min(np.geomspace(0.05, 20, 61), key=loss)
+    seen = held if len(held) else fit
+    z = logits(seen)
+    heat = temperature(z, y[seen])
     p = softmax(z / heat)
-    right = p.argmax(axis=1) == y[held]
-    threshold = float(np.quantile(p.max(axis=1)[right], REJECTED)) if right.any() else 0.0
-    # never above the score that a tie of two languages would give
-    return Model(langs, (emb @ out).astype(np.float64), bias.astype(np.float64), float(heat), min(threshold, 0.5))
+    right = p.argmax(axis=1) == y[seen]
+    # fewer than five rows leave none to calibrate with: nothing is rejected for its score
+    threshold = rejection(p.max(axis=1)[right]) if len(held) else 0.0
+    return Model(langs, (emb @ out).astype(np.float64), bias.astype(np.float64), heat, threshold)
+
+
+def temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of least loss on logits `z`.
+
+    One of n + 2 labels counts as wrong (the rule of succession), so that the loss has a minimum
+    even where all are right; the grid is widened until it brackets that minimum.
+    """
+    n, k = z.shape
+    if k < 2:
+        return 1.0
+    wrong = 1 / (n + 2)
+    target = np.full((n, k), wrong / (k - 1))
+    target[np.arange(n), y] = 1 - wrong
+    loss = lambda t: -(target * np.log(np.maximum(softmax(z / t), 1e-300))).sum(axis=1).mean()
+    low, high = 0.05, 20.0
+    for _ in range(20):
+        grid = np.geomspace(low, high, 61)
+        best = int(np.argmin([loss(t) for t in grid]))
+        if 0 < best < 60:
+            return float(min(np.geomspace(grid[best - 1], grid[best + 1], 61), key=loss))
+        low, high = (low / 100, high) if best == 0 else (low, high * 100)
+    return float(grid[best])
+
+
+def rejection(score: np.ndarray, share: float = REJECTED) -> float:
+    """The score below which a share of well-labelled texts falls.
+
+    Fewer than 1 / share scores do not show it: the lower tail of their log-odds is then carried on
+    below the least one, as that of an exponential distribution.
+    """
+    n = len(score)
+    if n < 2 or score.max() >= 1 - 1e-15 and score.min() >= 1 - 1e-15:
+        return 0.0
+    odds = np.log(np.maximum(score, 1e-15)) - np.log(np.maximum(1 - score, 1e-15))
+    at = np.quantile(odds, share)
+    if n * share < 1:
+        at = odds.min() - (np.median(odds) - odds.min()) / np.log(n) * np.log(1 / (n * share))
+    return float(1 / (1 + np.exp(-at)))
 
 
 def fit(labelled: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -152,13 +194,12 @@ def fit(labelled: DataFrame, key: Column, text_col: str = "text", lang_col: str
     """
     rows = labelled.select(F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    sizes = cut_lineage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    n = sizes.count()
+    if not n:
         return train([], [])
-    each = max(1, sample_rows // len(sizes))
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r.lang) & (F.col("h") < min(1 << 30, (each << 30) // r["count"] + 1)))
+    rows = attach_units(rows, sizes, ["lang"], written=True)
+    chosen = F.col("h") < sample_rows * float(1 << 30) / (n * F.col("rows")) + 1
 
     def one(c):
         both = [counts(t) if has_letter(t) else np.zeros(BUCKETS, np.int64) for t in c["text"]]
