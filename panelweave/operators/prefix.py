@@ -116,6 +116,27 @@ def running_total(
     return scan(df, keys, order, ties, {name: ("sum", value, "upto")}, descending)
 
 
+def _before(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str) -> DataFrame:
+    # of all rows before, the last one is the greatest in the order of the scan
+    last = F.struct(F.col(order).alias("o"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)], F.col(value).alias("v"))
+    return scan(df, keys, order, ties, {"__before": ("max", last, "before")})
+
+
+def previous(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, name: str) -> DataFrame:
+    """`value` of the row before in (order, ties), NULL at the first row, for groups of any size."""
+    return _before(df, keys, order, ties, value).withColumn(name, F.col("__before.v")).drop("__before")
+
+
+def trapezoid(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, name: str = "area", width: Column | None = None) -> DataFrame:
+    """Area below `value` along `order` per group; steps are as wide as `order` says, or `width`.
+
+    Steps with a NULL end add nothing; groups without a step have no row.
+    """
+    d = _before(df, keys, order, ties, value).where("__before IS NOT NULL")
+    step = F.col(order) - F.col("__before.o") if width is None else width
+    return d.groupBy(*keys).agg(F.sum((F.col(value) + F.col("__before.v")) / 2 * step).alias(name))
+
+
 def number_rows(df: DataFrame, order: str, name: str = "id", ties: list[str] | None = None) -> DataFrame:
     """1..n in the declared order, as a distributed scan."""
     return running_total(df, [], order, ties or [], F.lit(1), name).withColumn(name, F.col(name).cast("long"))

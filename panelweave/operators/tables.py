@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.functions.nulls import as_col, not_in_keep_null, sum_or_zero
-from panelweave.operators.prefix import attach_group, null_safe_join
+from panelweave.operators.prefix import attach_group, attach_units, null_safe_join
 
 # ---- columns and filters ---------------------------------------------------------------
 
@@ -170,7 +170,7 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def group_representative(df: DataFrame, group: str, keep: Column, value: str, order: str, name: str) -> DataFrame:
+def group_representative(df: DataFrame, group: str, keep: Column, value: str, order: Column | str, name: str) -> DataFrame:
     """First `value` (by `order`) among the kept rows of each group, joined back to all rows."""
     rep = df.where(keep).groupBy(group).agg(F.min_by(value, order).alias(name))
     return df.join(rep, group, "left")
@@ -243,14 +243,24 @@ def distinct_members(df: DataFrame, group: str, member: str, name: str, threshol
     )
 
 
-def weighted_se(x: Column | str, w: Column | str) -> Column:
-    """sqrt(sum w (x-m)^2) / sum w, from one pass of moments."""
-    xc, wc = as_col(x), as_col(w)
+def weighted_se(x: Column | str, w: Column | str, centre: Column | str | None = None) -> Column:
+    """sqrt(sum w (x-m)^2) / sum w, from one pass of moments about `centre`.
+
+    A value of the group's own size, such as its mean (`with_mean`), keeps the moments from
+    cancelling where x lies far from zero.
+    """
+    wc = as_col(w)
+    xc = as_col(x) if centre is None else as_col(x) - as_col(centre)
     both = F.when(xc.isNotNull(), wc)
     sw, sx, sxx = F.sum(both), F.sum(wc * xc), F.sum(wc * xc * xc)
     return F.sqrt(F.greatest(sxx - sx * sx / sw, F.lit(0.0))) / sw
 
 
+def with_mean(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
+    """`df` with the mean of `x` in its group."""
+    return attach_units(df, df.groupBy(*keys).agg(F.avg(x).alias(name)), keys)
+
+
 def weighted_quantiles(df: DataFrame, keys: list[str], x: str, w: str, probs: list[float], name: str = "q") -> DataFrame:
     """Interpolated quantiles of the weighted order statistics.
 

@@ -89,6 +89,17 @@ def candidates_without_contact(spark, d):
     return cells.without_contact(boxes(spark, d).select("geom_id"), _cells(spark, d), r, "geom_id")
 
 
+@query(
+    "boxes_without_contact",
+    f"""WITH {CELLS}, r AS (SELECT DISTINCT cx, cy FROM cells WHERE nation < 3)
+       SELECT geom_id FROM boxes WHERE geom_id NOT IN (SELECT geom_id FROM cells JOIN r USING (cx, cy))""",
+)
+def boxes_without_contact(spark, d):
+    """Boxes that share no cell with those of three nations: some do, some do not."""
+    c = _cells(spark, d)
+    return cells.without_contact(boxes(spark, d).select("geom_id"), c, c.where("nation < 3"), "geom_id")
+
+
 SEGMENTS = f"""{POINTS}, seg AS (SELECT DISTINCT segment, nation, CAST(floor(lon / 10) AS BIGINT) AS cx, CAST(floor(lat / 10) AS BIGINT) AS cy FROM points),
   contact AS (SELECT a.segment, least(a.nation, b.nation) AS nation_1, greatest(a.nation, b.nation) AS nation_2, a.cx, a.cy, b.cx AS cx2, b.cy AS cy2
   FROM seg a JOIN seg b ON a.segment = b.segment AND a.nation <> b.nation AND ((b.cx = a.cx + 1 AND b.cy = a.cy) OR (b.cx = a.cx AND b.cy = a.cy + 1)))"""

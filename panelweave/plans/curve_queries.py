@@ -84,6 +84,23 @@ def density_grid(spark, d):
     return rounded(summaries.density_grid(c, ["side"], "c_acctbal"), 6, y=4, dens=10)
 
 
+@query(
+    "binned_density_grid",
+    """WITH s AS (SELECT c_mktsegment AS side, count(*) AS n, stddev_samp(c_acctbal) AS sd, (quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)) / 1.34 AS iq,
+         min(c_acctbal) AS mn, max(c_acctbal) AS mx FROM customer GROUP BY 1),
+       b AS (SELECT *, 0.9 * least(sd, iq) * pow(n, -0.2) AS bw FROM s), c AS (SELECT *, mn - 7 * bw AS lo, (mx - mn + 14 * bw) / 511 AS step FROM b),
+       x AS (SELECT side, floor((c_acctbal - lo) / step)::INTEGER AS i, (c_acctbal - lo) / step - floor((c_acctbal - lo) / step) AS f FROM customer JOIN c ON c_mktsegment = side),
+       h AS (SELECT side, i, sum(w) AS w FROM (SELECT side, i, 1 - f AS w FROM x UNION ALL SELECT side, i + 1, f FROM x) GROUP BY 1, 2),
+       d AS (SELECT side, j, sum(w * exp(-0.5 * pow((j - i) * step / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())) AS dens FROM h JOIN c USING (side), (SELECT unnest(range(512)) AS j) GROUP BY 1, 2),
+       g AS (SELECT side, k, mn - 3 * bw + (mx - mn + 6 * bw) * k / 255 AS y, (4 * bw + (mx - mn + 6 * bw) * k / 255) / step AS pos FROM c, (SELECT unnest(range(256)) AS k)),
+       e AS (SELECT side, k, y, p.dens + (q.dens - p.dens) * (pos - floor(pos)) AS dens FROM g JOIN d p USING (side) JOIN d q USING (side) WHERE p.j = floor(pos) AND q.j = floor(pos) + 1)
+       SELECT side, CAST(k AS INTEGER) AS k, round(y, 4) + 0.0 AS y, round(dens, 10) + 0.0 AS dens, round(0.3 * dens / max(dens) OVER (PARTITION BY side), 6) AS w FROM e""",
+)
+def binned_density_grid(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("side"), "c_acctbal")
+    return rounded(summaries.binned_density(c, ["side"], "c_acctbal"), 6, y=4, dens=10)
+
+
 @query(
     "spread_summary",
     """SELECT c_nationkey, round(avg(c_acctbal), 4) AS mean, round(quantile_cont(c_acctbal, 0.05), 4) AS p05, round(quantile_cont(c_acctbal, 0.25), 4) AS p25, round(quantile_cont(c_acctbal, 0.5), 4) AS p50,

@@ -98,6 +98,13 @@ def anti_join_ids(spark, d):
     return tables.without_ids(table(spark, d, "customer").select("c_custkey"), o, "c_custkey")
 
 
+@query("customers_without_urgent_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'P')")
+def customers_without_urgent_orders(spark, d):
+    """An anti join that leaves rows and drops some."""
+    o = table(spark, d, "orders").where(F.col("o_orderpriority").like("1%") & (F.col("o_orderstatus") == "P"))
+    return tables.without_ids(table(spark, d, "customer").select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
 @query("semi_join_ids", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def semi_join_ids(spark, d):
     o = table(spark, d, "orders").where(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("c_custkey"))
@@ -107,9 +114,9 @@ def semi_join_ids(spark, d):
 @query(
     "group_representative",
     """SELECT l_orderkey, l_linenumber, l_suppkey, t.rep, l_suppkey = t.rep AS same FROM lineitem LEFT JOIN
-       (SELECT l_orderkey AS k, arg_min(l_suppkey, l_extendedprice) AS rep FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) t ON l_orderkey = t.k""",
+       (SELECT l_orderkey AS k, first(l_suppkey ORDER BY l_extendedprice, l_linenumber) AS rep FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) t ON l_orderkey = t.k""",
 )
 def group_representative(spark, d):
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_extendedprice")
-    out = tables.group_representative(l, "l_orderkey", F.col("l_returnflag") == "A", "l_suppkey", "l_extendedprice", "rep")
+    out = tables.group_representative(l, "l_orderkey", F.col("l_returnflag") == "A", "l_suppkey", F.struct("l_extendedprice", "l_linenumber"), "rep")
     return out.select("l_orderkey", "l_linenumber", "l_suppkey", "rep", (F.col("l_suppkey") == F.col("rep")).alias("same"))

@@ -129,16 +129,15 @@ def top_shares(spark, d):
 
 @query(
     "overlap_totals",
-    """WITH u AS (SELECT l_suppkey, l_returnflag = 'R' AS TB, count(*) AS n, l_linestatus FROM lineitem WHERE l_discount > 0.08 AND l_tax > 0.06 AND l_quantity > 40 GROUP BY 1, 2, 4), b AS (SELECT l_suppkey FROM u GROUP BY 1 HAVING bool_or(TB) AND bool_or(NOT TB))
-       SELECT count(*) AS n_units, sum(n)::BIGINT AS n_rows, count(*) FILTER (l_suppkey IN (SELECT l_suppkey FROM b)) AS n_units_in, coalesce(sum(n) FILTER (l_suppkey IN (SELECT l_suppkey FROM b)), 0)::BIGINT AS n_rows_in,
-       round(avg(CAST(l_suppkey IN (SELECT l_suppkey FROM b) AS INTEGER)) * 100, 6) AS pct_units_in, round(coalesce(sum(n) FILTER (l_suppkey IN (SELECT l_suppkey FROM b)), 0) / sum(n) * 100, 6) AS pct_rows_in FROM u""",
+    """WITH u AS (SELECT l_orderkey, l_returnflag = 'R' AS TB, count(*) AS n, l_linestatus FROM lineitem GROUP BY 1, 2, 4), b AS (SELECT l_orderkey FROM u GROUP BY 1 HAVING bool_or(TB) AND bool_or(NOT TB))
+       SELECT count(*) AS n_units, sum(n)::BIGINT AS n_rows, count(*) FILTER (l_orderkey IN (SELECT l_orderkey FROM b)) AS n_units_in, coalesce(sum(n) FILTER (l_orderkey IN (SELECT l_orderkey FROM b)), 0)::BIGINT AS n_rows_in,
+       round(avg(CAST(l_orderkey IN (SELECT l_orderkey FROM b) AS INTEGER)) * 100, 6) AS pct_units_in, round(coalesce(sum(n) FILTER (l_orderkey IN (SELECT l_orderkey FROM b)), 0) / sum(n) * 100, 6) AS pct_rows_in FROM u""",
 )
 def overlap_totals(spark, d):
     from panelweave.operators.tables import both_arms
 
-    l = table(spark, d, "lineitem").where("l_discount > 0.08 AND l_tax > 0.06 AND l_quantity > 40")
-    u = l.groupBy("l_suppkey", (F.col("l_returnflag") == "R").alias("TB"), "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(reports.overlap_totals(u, both_arms(u, "l_suppkey", F.col("TB")), "l_suppkey", "n"))
+    u = table(spark, d, "lineitem").groupBy("l_orderkey", (F.col("l_returnflag") == "R").alias("TB"), "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(reports.overlap_totals(u, both_arms(u, "l_orderkey", F.col("TB")), "l_orderkey", "n"))
 
 
 _W = """wide AS (SELECT s_nationkey AS lab, 'TBTRUE' AS nm_0, avg(s_acctbal) AS b_0, stddev_pop(s_acctbal) AS se_0, CASE WHEN s_nationkey % 2 = 0 THEN 'intrcpt' ELSE 'other' END AS nm_1, min(s_acctbal) AS b_1, max(s_acctbal) AS se_1 FROM supplier GROUP BY 1)"""
@@ -159,21 +158,21 @@ def stacked_terms(spark, d):
 
 @query(
     "regression_table_body",
-    """WITH t AS (SELECT o_orderstatus AS label, CASE WHEN o_orderpriority LIKE '1%' THEN 'intrcpt' ELSE 'TBTRUE' END AS term, avg(o_totalprice) / 1000 AS b, count(*) / 1e7 AS se FROM orders WHERE o_orderpriority < '3' GROUP BY 1, 2),
+    """WITH t AS (SELECT o_orderstatus AS label, CASE WHEN o_orderpriority LIKE '1%' THEN 'intrcpt' ELSE 'TBTRUE' END AS term, avg(o_totalprice) / 1000 AS b, count(*) / 1e7 AS se FROM orders GROUP BY 1, 2),
        s AS (SELECT *, CASE WHEN abs(b) < 0.001 THEN '<0.001' ELSE printf('%.3f', b) END || ' (' || CASE WHEN abs(se) < 0.001 THEN '<0.001' ELSE printf('%.3f', se) END || ')' AS e FROM t)
-       SELECT CAST("row" AS INTEGER) AS "row", term_out, max(e) FILTER (label = 'F') AS F, max(e) FILTER (label = 'O') AS O FROM (
+       SELECT CAST("row" AS INTEGER) AS "row", term_out, max(e) FILTER (label = 'F') AS F, max(e) FILTER (label = 'O') AS O, max(e) FILTER (label = 'P') AS P FROM (
          SELECT CASE term WHEN 'intrcpt' THEN 0 ELSE 2 END AS "row", CASE term WHEN 'intrcpt' THEN 'Intercept' ELSE 'Transboundary' END AS term_out, label, e FROM s
          UNION ALL SELECT CASE term WHEN 'intrcpt' THEN 1 ELSE 3 END, '', label, '[]' FROM s
-         UNION ALL SELECT 4, 'Tau^2', label, '' FROM s UNION ALL SELECT 5, 'Observations', label, CAST(n AS VARCHAR) FROM (SELECT o_orderstatus AS label, count(*) AS n FROM orders WHERE o_orderpriority < '3' GROUP BY 1)
+         UNION ALL SELECT 4, 'Tau^2', label, '' FROM s UNION ALL SELECT 5, 'Observations', label, CAST(n AS VARCHAR) FROM (SELECT o_orderstatus AS label, count(*) AS n FROM orders GROUP BY 1)
          UNION ALL SELECT 6, 'Clusters', label, NULL FROM s) GROUP BY 1, 2""",
 )
 def regression_table_body(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_orderpriority") < "3").withColumn("label", F.col("o_orderstatus"))
+    o = table(spark, d, "orders").withColumn("label", F.col("o_orderstatus"))
     n = o.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     t = o.groupBy("label", F.when(F.col("o_orderpriority").like("1%"), "intrcpt").otherwise("TBTRUE").alias("term")).agg(
         (F.avg("o_totalprice") / 1000).alias("estimate"), (F.count(F.lit(1)) / 1e7).alias("se")
     )
-    return reports.regression_table(t.join(n, "label"), "label", ["F", "O"], {"intrcpt": "Intercept", "TBTRUE": "Transboundary"})
+    return reports.regression_table(t.join(n, "label"), "label", ["F", "O", "P"], {"intrcpt": "Intercept", "TBTRUE": "Transboundary"})
 
 
 @query("tail_probabilities")

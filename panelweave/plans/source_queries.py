@@ -6,6 +6,15 @@ from panelweave.plans.registry import query, rounded, scratch, table
 from panelweave.sources import files, store
 
 
+@query(
+    "column_listing",
+    """SELECT ordinal_position::INTEGER AS position, column_name AS variable, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(split_part(data_type, '(', 1)) END AS type
+       FROM information_schema.columns WHERE table_name = 'lineitem'""",
+)
+def column_listing(spark, d):
+    return files.column_listing(table(spark, d, "lineitem"))
+
+
 @query(
     "csv_round_trip",
     "SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS acct, s_acctbal > 0 AS positive FROM supplier",

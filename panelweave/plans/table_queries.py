@@ -291,7 +291,7 @@ def grouped_median(spark, d):
 )
 def best_level(spark, d):
     p = table(spark, d, "part").withColumn("level", F.col("p_size") % 5)
-    s = p.groupBy("p_brand", "level").agg(F.round(F.median("p_retailprice"), 4).alias("med"))
+    s = prefix.exact_quantiles(p, ["p_brand", "level"], "p_retailprice", [0.5]).select("p_brand", "level", F.round(F.col("q")[0], 4).alias("med"))
     o = p.groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 4).alias("own"))
     j = s.join(o, "p_brand").withColumn("diff", F.round(F.abs(F.col("med") - F.col("own")), 4))
     return tables.top_rows(j, ["p_brand"], [F.col("diff"), F.col("level")], 1).select("p_brand", "level", "med")
@@ -348,11 +348,11 @@ def groups_with_both_arms(spark, d):
        FROM g GROUP BY 1""",
 )
 def weighted_means(spark, d):
-    g = _gaps(spark, d)
+    g = tables.with_mean(_gaps(spark, d), ["l_linenumber"], "q", "centre")
     return rounded(
         g.groupBy("l_linenumber").agg(
             nulls.weighted_avg(F.col("q") * F.col("l_linenumber"), "disc").alias("wm_scaled"), nulls.weighted_avg("q", "disc").alias("wm"),
-            nulls.effective_n("disc").alias("ess"), tables.weighted_se("q", "disc").alias("wse"),
+            nulls.effective_n("disc").alias("ess"), tables.weighted_se("q", "disc", "centre").alias("wse"),
         )
     )
 
@@ -417,21 +417,18 @@ def running_maximum(spark, d):
        SELECT l_orderkey, l_linenumber, l_quantity, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS pq FROM lineitem) WHERE pq IS NOT NULL GROUP BY 1""",
 )
 def trapezoid_area(spark, d):
-    """The lines of one order are few, so the array per order is short by construction."""
-    a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_quantity"))).alias("a"))
-    v = F.col("a.l_quantity")
-    steps = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda p, q: (p + q) / 2)
-    return a.where(F.size("a") > 1).select("l_orderkey", F.round(F.aggregate(steps, F.lit(0.0), lambda s, x: s + x), 4).alias("area"))
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return rounded(prefix.trapezoid(l, ["l_orderkey"], "l_linenumber", ["l_extendedprice"], "l_quantity", width=F.lit(1.0)), 4)
 
 
 @query(
     "first_flagged_in_set",
-    """SELECT o_orderkey, t.cc FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(l_suppkey, l_extendedprice) AS cc FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) t
+    """SELECT o_orderkey, t.cc FROM orders LEFT JOIN (SELECT l_orderkey, first(l_suppkey ORDER BY l_extendedprice, l_linenumber) AS cc FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) t
        ON o_orderkey = t.l_orderkey""",
 )
 def first_flagged_in_set(spark, d):
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice", "l_suppkey", "l_returnflag")
-    rep = l.where(F.col("l_returnflag") == "R").groupBy("o_orderkey").agg(F.min_by("l_suppkey", "l_extendedprice").alias("cc"))
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice", "l_linenumber", "l_suppkey", "l_returnflag")
+    rep = l.where(F.col("l_returnflag") == "R").groupBy("o_orderkey").agg(F.min_by("l_suppkey", F.struct("l_extendedprice", "l_linenumber")).alias("cc"))
     return table(spark, d, "orders").select("o_orderkey").join(rep, "o_orderkey", "left")
 
 

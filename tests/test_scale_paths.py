@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import matching, prefix, spatial, trends
+from panelweave.operators import matching, prefix, spatial, summaries, tables, trends
 
 
 def skewed(spark, n=3000, seed=1):
@@ -237,3 +237,47 @@ def test_country_totals_ignore_the_code(spark):
     long = spark.createDataFrame([("A", "X", s, v) for s, v in (("", 10.0), ("_C", 10.0))] + [("B", "X", s, v) for s, v in (("", 20.0), ("_C", 20.0))], "code string, CC string, src string, GW double")
     got = {r.code: (r.GW_1, r.GW_C_1) for r in typology.attach_sources_pivoted(pairs, long, ["", "_C"], ["GW"]).collect()}
     assert got == {"A": (10.0, 30.0), "B": (20.0, 30.0)}
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 10])
+def test_previous_and_trapezoid_over_ranges(spark, monkeypatch, limit):
+    """The row before is found across range borders too, with NULLs and ties."""
+    monkeypatch.setattr(prefix, "TASK_ROWS", limit)
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(o), i, None if rng.random() < 0.1 else float(v)) for i, (k, o, v) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 90, 400), rng.normal(0, 5, 400)))]
+    rows += [(9, 1.0, 0, 2.0)]
+    df = spark.createDataFrame(rows, "g int, o double, t int, v double")
+    want, area = {}, {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))
+        for before, r in zip([None, *mine], mine):
+            want[r[0], r[2]] = before and before[3]
+            if before:
+                area.setdefault(g, 0.0)
+                if before[3] is not None and r[3] is not None:
+                    area[g] += (before[3] + r[3]) / 2 * (r[1] - before[1])
+    got = prefix.previous(df, ["g"], "o", ["t"], "v", "b").collect()
+    assert {(r.g, r.t): r.b for r in got} == want
+    assert {r.g: r.area for r in prefix.trapezoid(df, ["g"], "o", ["t"], "v").collect()} == pytest.approx(area, rel=1e-9)
+
+
+def test_weighted_se_far_from_zero(spark):
+    rng = np.random.default_rng(9)
+    x, w = 1e9 + rng.normal(0, 1, 500), rng.uniform(0.1, 3, 500)
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, w)], "g int, x double, w double")
+    got = tables.with_mean(df, ["g"], "x", "m").groupBy("g").agg(tables.weighted_se("x", "w", "m").alias("se")).first().se
+    m = np.sum(w * (x - 1e9)) / w.sum()
+    assert got == pytest.approx(np.sqrt(np.sum(w * (x - 1e9 - m) ** 2)) / w.sum(), rel=1e-6)
+
+
+def test_binned_density_is_near_the_exact_one(spark):
+    rng = np.random.default_rng(10)
+    rows = [("a", float(v)) for v in rng.normal(3, 2, 3000)] + [("b", float(v)) for v in rng.exponential(5, 2000)] + [("c", 1.0), ("d", 2.0), ("d", 2.0), ("a", None)]
+    df = spark.createDataFrame(rows, "side string, v double")
+    exact = {(r.side, r.k): r for r in summaries.density_grid(df, ["side"], "v").collect()}
+    got = {(r.side, r.k): r for r in summaries.binned_density(df, ["side"], "v").collect()}
+    assert got.keys() == exact.keys()
+    for side in "ab":
+        top = max(r.dens for r in exact.values() if r.side == side)
+        assert all(abs(got[side, k].dens - exact[side, k].dens) < 2e-3 * top and got[side, k].y == pytest.approx(exact[side, k].y) for k in range(256))
+    assert [got[side, k].dens for side in "cd" for k in range(3)] == [None] * 6
