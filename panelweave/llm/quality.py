@@ -1,17 +1,20 @@
 """Quality rules by distribution divergence.
 
-A document's histogram of character classes and its histogram of common words are compared with
-references of the languages by the Jensen-Shannon distance (base 2, so 0 to 1). The references
-are summed over all documents of a language that pass the base rules. A document counts as prose
-if it is near to the reference of some language, so mixed and mislabelled texts are not punished;
-texts too short for a histogram to mean anything are not judged by it.
+A document's histogram of character classes and its histogram of common words (with one bin for
+all other words) are compared with references of the languages by the Jensen-Shannon distance
+(base 2, so 0 to 1). The references are summed over all documents of a language that pass the base
+rules. A document counts as prose if it is near to the reference of some language, so mixed
+and mislabelled texts are not punished; texts too short for a histogram to mean anything are
+not judged by it. How far is too far follows from the data: from the median and the ninth decile of the
+distances of all documents that pass the base rules and are long enough.
 
 Everything is column expressions. One pass over the texts makes a narrow table of counts; the
 references (one row a language, of a fixed list of languages) and the verdicts come from it.
 
 Defined cases: NULL and empty texts have no words and fail the base rules; repeated rows are
 judged each; a language outside the list has a class reference of its own and is not judged by
-words; a document whose language has no reference, or which has none, is not judged by distance. Columns other than id, text and language are ignored.
+words; a document without language is judged by the classes of whichever reference is nearest; one
+whose language has no reference is not judged by distance. Columns other than id, text and language are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +42,10 @@ BINS = sorted({w for words in COMMON_WORDS.values() for w in words})
 CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "space": r"[\x20\x09-\x0D]+", "stop": r"[.,;:!?'\"()-]+", "digit": r"\p{Nd}+", "symbol": r"[#*$%&|<>]+"}
 
 BROADCAST_LANGUAGES = 10_000  # rows of a few numbers each
-CLASS_CHARS, COMMON_COUNT = 200, 30  # shortest texts judged: characters, common words
-CLASS_DISTANCE, WORD_DISTANCE = 0.28, 0.75  # farthest from the nearest reference
+CLASS_CHARS, WORD_COUNT = 200, 100  # shortest texts judged: characters, words
+# A limit lies so many times as far above the median distance as the ninth decile does, and at least at LEAST_LIMIT.
+# Word distances spread more, and a text without any common word is not much farther than the ninth decile.
+CLASS_SPREADS, WORD_SPREADS, LEAST_LIMIT = 5.0, 2.5, 0.2
 
 
 def words_of(text: Column) -> Column:
@@ -89,9 +94,10 @@ def class_counts(text: Column) -> Column:
 
 
 def bin_counts(words: Column) -> Column:
-    """How often each word of BINS occurs (small letters), trailing stops and commas aside."""
+    """How often each word of BINS occurs (small letters), trailing stops and commas aside, and how many words are others."""
     bare = F.filter(F.transform(words, lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))), lambda w: w.isin(BINS))
-    return let(bare, lambda b: F.transform(F.array(*[F.lit(w) for w in BINS]), lambda w: F.size(b) - F.size(F.array_remove(b, w))))
+    known = lambda b: F.transform(F.array(*[F.lit(w) for w in BINS]), lambda w: F.size(b) - F.size(F.array_remove(b, w)))
+    return let(bare, lambda b: F.concat(known(b), F.array(F.size(words) - F.size(b))))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -140,11 +146,11 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     As many short rows come back as COMMON_WORDS lists languages, whatever the data.
     """
     good = rows.where(F.col("lang").isin(list(COMMON_WORDS)) & ~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    sums = [F.sum(F.get("classes", i)).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.get("bins", i)).alias(f"b{i}") for i in range(len(BINS))]
+    sums = [F.sum(F.get("classes", i)).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.get("bins", i)).alias(f"b{i}") for i in range(len(BINS) + 1)]
     out = {}
     for r in good.groupBy("lang").agg(*sums).collect():
         c = [r[f"c{i}"] for i in range(len(CLASSES) + 1)]
-        b = [r[f"b{i}"] for i in range(len(BINS))]
+        b = [r[f"b{i}"] for i in range(len(BINS) + 1)]
         if sum(c) and sum(b):
             out[r.lang] = [x / sum(c) for x in c], [x / sum(b) for x in b]
     return dict(sorted(out.items()))
@@ -164,23 +170,38 @@ def other_references(rows: DataFrame) -> DataFrame:
     return sums.where(total > 0).select("ref_lang", F.transform("c", lambda x: x / total).alias("ref"))
 
 
+def limit(rows: DataFrame, column: str, spreads: float) -> float:
+    """Beyond which distance a document is too far: from the median and the ninth decile of `column`.
+
+    Distances are rounded, so that what is sorted are at most 10001 values.
+    """
+    q = rows.agg(F.percentile(F.round(column, 4), F.array(F.lit(0.5), F.lit(0.9)))).first()[0]
+    return max(LEAST_LIMIT, q[0] + spreads * (q[1] - q[0])) if q else 1.0
+
+
 def judge(rows: DataFrame) -> DataFrame:
     """The table of `measures` with class_distance, word_distance, base_failed and kept."""
     refs = references(rows)
     columns = [c for c in rows.columns if c not in ("class_distance", "word_distance", "base_failed", "kept")]
     others = cut_lineage(other_references(rows))
-    others = F.broadcast(others) if others.count() <= BROADCAST_LANGUAGES else others
-    rows = rows.select(*columns).join(others, F.col("lang") == F.col("ref_lang"), "left")
-    listed = F.coalesce(F.col("lang").isin(list(refs)), F.lit(False))
     own = F.when(F.col("ref").isNotNull(), distance(F.col("classes"), F.col("ref")))
-    rows = rows.withColumn("class_distance", F.least(nearest(F.col("classes"), [c for c, _ in refs.values()]), own))
+    every = others.agg(F.collect_list("ref").alias("r"))  # a short row for each language
+    rows = rows.select(*columns).join(F.broadcast(others) if others.count() <= BROADCAST_LANGUAGES else others, F.col("lang") == F.col("ref_lang"), "left")
+    rows = rows.withColumn("refs", every.scalar())
+    unlabelled = F.when(F.col("lang").isNull(), F.array_min(F.transform("refs", lambda r: distance(F.col("classes"), r))))
+    rows = rows.withColumn("class_distance", F.least(nearest(F.col("classes"), [c for c, _ in refs.values()]), own, unlabelled))
     rows = rows.withColumn("word_distance", nearest(F.col("bins"), [b for _, b in refs.values()]))
-    size = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, b: a + b)
-    odd_classes = (listed | F.col("ref").isNotNull()) & (size("classes") >= CLASS_CHARS) & (F.col("class_distance") > CLASS_DISTANCE)
-    odd_words = listed & (size("bins") >= COMMON_COUNT) & (F.col("word_distance") > WORD_DISTANCE)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    rows = rows.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))})
-    return rows.drop("ref_lang", "ref")
+    listed = F.coalesce(F.col("lang").isin(list(refs)), F.lit(False))
+    size = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
+    by_class = (listed | F.col("ref").isNotNull() | F.col("lang").isNull()) & (size >= CLASS_CHARS)
+    by_words = listed & (F.col("n_words") >= WORD_COUNT)
+    rows = cut_lineage(rows.withColumns({"base_failed": failed, "by_class": by_class, "by_words": by_words}).drop("ref_lang", "ref", "refs"))
+    odd = F.lit(False)
+    for judged, column, spreads in (("by_class", "class_distance", CLASS_SPREADS), ("by_words", "word_distance", WORD_SPREADS)):
+        far = limit(rows.where(~F.col("base_failed") & F.col(judged)), column, spreads)
+        odd = odd | F.coalesce(F.col(judged) & (F.round(column, 4) > far), F.lit(False))
+    return rows.withColumn("kept", ~F.col("base_failed") & ~odd).drop("by_class", "by_words")
 
 
 def _sql() -> str:
@@ -225,11 +246,17 @@ WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
   {nearest_sql("cls")},
   bn AS (SELECT unnest([{bins}]) AS bin),
   hit AS (SELECT doc_id, rtrim(lower(word), '.,;:!?') AS bin, count(*) AS c FROM p GROUP BY 1, 2),
-  wrd AS (SELECT f.doc_id, f.bin, coalesce(hit.c, 0) AS c FROM (SELECT doc_id, bin FROM d, bn) f LEFT JOIN hit ON hit.doc_id = f.doc_id AND hit.bin = f.bin),
-  {nearest_sql("wrd")}
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(c.js, 6) AS class_distance, round(x.js, 6) AS word_distance, base_failed,
-  NOT base_failed AND NOT coalesce(cn.n >= {CLASS_CHARS} AND c.js > {CLASS_DISTANCE}, false) AND NOT coalesce(xn.n >= {COMMON_COUNT} AND x.js > {WORD_DISTANCE}, false) AS kept
-FROM b LEFT JOIN cls_d c USING (doc_id) LEFT JOIN wrd_d x USING (doc_id) LEFT JOIN cls_n cn USING (doc_id) LEFT JOIN wrd_n xn USING (doc_id)
+  known AS (SELECT f.doc_id, f.bin, coalesce(hit.c, 0) AS c FROM (SELECT doc_id, bin FROM d, bn) f LEFT JOIN hit ON hit.doc_id = f.doc_id AND hit.bin = f.bin),
+  wrd AS (SELECT * FROM known UNION ALL SELECT doc_id, '', n_words - c FROM (SELECT doc_id, sum(c) AS c FROM known GROUP BY 1) JOIN base USING (doc_id)),
+  {nearest_sql("wrd")},
+  far AS (SELECT b.*, c.js AS class_distance, x.js AS word_distance, (b.lang IN ({langs}) OR b.lang IS NULL) AND cn.n >= {CLASS_CHARS} AS by_class,
+    coalesce(b.lang IN ({langs}), false) AND n_words >= {WORD_COUNT} AS by_words
+    FROM b LEFT JOIN cls_d c USING (doc_id) LEFT JOIN wrd_d x USING (doc_id) LEFT JOIN cls_n cn USING (doc_id)),
+  lim AS (SELECT quantile_cont(round(class_distance, 4), [0.5, 0.9]) FILTER (by_class) AS c, quantile_cont(round(word_distance, 4), [0.5, 0.9]) FILTER (by_words) AS w FROM far WHERE NOT base_failed)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance, base_failed,
+  NOT base_failed AND NOT coalesce(by_class AND round(class_distance, 4) > greatest({LEAST_LIMIT}, c[1] + {CLASS_SPREADS} * (c[2] - c[1])), false)
+    AND NOT coalesce(by_words AND round(word_distance, 4) > greatest({LEAST_LIMIT}, w[1] + {WORD_SPREADS} * (w[2] - w[1])), false) AS kept
+FROM far, lim
 """
 
 

@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("k")
     keep = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h"))
     d, key = _hashed(docs)
-    kept = d.join(keep, _same(d, keep, key), "left_semi").dropDuplicates([key])
+    kept = d.join(keep, _same(d, keep, key), "left_semi").dropDuplicates(["doc_id", key])
     return kept.select(*_columns(kept, docs.columns))
 
 
@@ -77,5 +77,5 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(docs, key="h").where("taken > 0")
     plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(*[F.max(c).alias(c) for c in new[:3]], F.sum("taken").alias("taken"))
     d, key = _hashed(docs)
-    d = d.dropDuplicates([key])
+    d = d.dropDuplicates(["doc_id", key])
     return d.join(plan, _same(d, plan, key)).select(*_columns(d, [c for c in docs.columns if c not in new]), *[plan[c] for c in new])

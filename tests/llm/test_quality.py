@@ -42,7 +42,7 @@ def test_histograms(documents):
     text = "The cat, and THE dog; 12% of Und der <b> ÄÖ\té. a-b"
     r = quality.measures(documents([(1, text)])).first()
     words = [w.lower().rstrip(".,;:!?") for w in text.split()]
-    assert list(r.bins) == [words.count(b) for b in quality.BINS]
+    assert list(r.bins) == [*(n := [words.count(b) for b in quality.BINS]), len(words) - sum(n)]
     assert sum(r.classes) == len(text)
     assert r.classes[0] == sum(c.islower() for c in text) and r.classes[1] == sum(c.isupper() for c in text)
     assert r.classes[4] == 2 and r.classes[5] == 3
@@ -105,3 +105,25 @@ def test_languages_outside_the_list(spark, documents):
     rows = [(-i, hindi(), "hi") for i in range(1, 9)] + [(-20, junk, "hi"), (-21, hindi(), None)]
     got = {r.doc_id: r.kept for r in quality.judge(quality.measures(docs.unionByName(documents(rows)))).collect()}
     assert all(got[-i] for i in range(1, 9)) and not got[-20] and got[-21]
+
+
+def test_words_decide_too(spark, documents):
+    """Letter soup, keyword lists and unlabelled symbol junk go; prose without a label stays."""
+    import random
+
+    rng = random.Random(2)
+    soup = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(600)).capitalize() + "."
+    casino = ", ".join(f"{a} {b}" for a in "casino poker slots bonus jackpot roulette blackjack betting lottery bingo".split() for b in "online free play best win big cash spins real money".split())
+    junk = " ".join(f"#{i}|$%{i * 7}&<{i}>" for i in range(200))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prose = next(r.text for r in docs.collect() if r.lang == "en" and 300 < len(r.text.split()) < 600 and not set("#*$%&|<>!") & set(r.text))
+    rows = [(-1, soup(), "en"), (-2, soup(), "de"), (-3, casino, "en"), (-4, junk, None), (-5, prose, None), (-6, prose, "en"), (-7, prose, "xx")]
+    got = {r.doc_id: r for r in quality.judge(quality.measures(docs.unionByName(documents(rows)))).collect()}
+    for i in (-1, -2, -3):
+        assert not got[i].base_failed and not got[i].kept and got[i].class_distance < 0.2
+    assert not got[-4].kept and not got[-4].base_failed
+    assert got[-5].kept and got[-6].kept and got[-7].kept
+    # of the documents with hardly a symbol or capital and some common words, nearly all stay
+    plain = [r.doc_id for r in docs.collect() if not set("#*$%&|<>!") & set(r.text) and sum(c.isupper() for c in r.text) < 0.1 * len(r.text)]
+    judged = [got[i] for i in plain if not got[i].base_failed]
+    assert sum(r.kept for r in judged) > 0.99 * len(judged)
