@@ -7,6 +7,7 @@ holds a nested-loop join. Coordinates are planar (project first); one point is o
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -280,16 +281,35 @@ def polygon_centroids(edges: DataFrame) -> DataFrame:
 # ---- look-alike search -----------------------------------------------------------------
 
 
+# Ranges that a band join cuts the values into, and candidates that meet the units of a range in one task.
+BAND_RANGES, BAND_ROWS = 64, 100_000
+
+
 def area_band_join(units: DataFrame, cands: DataFrame, factor: float = 4.0, area: str = "area") -> DataFrame:
-    """Pairs whose areas differ by at most `factor` either way; columns prefixed u_ and c_."""
-    reach = int(math.ceil(math.log2(factor))) + 1
-    bucket = lambda c: F.floor(F.log2(F.col(c))).cast("int")
-    u = units.select(*[F.col(c).alias(f"u_{c}") for c in units.columns]).withColumn(
-        "__b", around(bucket(f"u_{area}"), reach)
-    )
-    c = cands.select(*[F.col(c).alias(f"c_{c}") for c in cands.columns]).withColumn("__b", bucket(f"c_{area}"))
-    inside = (F.col(f"c_{area}") >= F.col(f"u_{area}") / factor) & (F.col(f"c_{area}") <= F.col(f"u_{area}") * factor)
-    return u.join(c, "__b").where(inside).drop("__b")
+    """Pairs whose areas differ by at most `factor` either way; columns prefixed u_ and c_.
+
+    The candidates' quantiles cut the values into ranges of about equal size; a unit is copied
+    only to the ranges that its band reaches. A range of more than BAND_ROWS candidates, such as
+    that of one value which many share, is dealt to several tasks, each with a copy of the units.
+    Rows without a positive area pair with nothing.
+    """
+    u = units.select(*[F.col(c).alias(f"u_{c}") for c in units.columns]).where(F.col(f"u_{area}") > 0)
+    c = cands.select(*[F.col(c).alias(f"c_{c}") for c in cands.columns]).where(F.col(f"c_{area}") > 0)
+    probs = [i / BAND_RANGES for i in range(1, BAND_RANGES)]
+    cuts = c.agg(F.percentile_approx(f"c_{area}", probs)).first()[0]
+    if not cuts:
+        return u.join(c, F.lit(False))
+    bounds = F.array(*[F.lit(float(v)) for v in sorted(set(cuts))])
+    place = lambda v: F.size(F.filter(bounds, lambda b: b <= v))
+    c = c.withColumn("__b", place(F.col(f"c_{area}")))
+    sizes = {r["__b"]: -(-r["n"] // BAND_ROWS) for r in c.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each range
+    parts = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("__b"))
+    c = c.withColumn("__p", F.pmod(F.monotonically_increasing_id(), parts))
+    low, high = F.col(f"u_{area}") / factor, F.col(f"u_{area}") * factor
+    reached = u.withColumn("__b", span(place(low), place(high))).withColumn("__p", parts).where("__p IS NOT NULL")
+    reached = reached.withColumn("__p", span(F.lit(0).cast("long"), F.col("__p").cast("long") - 1))
+    inside = (F.col(f"c_{area}") >= low) & (F.col(f"c_{area}") <= high)
+    return reached.join(c, ["__b", "__p"]).where(inside).drop("__b", "__p")
 
 
 def lookalike_candidates(
@@ -344,7 +364,7 @@ def _disc_sums(points: DataFrame, split: int, x: str, y: str) -> DataFrame:
 
     Equal locations are merged first. Where the 3x3 block of radius-sized cells around a
     location is thinly filled its locations are compared one by one; in crowded places
-    whole cells are added up instead. Both ways are exact. `points` carry gid and rad.
+    whole cells are added up instead, and cells cut by a circle are divided. Both ways are exact. `points` carry gid and rad.
     """
     loc = cut_lineage(
         points.groupBy("gid", F.col(x).alias("px"), F.col(y).alias("py"))
@@ -382,22 +402,43 @@ def _disc_sums(points: DataFrame, split: int, x: str, y: str) -> DataFrame:
     return thin.unionByName(_crowded_sums(loc.select("gid", "rad", "px", "py", "m"), crowded, split))
 
 
+# Locations of a cell up to which they are compared one by one, and subdivisions at most.
+LEAF_LOCATIONS, DEPTH = 32, 20
+
+
+def _cell_sums(loc: DataFrame, g: Column) -> DataFrame:
+    """Per (gid, rad) and cell of size `g`: locations c, and points cn with the sums of their places
+    from the cell's corner (sx, sy) and of its square (ss)."""
+    x, y = F.col("px") - F.col("gx") * g, F.col("py") - F.col("gy") * g
+    cells = loc.withColumn("gx", cell_of("px", g)).withColumn("gy", cell_of("py", g)).groupBy("gid", "rad", "gx", "gy")
+    sums = {"cn": F.lit(1), "sx": x, "sy": y, "ss": x * x + y * y}
+    return cells.agg(F.count(F.lit(1)).alias("c"), *[F.sum(F.col("m") * v).alias(k) for k, v in sums.items()])
+
+
+def _against_cell(g: Column) -> tuple[Column, Column]:
+    """Does the disc around (px, py) hold the cell (gx, gy) wholly, or miss it?
+    A hair of slack keeps borderline cells with those that are cut."""
+    ox, oy = F.col("gx") * g, F.col("gy") * g
+    far_x = F.greatest(F.abs(F.col("px") - ox), F.abs(F.col("px") - (ox + g)))
+    far_y = F.greatest(F.abs(F.col("py") - oy), F.abs(F.col("py") - (oy + g)))
+    near_x = F.greatest(ox - F.col("px"), F.col("px") - (ox + g), F.lit(0.0))
+    near_y = F.greatest(oy - F.col("py"), F.col("py") - (oy + g), F.lit(0.0))
+    rr = F.col("rad") * F.col("rad")
+    return far_x * far_x + far_y * far_y <= rr * (1 - 1e-12), near_x * near_x + near_y * near_y > rr * (1 + 1e-12)
+
+
 def _crowded_sums(loc: DataFrame, wanted: DataFrame, split: int) -> DataFrame:
-    """Disc sums by cells of radius/split: a cell wholly inside the disc gives its totals
-    without touching its points, and only cells cut by the circle are joined point by point.
-    Coordinates inside a cell are kept relative to its corner."""
+    """Disc sums by cells of radius/split and their quarters' quarters.
+
+    A cell wholly inside the disc gives its totals without touching its points, one outside
+    nothing. A cell that the circle cuts is divided into 16, again and again, until it holds
+    few locations, which are then compared one by one. A circle cuts about the square root of
+    the cells, so many locations in one place cost far less than all their pairs.
+    """
     key = ["gid", "rad"]
     g = F.col("rad") / split
-    wanted = wanted.withColumn("gx", cell_of("px", g)).withColumn("gy", cell_of("py", g))
-    loc = loc.withColumn("gx", cell_of("px", g)).withColumn("gy", cell_of("py", g))
-    cells = loc.groupBy(*key, "gx", "gy").agg(
-        F.sum("m").alias("cn"),
-        F.sum(F.col("m") * (F.col("px") - F.col("gx") * g)).alias("sx"),
-        F.sum(F.col("m") * (F.col("py") - F.col("gy") * g)).alias("sy"),
-        F.sum(
-            F.col("m") * (F.pow(F.col("px") - F.col("gx") * g, 2) + F.pow(F.col("py") - F.col("gy") * g, 2))
-        ).alias("ss"),
-    )
+    wanted = wanted.withColumn("hx", cell_of("px", g)).withColumn("hy", cell_of("py", g))
+    cells = _cell_sums(loc, g)
     reach = split + 1
     offsets = [
         (i, j)
@@ -407,38 +448,33 @@ def _crowded_sums(loc: DataFrame, wanted: DataFrame, split: int) -> DataFrame:
     ]
     grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
     # cells holding data decide which neighbour cells exist: join cell to cell, not point to cell
-    homes = wanted.select(*key, "gx", "gy").distinct().withColumn("o", F.explode(grid))
-    homes = homes.select(*key, F.col("gx").alias("hx"), F.col("gy").alias("hy"), (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
-    links = homes.join(cells, [*key, "gx", "gy"])
-    src = wanted.select(*key, "px", "py", F.col("gx").alias("hx"), F.col("gy").alias("hy"))
-    ox, oy = F.col("gx") * g, F.col("gy") * g
-    far_x = F.greatest(F.abs(F.col("px") - ox), F.abs(F.col("px") - (ox + g)))
-    far_y = F.greatest(F.abs(F.col("py") - oy), F.abs(F.col("py") - (oy + g)))
-    near_x = F.greatest(ox - F.col("px"), F.col("px") - (ox + g), F.lit(0.0))
-    near_y = F.greatest(oy - F.col("py"), F.col("py") - (oy + g), F.lit(0.0))
-    # a hair of slack keeps borderline cells on the exact point-by-point side
-    inside = far_x * far_x + far_y * far_y <= F.col("rad") * F.col("rad") * (1 - 1e-12)
-    outside = near_x * near_x + near_y * near_y > F.col("rad") * F.col("rad") * (1 + 1e-12)
-    seen = src.join(links, [*key, "hx", "hy"]).where(~outside).withColumn("inside", inside)
-    ax, ay = F.col("px") - ox, F.col("py") - oy
-    whole = seen.where("inside").select(
-        *key,
-        "px",
-        "py",
-        F.col("cn").alias("n"),
-        (F.col("ss") - 2 * ax * F.col("sx") - 2 * ay * F.col("sy") + F.col("cn") * (ax * ax + ay * ay)).alias("d2"),
-    )
-    other = loc.select(*key, "gx", "gy", F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("m"))
-    dd = F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)
-    cut = (
-        seen.where(~F.col("inside"))
-        .select(*key, "px", "py", "gx", "gy")
-        .join(other, [*key, "gx", "gy"])
-        .withColumn("dd", dd)
-        .where(F.sqrt("dd") <= F.col("rad"))
-        .select(*key, "px", "py", F.col("m").alias("n"), (F.col("m") * F.col("dd")).alias("d2"))
-    )
-    return whole.unionByName(cut).groupBy("gid", "px", "py").agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"))
+    homes = wanted.select(*key, "hx", "hy").distinct().withColumn("o", F.explode(grid))
+    homes = homes.select(*key, "hx", "hy", (F.col("hx") + F.col("o.i")).alias("gx"), (F.col("hy") + F.col("o.j")).alias("gy"))
+    seen = wanted.join(homes.join(cells, [*key, "gx", "gy"]), [*key, "hx", "hy"]).drop("hx", "hy")
+    parts = []
+    for depth in range(DEPTH + 1):
+        inside, outside = _against_cell(g)
+        seen = cut_lineage(seen.where(~outside).withColumn("inside", inside))
+        ax, ay = F.col("px") - F.col("gx") * g, F.col("py") - F.col("gy") * g
+        d2 = F.col("ss") - 2 * ax * F.col("sx") - 2 * ay * F.col("sy") + F.col("cn") * (ax * ax + ay * ay)
+        parts.append(seen.where("inside").select("gid", "px", "py", F.col("cn").alias("n"), d2.alias("d2")))
+        cut = seen.where("NOT inside").select(*key, "px", "py", "gx", "gy", "c")
+        many = cut.where(F.col("c") > LEAF_LOCATIONS)
+        last = depth == DEPTH or many.isEmpty()
+        few = (cut if last else cut.where(F.col("c") <= LEAF_LOCATIONS)).drop("c")
+        at = [cell_of("px", g).alias("gx"), cell_of("py", g).alias("gy")]
+        other = loc.select(*key, *at, F.col("px").alias("qx"), F.col("py").alias("qy"), "m")
+        dd = F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)
+        one = few.join(other, [*key, "gx", "gy"]).withColumn("dd", dd).where(F.sqrt("dd") <= F.col("rad"))
+        parts.append(one.select("gid", "px", "py", F.col("m").alias("n"), (F.col("m") * F.col("dd")).alias("d2")))
+        if last:
+            break
+        g = g / 4  # a power of two, so that cells stay nested
+        kids = _cell_sums(loc, g).withColumns({"ux": F.floor(F.col("gx") / 4), "uy": F.floor(F.col("gy") / 4)})
+        kids = kids.groupBy(*key, "ux", "uy").agg(F.collect_list(F.struct("gx", "gy", "c", "cn", "sx", "sy", "ss")).alias("kids"))
+        kids = cut_lineage(kids.withColumnsRenamed({"ux": "gx", "uy": "gy"}))
+        seen = attach_units(many.drop("c"), kids, [*key, "gx", "gy"], written=True).select(*key, "px", "py", F.explode("kids").alias("k")).select(*key, "px", "py", "k.*")
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("gid", "px", "py").agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"))
 
 
 def neighbours_within(

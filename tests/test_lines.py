@@ -115,3 +115,48 @@ def test_far_points_visit_few_cells(spark):
     for i, x, y in pts[::10]:
         want = min((seg_dist(x, y, s), s[0]) for s in segs)
         assert got[i][1] == want[1] and got[i][0] == pytest.approx(want[0], rel=1e-12)
+
+
+def test_piled_up_points_are_counted_without_all_pairs(spark, monkeypatch):
+    """Many locations in one cell: exact counts and squares, and far fewer joined rows than pairs."""
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.normal(50, 0.4, (3000, 2)), rng.uniform(0, 100, (200, 2)), np.full((50, 2), 50.0)])
+    df = spark.createDataFrame([(i, 1, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id int, g int, x double, y double")
+    d2 = ((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2)
+    got = {r.id: r.n for r in spatial.neighbours_within(df, ["g"], 1.0, "n").collect()}
+    assert got == {i: int(n) for i, n in enumerate((np.sqrt(d2) <= 1.0).sum(axis=1))}
+    k = {r.id: r.dens for r in spatial.kernel_density(df, ["g"], 1.0, "epanechnikov").collect()}
+    want = (0.75 * np.maximum(0, 1 - d2) * (np.sqrt(d2) <= 1.0)).sum(axis=1) / math.pi
+    assert [k[i] for i in range(len(xy))] == pytest.approx(want.tolist(), rel=1e-9)
+    # the rows that the circle test looks at, level by level
+    looked = []
+    store = spatial.cut_lineage
+
+    def counting(frame):
+        out = store(frame)
+        if "inside" in out.columns:
+            cut = out.where("NOT inside")
+            looked.append((out.count(), cut.where(F.col("c") <= spatial.LEAF_LOCATIONS).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]))
+        return out
+
+    monkeypatch.setattr(spatial, "cut_lineage", counting)
+    spatial.neighbours_within(df, ["g"], 1.0, "n")
+    assert len(looked) > 1 and sum(a + b for a, b in looked) < 0.35 * 3000**2
+
+
+@pytest.mark.parametrize("rows", [100_000, 25])
+def test_band_join_with_a_hot_value(spark, monkeypatch, rows):
+    """One area of 30 percent of the candidates is dealt to several tasks; pairs are all there, once."""
+    monkeypatch.setattr(spatial, "BAND_ROWS", rows)
+    rng = np.random.default_rng(7)
+    u = [(i, float(v)) for i, v in enumerate([*rng.lognormal(3, 2, 40), 5.0, 0.0, -1.0])] + [(99, None)]
+    c = [(i, float(v)) for i, v in enumerate([*rng.lognormal(3, 2, 300), *[5.0] * 130, 0.0, 20.0, 1.25])] + [(999, None)]
+    us, cs = (spark.createDataFrame(x, "id int, area double") for x in (u, c))
+    got = spatial.area_band_join(us, cs)
+    want = sorted((i, j) for i, a in u if a and a > 0 for j, b in c if b and b > 0 and a / 4 <= b <= a * 4)
+    assert sorted((r.u_id, r.c_id) for r in got.collect()) == want
+    if rows == 25:
+        spread = cs.where("area = 5").count() / 25
+        assert spread > 4 and "BroadcastNestedLoop" not in got._jdf.queryExecution().toString()
+    assert spatial.area_band_join(us, cs.where("false")).count() == 0
+    assert spatial.area_band_join(us.where("false"), cs).count() == 0
