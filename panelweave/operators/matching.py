@@ -133,42 +133,60 @@ def _logit_steps(lean: DataFrame, keys: list[str], z: list[Column], maxit: int,
 def cover_line(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Cheapest set of links covering all points of two sorted arrays, as star-shaped sets.
 
-    f(i, j) = |a_i - b_j| + min of the three smaller prefixes; links whose two ends are both
-    covered otherwise are dropped, so every set has one end of degree one side.
+    In order the points form runs of one array and the other in turn. Links join neighbouring runs
+    only: the last k points p of a run (size s) with the first i points q of the next, which costs
+
+        sum (q_1 - p) + sum (q - q_1) + max(i - k, 0) (q_1 - p_s)
+
+    The cheapest cover of everything up to q_i then follows from running minima over k, so time and
+    space grow with the number of points. A point may be covered from both sides; links whose
+    two ends are both covered otherwise are dropped, so every set has one end of degree one side.
     """
-    n, m = len(a), len(b)
-    came = np.zeros((n, m), np.int8)  # 0: from (i-1, j-1), 1: from (i-1, j), 2: from (i, j-1)
-    prev = np.full(m + 1, np.inf)
-    prev[0] = 0.0
-    for i in range(n):
-        cost = np.abs(a[i] - b)
-        best, way = np.minimum(prev[:-1], prev[1:]), (prev[1:] < prev[:-1]).astype(np.int8)
-        row = np.full(m + 1, np.inf)
-        left = np.inf
-        for j in range(m):
-            if left < best[j]:
-                way[j], left = 2, left + cost[j]
-            else:
-                left = best[j] + cost[j]
-            row[j + 1] = left
-        came[i], prev = way, row
-    links, i, j = [], n - 1, m - 1
-    while i >= 0 and j >= 0:
-        links.append((i, j))
-        step = came[i, j]
-        i, j = i - (step != 2), j - (step != 1)
-    deg_a, deg_b = np.zeros(n, int), np.zeros(m, int)
-    for p, q in links:
-        deg_a[p] += 1
-        deg_b[q] += 1
-    kept = []
-    for p, q in sorted(links, key=lambda l: -abs(a[l[0]] - b[l[1]])):
-        if deg_a[p] > 1 and deg_b[q] > 1:
-            deg_a[p] -= 1
-            deg_b[q] -= 1
+    if not len(a) or not len(b):
+        return []
+    at = np.concatenate([a, b])
+    side = np.concatenate([np.zeros(len(a), int), np.ones(len(b), int)])
+    place = np.concatenate([np.arange(len(a)), np.arange(len(b))])
+    order = np.lexsort((side, at))
+    at, side, place = at[order], side[order], place[order]
+    runs = np.split(np.arange(len(at)), np.flatnonzero(np.diff(side)) + 1)
+    cost = np.concatenate([[0.0], np.full(len(runs[0]), np.inf)])  # cover of all before the run and of its first 0, 1, ... points
+    taken = []
+    for p, q in zip(runs, runs[1:]):
+        x, y, s = at[p], at[q], len(p)
+        # the last k points: everything before them is covered, or the first of them as well
+        both = cost[1:] < cost[:-1]
+        base = np.minimum(cost[:-1], cost[1:])[::-1] + np.cumsum((y[0] - x)[::-1])
+        gap, i = y[0] - x[-1], np.arange(1, len(q) + 1)
+        enough = np.minimum.accumulate(base[::-1])[::-1]  # k >= i
+        few = np.minimum.accumulate(base - np.arange(1, s + 1) * gap)  # k < i
+        by_enough = np.where(i <= s, enough[np.minimum(i, s) - 1], np.inf)
+        by_few = np.where(i > 1, few[np.minimum(np.maximum(i - 1, 1), s) - 1] + i * gap, np.inf)
+        taken.append((by_few < by_enough, base, both))
+        cost = np.concatenate([[cost[-1]], np.minimum(by_enough, by_few) + np.cumsum(y - y[0])])
+    links, run, i = [], len(runs) - 1, len(runs[-1])
+    while run > 0:
+        p, q = runs[run - 1], runs[run]
+        if i == 0:  # all of this run is covered from the right, all before it without it
+            run, i = run - 1, len(p)
+            continue
+        by_few, base, both = taken[run - 1]
+        gap, s = at[q[0]] - at[p[-1]], len(p)
+        if by_few[i - 1]:
+            k = 1 + int(np.argmin((base - np.arange(1, s + 1) * gap)[: min(i - 1, s)]))
+        else:
+            k = i + int(np.argmin(base[i - 1 :]))
+        for n in range(max(k, i)):  # the last points pair off, the rest go to the nearest end
+            links.append((p[s - 1 - min(n, k - 1)], q[i - 1 - n] if n < i else q[0]) if k >= i else (p[s - k + min(n, k - 1)], q[n]))
+        run, i = run - 1, s - k + int(both[s - k])
+    deg, kept = np.bincount(np.array(links).ravel(), minlength=len(at)), []
+    for p, q in sorted(links, key=lambda l: -abs(at[l[0]] - at[l[1]])):
+        if deg[p] > 1 and deg[q] > 1:
+            deg[p] -= 1
+            deg[q] -= 1
         else:
-            kept.append((p, q))
-    return kept
+            kept.append((place[p], place[q]) if side[p] == 0 else (place[q], place[p]))
+    return [(int(x), int(y)) for x, y in kept]
 
 
 @private_keys

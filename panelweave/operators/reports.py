@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.labels import compact_number, quartile_text
 from panelweave.functions.nulls import is_finite
-from panelweave.operators.prefix import attach_group, exact_quantiles, running_total
+from panelweave.operators.prefix import attach_group, attach_units, exact_quantiles, running_total
 from panelweave.operators.tables import to_long, weighted_quantiles
 
 
@@ -125,7 +125,7 @@ def binned_means(df: DataFrame, flag: str, x: str, y: str, w: str, width: float,
         F.count("__y").alias("n"), F.sum("__w").alias("w_sum"),
         F.try_divide(F.sum(F.col("__w") * F.col("__y")), F.sum(F.when(F.col("__y").isNotNull(), F.col("__w")))).alias("mean"),
     )
-    ss = attach_group(d, m, [flag, "bin"]).groupBy(flag, "bin").agg(F.sum(F.col("__w") * F.pow(F.col("__y") - F.col("mean"), 2)).alias("ss"))
+    ss = attach_units(d, m, [flag, "bin"]).groupBy(flag, "bin").agg(F.sum(F.col("__w") * F.pow(F.col("__y") - F.col("mean"), 2)).alias("ss"))
     out = attach_group(m, ss, [flag, "bin"])
     core = F.col("ss") / F.col("w_sum") if normalise_se else F.col("ss")
     out = out.withColumn("se", F.when(F.col("n") > 0, F.sqrt(core) / F.sqrt("n")))

@@ -122,6 +122,16 @@ _MOM = """m AS (SELECT o_orderstatus AS variable, o_orderpriority AS class, coun
   a AS (SELECT variable, count(*) AS k, sum(n)::BIGINT AS n, sum(n * mean * mean) - pow(sum(n * mean), 2) / sum(n) AS ssb, sum((n - 1) * v) AS ssw FROM m GROUP BY 1)"""
 
 
+@query(
+    "class_mean_errors",
+    """SELECT o_orderpriority AS class, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice) / sqrt(count(*)), 4) AS se FROM orders GROUP BY 1""",
+)
+def class_mean_errors(spark, d):
+    """Means and errors; the t interval around them is compared by the tests."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("class"), "o_totalprice")
+    return rounded(summaries.class_means(o, [], "class", "o_totalprice").select("class", "mean", "se"), 4)
+
+
 @query(
     "one_way_anova",
     f"WITH {_MOM} SELECT variable, k, n, round(ssw / (n - k), 0) AS mse, round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS f_value FROM a",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import distributions as D
 from panelweave.functions import labels, nulls, projection
+from panelweave.operators import summaries
 
 
 def one(spark, col, **vals):
@@ -72,3 +73,17 @@ def test_projection_round_trip(spark):
     # the equal-area grid keeps the ellipsoid's area: 4 pi R_authalic^2
     top = df.sparkSession.range(1).select((projection.equal_area_x(F.lit(180.0)) * projection.equal_area_y(F.lit(90.0)) * 4).alias("v")).first().v
     assert top == pytest.approx(4 * math.pi * 6371007.1809**2, rel=1e-9)
+
+
+def test_class_intervals_against_tabled_quantiles(spark):
+    """The t interval of class means, with the 97.5 percent points of printed tables."""
+    table = {1: 12.7062, 2: 4.30265, 4: 2.77645, 9: 2.26216, 29: 2.04523}
+    rng = np.random.default_rng(4)
+    data = {df: rng.normal(10, 3, df + 1) for df in table}
+    rows = [(str(df), float(v)) for df, vs in data.items() for v in vs] + [("one", 1.0), ("one", None)]
+    got = {r["class"]: r for r in summaries.class_means(spark.createDataFrame(rows, "class string, v double"), [], "class", "v").collect()}
+    for df, vs in data.items():
+        half = table[df] * vs.std(ddof=1) / np.sqrt(df + 1)
+        r = got[str(df)]
+        assert (r["mean"], r.se, r.ci_low, r.ci_high) == pytest.approx((vs.mean(), vs.std(ddof=1) / np.sqrt(df + 1), vs.mean() - half, vs.mean() + half), rel=2e-5)
+    assert got["one"].ci_low is None and got["one"].se is None

@@ -203,3 +203,38 @@ def test_declustered_weights_average_one(spark):
         assert all(r.m == pytest.approx(1.0) for r in w.groupBy("g").agg(F.avg("w").alias("m")).collect())
     zero = spatial.decluster_weights(spark.createDataFrame(pdf), ["g"], 0.0)
     assert {r.w for r in zero.collect()} == {1.0}
+
+
+def test_line_cover_against_every_choice():
+    """Cheapest cover by trying all sets of links, and by the plain quadratic recursion; ties and disjoint arms too."""
+    rng = np.random.default_rng(0)
+
+    def recursion(a, b):
+        f = np.full((len(a) + 1, len(b) + 1), np.inf)
+        f[0, 0] = 0
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                f[i, j] = abs(a[i - 1] - b[j - 1]) + min(f[i - 1, j - 1], f[i - 1, j], f[i, j - 1])
+        return f[-1, -1]
+
+    def every(a, b):
+        pairs, best = [(i, j) for i in range(len(a)) for j in range(len(b))], np.inf
+        for mask in range(1, 1 << len(pairs)):
+            chosen = [p for k, p in enumerate(pairs) if mask >> k & 1]
+            if len({i for i, _ in chosen}) == len(a) and len({j for _, j in chosen}) == len(b):
+                best = min(best, sum(abs(a[i] - b[j]) for i, j in chosen))
+        return best
+
+    kinds = [lambda k: rng.normal(0, 1, k), lambda k: rng.integers(0, 6, k).astype(float), lambda k: rng.normal(rng.choice([0, 50]), 1, k)]
+    for t in range(600):
+        n, m = rng.integers(1, 12, 2)
+        a, b = np.sort(kinds[t % 3](n)), np.sort(kinds[t % 3](m))
+        links = matching.cover_line(a, b)
+        deg_a, deg_b = np.bincount([i for i, _ in links], minlength=n), np.bincount([j for _, j in links], minlength=m)
+        assert deg_a.min() > 0 and deg_b.min() > 0 and len(set(links)) == len(links)
+        assert all(deg_a[i] == 1 or deg_b[j] == 1 for i, j in links)
+        cost = sum(abs(a[i] - b[j]) for i, j in links)
+        assert cost == pytest.approx(recursion(a, b), abs=1e-9)
+        if n * m <= 10:
+            assert cost == pytest.approx(every(a, b), abs=1e-9)
+    assert matching.cover_line(np.zeros(0), np.ones(3)) == []
