@@ -18,13 +18,14 @@ from panelweave.operators.tables import both_arms, complete_cases, drop_flagged_
 from panelweave.operators.trends import huber_trends, unit_trends
 from panelweave.session import cut_lineage
 
-# Default covariates, nations left out as islands, minimum rows, sweep levels.
+# Default covariates, nations left out as islands, minimum rows, sweep levels, draws and sizes of leaving out.
 DEFAULT_COVARIATES = ["lat_c", "lon_c", "urbkHaKm2", "CS_max", "LB_river"]
 ISLAND_NATIONS = ["AUS", "NZL", "TWN", "JPN", "IRL", "GBR"]
 DEFAULT_N_MIN = 20
 N_MIN_LEVELS = [10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
 RADII_KM = [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
 LEAVE_OUT_DRAWS = 250
+LEAVE_OUT_SIZES = [1, 5, 10, 15, 20, 25, 30, 35, 40]
 
 
 # ---- spec keys --------------------------------------------------------------------------

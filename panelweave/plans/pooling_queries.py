@@ -284,8 +284,8 @@ def covariate_set_sweep(spark, d):
 
 @query("leave_k_out_sweep")
 def leave_k_out_sweep(spark, d):
-    """Draws of 1 and 3 treated rows, refitted without the drawn names."""
-    u = sweeps.leave_k_out(panel(spark, d, 20), "aquifer", "unit_id", "TB", [1, 3], draws=5)
+    """All draws of 1 to 40 treated rows, refitted without the drawn names."""
+    u = cut_lineage(sweeps.leave_k_out(cut_lineage(panel(spark, d, 20)), "aquifer", "unit_id", "TB", sweeps.LEAVE_OUT_SIZES))
     k = ["k", "iter", "left_out"]
     return pooling.meta_regression(matching.sampling_variances(u, k, None), k, "cc", "beta_1", "vi_1", "TB")
 
