@@ -57,9 +57,9 @@ def record(url: Column, html: Column, page_id: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write `pages` as compressed WARC files, a folder of files in order for each archive."""
-    order = ["archive", "page_id", "url_hash", "digest"]
+    order = ["archive", "page_id", "url_hash", "html_hash"]
     r = record(F.col("url"), F.col("html"), F.col("page_id"))
-    rows = pages.select("page_id", F.xxhash64("url").alias("url_hash"), r.alias("r")).withColumns({"archive": F.floor(F.col("page_id") / PAGES), "digest": F.sha2("r", 256)})
+    rows = pages.select("page_id", F.xxhash64("url").alias("url_hash"), F.xxhash64("html").alias("html_hash"), r.alias("r")).withColumn("archive", F.floor(F.col("page_id") / PAGES))
     laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # the writer's line end is the end of a record
     laid.select(F.expr("left(r, length(r) - 4)").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\r\n\r\n").option("compression", "gzip").option(
@@ -113,14 +113,15 @@ def replica(pages: DataFrame) -> DataFrame:
 def manifest(pages: DataFrame) -> DataFrame:
     """The manifest that `pages` should have, without writing them; the html itself is not shuffled."""
     r = record(F.col("url"), F.col("html"), F.col("page_id"))
-    rows = pages.select("page_id", "url", r.alias("record")).select(
+    rows = pages.select("page_id", "url", "html", r.alias("record")).select(
         F.floor(F.col("page_id") / PAGES).alias("archive"),
         "page_id",
         F.xxhash64("url").alias("url_hash"),
+        F.xxhash64("html").alias("html_hash"),
         F.octet_length("record").cast("long").alias("length"),
         F.sha2(F.col("record"), 256).alias("digest"),
     )
-    order = [F.col("page_id").asc(), F.col("url_hash").asc(), F.col("digest").asc()]
+    order = [F.col("page_id").asc(), F.col("url_hash").asc(), F.col("html_hash").asc()]
     placed = spread_scan(rows, ["archive"], order, {"end": ("sum", F.col("length"), "upto")})
     return placed.select("archive", "page_id", (F.col("end") - F.col("length")).alias("offset"), "length", "digest")
 
