@@ -8,10 +8,12 @@ to the cells cut by the outline.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.operators.prefix import null_safe_join
 from panelweave.operators.tables import rows_at_max
+from panelweave.session import cut_lineage
 
 XY = ["cx", "cy"]
 
@@ -43,8 +45,7 @@ def fill_polygons(edges: DataFrame, size: float, keys: list[str] | None = None)
         pairs.withColumn("__a", a)
         .withColumn("__z", z)
         .where(F.col("__a") <= F.col("__z"))
-        .select(*keys, F.explode(F.sequence("__a", "__z")).alias("cx"), "cy")
-        .distinct()
+        .select(*keys, F.explode(F.sequence("__a", "__z")).alias("cx"), "cy")  # runs of a row do not overlap
     )
 
 
@@ -187,8 +188,36 @@ def overlap_share(cells: DataFrame, key: str, mask: Column, feasible: Column | N
     )
 
 
+def _corners(cells: DataFrame, key: str) -> DataFrame:
+    """Cells with `left` and `down`: does the area hold the cell to the left, the one below?"""
+    w = lambda along, across: W.partitionBy(key, across).orderBy(along)
+    held = lambda along, across: F.coalesce(F.lag(along).over(w(along, across)) == F.col(along) - 1, F.lit(False))
+    return cells.select(F.col(key), *XY).where(F.col(key).isNotNull()).distinct().withColumn("left", held("cx", "cy")).withColumn("down", held("cy", "cx"))
+
+
 def overlap_edges(cells: DataFrame, key: str) -> DataFrame:
-    """Pairs of areas sharing at least one cell (a < b)."""
-    l = cells.select(F.col(key).alias("a"), *XY).distinct()
-    r = cells.select(F.col(key).alias("b"), *XY).distinct()
-    return l.join(r, XY).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    """Pairs of areas sharing at least one cell (a < b).
+
+    What two areas share has a cell with none to the left and none below. There one of the two
+    areas has no cell to the left and one none below, so corner cells meet all cells, left borders
+    meet lower borders, and inner cells do not meet each other. Two rectangles meet in one such
+    cell; only pairs with another shape may come twice.
+    """
+    c = cut_lineage(_corners(cells, key))
+    full = (F.max("cx") - F.min("cx") + 1) * (F.max("cy") - F.min("cy") + 1)
+    odd = cut_lineage(c.groupBy(key).agg((F.count(F.lit(1)) < full).alias("odd")).where("odd").select(key))
+    shaped = not odd.isEmpty()
+    if shaped:
+        c = cut_lineage(c.join(odd.withColumn("odd", F.lit(True)), key, "left").withColumn("odd", F.coalesce("odd", F.lit(False))))
+    else:
+        c = c.withColumn("odd", F.lit(False))
+    side = lambda d, n: d.select(F.col(key).alias(n), *XY, F.col("odd").alias(f"odd_{n}"), (~F.col("left") & ~F.col("down")).alias(f"corner_{n}"))
+    # the sizes of cell tables are not those of the tables they come from: no broadcast
+    met = side(c, "b").join(side(c.where("NOT left AND NOT down"), "a").hint("shuffle_hash"), XY).where("a <> b AND (NOT corner_b OR a < b)")
+    met = met.select("a", "b", "odd_a", "odd_b").unionByName(
+        side(c.where("NOT left AND down"), "a").join(side(c.where("left AND NOT down"), "b").hint("shuffle_hash"), XY).where("a <> b").select("a", "b", "odd_a", "odd_b")
+    )
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    if not shaped:
+        return met.select(*pair)
+    return met.where("NOT odd_a AND NOT odd_b").select(*pair).unionByName(met.where("odd_a OR odd_b").select(*pair).distinct())

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelweave.operators import spatial
+from panelweave.operators import cells, independent, spatial
 
 
 def plan_of(df):
@@ -21,3 +21,51 @@ def test_label_near_never_broadcasts_cells(spark):
     assert {r.seg: r.hit for r in out.collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
     wide = spatial.label_near(segs, lines, "seg", 2.0, "hit")
     assert {r.seg: r.hit for r in wide.collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def blobs(seed, n, size=12, fill=0.35):
+    import random
+
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        ox, oy = r.randrange(20), r.randrange(20)
+        if k % 2:  # a rectangle
+            out += [(k, ox + i, oy + j) for i in range(r.randrange(1, 6)) for j in range(4)]
+        else:  # scattered cells
+            out += [(k, ox + i, oy + j) for i in range(size) for j in range(size) if r.random() < fill]
+    return out
+
+
+def test_overlap_edges_meet_at_corners(spark):
+    rows = blobs(3, 24)
+    c = spark.createDataFrame(rows + [(None, 5, 5)], "k long, cx long, cy long")
+    at = {}
+    for k, x, y in rows:
+        at.setdefault((x, y), set()).add(k)
+    want = {(a, b) for ks in at.values() for a in ks for b in ks if a < b}
+    got = [tuple(r) for r in cells.overlap_edges(c, "k").collect()]
+    assert set(got) == want and len(got) == len(want)
+    boxes = c.where("k % 2 = 1")
+    pairs = cells.overlap_edges(boxes, "k")
+    assert "BroadcastHashJoin" not in plan_of(pairs) and "HashAggregate" not in plan_of(pairs)
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == {p for p in want if p[0] % 2 and p[1] % 2}
+
+
+def test_sets_of_cells_are_the_greedy_ones(spark):
+    rows = blobs(9, 30)
+    ids = spark.range(32).select(F.col("id").alias("k"))  # two without a cell
+    samples = spark.range(1, 4).select(F.col("id").alias("sample_id"))
+    order = lambda s, k: (k * 7919 + s * 104729) % 13
+    got = independent.independent_sets_of_cells(ids, spark.createDataFrame(rows, "k long, cx long, cy long"), "k", samples, order=order)
+    got = sorted(tuple(r) for r in got.select("sample_id", "k").collect())
+    on = {k: {(x, y) for j, x, y in rows if j == k} for k in range(32)}
+    want = []
+    for s in (1, 2, 3):
+        kept = []
+        for k in sorted(range(32), key=lambda k: ((k * 7919 + s * 104729) % 13, k)):
+            if not any(on[k] & on[j] for j in kept):
+                kept.append(k)
+        want += [(s, k) for k in kept]
+    assert got == sorted(want)
