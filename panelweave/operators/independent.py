@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators.prefix import scan
 from panelweave.session import cut_lineage
 
 
@@ -45,3 +46,35 @@ def random_independent_sets(ids: DataFrame, edges: DataFrame, key: str, samples:
             links = links.join(gone.withColumnRenamed("a", end), ["sample_id", end], "left_anti")
         links = cut_lineage(links)
     return reduce(lambda x, y: x.unionByName(y), kept).withColumnRenamed("a", key)
+
+
+def independent_sets_of_cells(ids: DataFrame, cells: DataFrame, key: str, samples: DataFrame, seed: int = 1, order=None) -> DataFrame:
+    """`random_independent_sets` of areas that conflict where they share a cell (key, cx, cy), without their pairs.
+
+    Per round and sample a cell belongs to the first live area that covers it. An area that owns all
+    its cells comes before all it overlaps and is kept; areas on a cell of a kept one leave. Each
+    area meets its cells, not its neighbours, so the rows grow with the areas however they crowd.
+    """
+    place = order or (lambda sample, k: F.xxhash64(F.lit(seed), sample, k))
+    xy = ["cx", "cy"]
+    nodes = ids.select(F.col(key).alias("a")).where("a IS NOT NULL").distinct()
+    at = cut_lineage(cells.select(F.col(key).alias("a"), *xy).distinct().join(nodes.hint("merge"), "a", "left_semi"))
+    n = at.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    ranked = nodes.join(n.hint("merge"), "a", "left").crossJoin(F.broadcast(samples.select("sample_id").distinct()))
+    ranked = cut_lineage(ranked.withColumn("h", place(F.col("sample_id"), F.col("a"))))
+    live = cut_lineage(scan(ranked, ["sample_id"], "h", ["a"], {"rank": ("sum", F.lit(1), "upto")}).drop("h"))
+    kept = [live.where("n IS NULL").select("sample_id", "a")]
+    live = live.where("n IS NOT NULL")
+    while True:
+        owners = at.join(live.hint("merge"), "a").groupBy("sample_id", *xy).agg(F.min("rank").alias("rank"))
+        owners = cut_lineage(owners)
+        whole = owners.groupBy("sample_id", "rank").agg(F.count(F.lit(1)).alias("n"))
+        win = cut_lineage(live.join(whole.hint("merge"), ["sample_id", "rank", "n"]).select("sample_id", "a", "rank"))
+        kept.append(win.select("sample_id", "a"))
+        taken = owners.join(win.select("sample_id", "rank").hint("merge"), ["sample_id", "rank"], "left_semi").groupBy(*xy).agg(F.collect_set("sample_id").alias("s"))
+        gone = at.join(cut_lineage(taken).hint("merge"), xy).select("a", F.explode("s").alias("sample_id")).distinct()
+        live = cut_lineage(live.join(gone.hint("merge"), ["sample_id", "a"], "left_anti"))
+        if live.isEmpty():
+            break
+        at = cut_lineage(at.join(live.select("a").distinct().hint("merge"), "a", "left_semi"))
+    return reduce(lambda x, y: x.unionByName(y), kept).withColumnRenamed("a", key)

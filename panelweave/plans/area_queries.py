@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from panelweave.operators import cells, independent
 from panelweave.plans.registry import query, rounded, table
 from panelweave.plans.standins import BOXES, POINTS, box_edges, boxes, points
+from panelweave.session import cut_lineage
 
 # nation frames: a 5 x 5 grid of rectangles 72 x 34
 FRAMES = """frames AS (SELECT n_nationkey AS owner, CAST(n_nationkey % 5 * 72 - 180 AS DOUBLE) AS x0, CAST(n_nationkey // 5 * 34 - 85 AS DOUBLE) AS y0 FROM nation),
@@ -147,9 +148,9 @@ def overlapping_pairs(spark, d):
 
 def _sets(spark, d):
     b = boxes(spark, d)
-    e = cells.overlap_edges(cells.fill_polygons(box_edges(b), 1.0), "geom_id")
+    c = cut_lineage(cells.fill_polygons(box_edges(b), 1.0))
     samples = table(spark, d, "region").select((F.col("r_regionkey") + 1).alias("sample_id"))
-    return b, e, independent.random_independent_sets(b.select("geom_id"), e, "geom_id", samples, order=lambda s, k: (k * 7919 + s * 104729) % 1000003)
+    return c, independent.independent_sets_of_cells(b.select("geom_id"), c, "geom_id", samples, order=lambda s, k: (k * 7919 + s * 104729) % 1000003)
 
 
 @query(
@@ -164,7 +165,7 @@ def _sets(spark, d):
 )
 def random_independent_sets(spark, d):
     """The greedy sets themselves, on an order that both engines can compute."""
-    return _sets(spark, d)[2]
+    return _sets(spark, d)[1]
 
 
 @query(
@@ -173,9 +174,12 @@ def random_independent_sets(spark, d):
 )
 def independent_set_check(spark, d):
     """Per set: kept pairs that overlap (none), units kept or overlapping a kept one (all)."""
-    b, e, s = _sets(spark, d)
-    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reach = s.join(both, s.geom_id == both.a).select("sample_id", F.col("b").alias("geom_id")).distinct()
-    bad = reach.join(s, ["sample_id", "geom_id"], "left_semi").groupBy("sample_id").agg(F.count(F.lit(1)).alias("overlapping_pairs"))
+    c, s = _sets(spark, d)
+    s = cut_lineage(s)
+    at = c.join(s.hint("merge"), "geom_id")  # a row for each sample that keeps the area
+    held = at.groupBy("sample_id", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    bad = at.join(held.where("n > 1"), ["sample_id", "cx", "cy"], "left_semi").select("sample_id", "geom_id").distinct().groupBy("sample_id").agg(F.count(F.lit(1)).alias("overlapping_pairs"))
+    near = held.groupBy("cx", "cy").agg(F.collect_set("sample_id").alias("s"))
+    reach = c.join(cut_lineage(near).hint("merge"), ["cx", "cy"]).select("geom_id", F.explode("s").alias("sample_id")).distinct()
     cov = reach.unionByName(s).distinct().groupBy("sample_id").agg(F.count(F.lit(1)).alias("kept_or_covered"))
     return cov.join(bad, "sample_id", "left").select("sample_id", F.coalesce("overlapping_pairs", F.lit(0)).alias("overlapping_pairs"), "kept_or_covered")
