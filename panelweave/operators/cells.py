@@ -7,6 +7,8 @@ to the cells cut by the outline.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,16 +93,20 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def dilate(cells: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Buffer by k cells (a disc in cell units)."""
-    disc = [(i, j) for i in range(-k, k + 1) for j in range(-k, k + 1) if i * i + j * j <= k * k]
-    off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disc])
-    return (
-        cells.select(*keys, *XY)
-        .distinct()
-        .withColumn("o", F.explode(off))
-        .select(*keys, (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-        .distinct()
+    """Buffer by k cells (a disc in cell units), by runs of a row: each run is widened in the rows
+    around it and the runs of a row are merged, so that cells are made once."""
+    by = [*keys, "cy"]
+    w = W.partitionBy(*by).orderBy("cx")
+    line = cells.select(*keys, *XY).distinct().withColumn("__i", F.col("cx") - F.row_number().over(w))
+    runs = line.groupBy(*by, "__i").agg(F.min("cx").alias("__a"), F.max("cx").alias("__z"))
+    off = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(math.isqrt(k * k - j * j)).alias("w")) for j in range(-k, k + 1)])
+    wide = runs.withColumn("o", F.explode(off)).select(
+        *keys, (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("__a") - F.col("o.w")).alias("__a"), (F.col("__z") + F.col("o.w")).alias("__z")
     )
+    over = W.partitionBy(*by).orderBy("__a", "__z").rowsBetween(W.unboundedPreceding, -1)
+    start = F.greatest(F.col("__a"), F.coalesce(F.max("__z").over(over) + 1, F.col("__a")))
+    left = wide.withColumn("__from", start).where(F.col("__from") <= F.col("__z"))  # what no run before has
+    return left.select(*keys, F.explode(F.sequence("__from", "__z")).alias("cx"), "cy")
 
 
 def areas(cells: DataFrame, keys: list[str], cell_area: float, name: str = "area") -> DataFrame:

@@ -1,5 +1,7 @@
 """Steps whose tables, joins or shuffles must not outgrow the input."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelweave.operators import cells, independent, spatial
@@ -53,6 +55,16 @@ def test_overlap_edges_meet_at_corners(spark):
     assert len(got) == len(set(got)) and set(got) == {p for p in want if p[0] % 2 and p[1] % 2}
 
 
+def test_dilated_cells_are_not_shuffled(spark):
+    rows = blobs(5, 8)
+    d = cells.dilate(spark.createDataFrame(rows, "k long, cx long, cy long"), ["k"], 2)
+    disc = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4]
+    want = {(k, x + i, y + j) for k, x, y in rows for i, j in disc}
+    got = [tuple(r) for r in d.select("k", "cx", "cy").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert len(re.findall(r"hashpartitioning\(k#\w+, cx#", plan_of(d.select("k", "cx", "cy").distinct()))) == 1  # the cells given, not those made
+
+
 def test_sets_of_cells_are_the_greedy_ones(spark):
     rows = blobs(9, 30)
     ids = spark.range(32).select(F.col("id").alias("k"))  # two without a cell
