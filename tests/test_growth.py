@@ -81,3 +81,31 @@ def test_sets_of_cells_are_the_greedy_ones(spark):
                 kept.append(k)
         want += [(s, k) for k in kept]
     assert got == sorted(want)
+
+
+def lookalike_rows(spark):
+    import random
+
+    r = random.Random(11)
+    spot = lambda i: (i, r.uniform(0, 60), r.uniform(0, 40), float(r.choice([0, 1, 2, 5, 9, 30, 30, 80])))
+    names = "id long, x double, y double, area double"
+    u, c = [spot(i) for i in range(40)], [spot(i) for i in range(900)] + [(900, None, 1.0, 2.0), (901, 1.0, 1.0, None)]
+    return u, c, spark.createDataFrame(u, names), spark.createDataFrame(c, names)
+
+
+def test_nearest_lookalikes_widen_to_the_same_rows(spark):
+    import math
+
+    u, c, units, cands = lookalike_rows(spark)
+    want = []
+    for i, x, y, a in u:
+        near = [(k, round(math.hypot(x - p, y - q), 6)) for k, p, q, b in c if p is not None and b and a and a / 4 <= b <= a * 4 and math.hypot(x - p, y - q) <= 9 + math.sqrt(a / math.pi)]
+        best = sorted(near, key=lambda m: (m[0] % 3 != i % 3, m[1], m[0]))[:7]
+        want += [(i, k, k % 3 == i % 3, d) for k, d in best]
+    out = spatial.nearest_lookalikes(units, cands, F.col("c_id") % 3 == F.col("u_id") % 3, 7, radius=9.0)
+    assert sorted(tuple(r) for r in out.select("u_id", "c_id", "same", "dist").collect()) == sorted(want)
+
+
+def test_lookalikes_do_not_broadcast_copies(spark):
+    _, _, units, cands = lookalike_rows(spark)
+    assert "BroadcastHashJoin" not in plan_of(spatial.lookalike_candidates(units, cands, radius=9.0, cell=5.0))
