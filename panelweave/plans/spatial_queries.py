@@ -195,7 +195,7 @@ def _look(spark, d):
 @query("area_band_join", f"WITH {_LOOK} SELECT u.id AS u_id, count(*) AS n, sum(c.area) AS total FROM u JOIN c ON c.area BETWEEN u.area / 4 AND u.area * 4 GROUP BY 1")
 def area_band_join(spark, d):
     u, c = _look(spark, d)
-    return spatial.area_band_join(u, c).groupBy("u_id").agg(F.count(F.lit(1)).alias("n"), F.sum("c_area").alias("total"))
+    return spatial.band_totals(u, c)
 
 
 @query(

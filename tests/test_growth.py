@@ -109,3 +109,15 @@ def test_nearest_lookalikes_widen_to_the_same_rows(spark):
 def test_lookalikes_do_not_broadcast_copies(spark):
     _, _, units, cands = lookalike_rows(spark)
     assert "BroadcastHashJoin" not in plan_of(spatial.lookalike_candidates(units, cands, radius=9.0, cell=5.0))
+
+
+def test_band_totals_are_those_of_the_pairs(spark):
+    u, c, units, cands = lookalike_rows(spark)
+    want = {}
+    for i, _, _, a in u:
+        held = [b for _, _, _, b in c if a and b and a / 4 <= b <= a * 4]
+        if held:
+            want[i] = (len(held), sum(held))
+    out = spatial.band_totals(units, cands)
+    assert {r.u_id: (r.n, r.total) for r in out.collect()} == want
+    assert "c_area" not in plan_of(out)
