@@ -81,7 +81,8 @@ def nearest_fallback(spark, d):
     p = _far(points(spark, d))
     e = box_edges(boxes(spark, d))
     hits = spatial.polygon_hits(p, e, "id", 8.0)
-    return spatial.with_nearest_fallback(hits, p, e, "id", 4.0).select("id", "geom_id", "by")
+    rest = spatial.outside_points(p, e, 8.0)
+    return spatial.with_nearest_fallback(hits, p, e, "id", 4.0, rest).select("id", "geom_id", "by")
 
 
 @query(

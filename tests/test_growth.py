@@ -145,3 +145,28 @@ def test_near_intervals_name_each_step_once(spark):
             if near:
                 a, z = got[(*s, *o)]
                 assert abs(a - near[0]) < 1e-3 and abs(z - near[-1]) < 1e-3
+
+
+def test_points_and_polygons_meet_without_shuffling_pairs(spark):
+    import math
+
+    ring = lambda g, p: [(g, *p[i], *p[(i + 1) % len(p)]) for i in range(len(p))]
+    polys = {1: [(0.0, 0.0), (9.0, 0.0), (9.0, 7.0), (0.0, 7.0)], 2: [(1.0, 1.0), (4.0, 6.0), (8.0, 2.0), (5.0, 9.0)], 3: [(3 + 2 * math.cos(i), 3 + 2 * math.sin(i)) for i in (0, 1, 2, 3, 4, 5)]}
+    edges = spark.createDataFrame([e for g, p in polys.items() for e in ring(g, p)], "geom_id long, x1 double, y1 double, x2 double, y2 double")
+    spots = [(i * 20 + j, i * 0.53 + 0.01, j * 0.47 + 0.02) for i in range(20) for j in range(20)] + [(1000, None, 1.0)]
+    pts = spark.createDataFrame(spots, "id long, x double, y double")
+
+    def holds(p, x, y):
+        k = 0
+        for (a, b), (c, d) in zip(p, p[1:] + p[:1]):
+            k += (b > y) != (d > y) and x < a + (c - a) * (y - b) / (d - b)
+        return k % 2 == 1
+
+    want = {(i, g) for i, x, y in spots if x is not None for g, p in polys.items() if holds(p, x, y)}
+    out = spatial.polygon_hits(pts, edges, "id", 1.5)
+    assert "Aggregate" not in plan_of(out) and "geom_id" not in " ".join(re.findall(r"hashpartitioning\([^)]*\)", plan_of(out)))
+    assert {tuple(r) for r in out.collect()} == want
+    named = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "geom_id long, owner string")
+    left = spatial.point_in_polygon(pts, named, edges, "id", 1.5)
+    assert {(r.id, r.geom_id) for r in left.collect()} == want | {(i, None) for i, _, _ in spots if i not in {k for k, _ in want}}
+    assert {r.id for r in spatial.outside_points(pts, edges, 1.5).collect()} == {i for i, _, _ in spots} - {k for k, _ in want}
