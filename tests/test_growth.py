@@ -170,3 +170,28 @@ def test_points_and_polygons_meet_without_shuffling_pairs(spark):
     left = spatial.point_in_polygon(pts, named, edges, "id", 1.5)
     assert {(r.id, r.geom_id) for r in left.collect()} == want | {(i, None) for i, _, _ in spots if i not in {k for k, _ in want}}
     assert {r.id for r in spatial.outside_points(pts, edges, 1.5).collect()} == {i for i, _, _ in spots} - {k for k, _ in want}
+
+
+def test_nearest_keeps_only_segments_within_the_bound(spark):
+    import math
+    import random
+
+    r = random.Random(2)
+    segs = [(g % 40, *[float(v) for v in (r.randrange(30), r.randrange(30), r.randrange(30), r.randrange(30))]) for g in range(60)]
+    segs += [(90 + i, *segs[i][1:]) for i in range(20)]  # equal segments: the least id counts
+    spots = [(i, r.uniform(-5, 35), r.uniform(-5, 35)) for i in range(60)] + [(60, 900.0, -40.0)]
+    edges = spark.createDataFrame(segs, "geom_id long, x1 double, y1 double, x2 double, y2 double")
+    pts = spark.createDataFrame(spots, "id long, x double, y double")
+
+    def away(px, py, x1, y1, x2, y2):
+        n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = max(0.0, min(1.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / n)) if n else 0.0
+        return math.sqrt((px - (x1 + t * (x2 - x1))) ** 2 + (py - (y1 + t * (y2 - y1))) ** 2)
+
+    want = {i: min((round(away(x, y, *s[1:]), 9), s[0]) for s in segs) for i, x, y in spots}
+    got = {g.id: (round(g.dist, 9), g.geom_id) for g in spatial.nearest_segment(pts, edges, "id", ["geom_id"], 4.0).collect()}
+    assert got == want
+    cand = spatial.nearest_cells(pts.select(F.col("x").alias("px"), F.col("y").alias("py")), edges, 4.0)
+    best = cand.groupBy("px", "py").agg(F.min("least").alias("least")).collect()
+    dist = {(x, y): want[i][0] for i, x, y in spots}
+    assert len(best) == len(spots) and all(b.least <= dist[b.px, b.py] + 1e-6 for b in best)
