@@ -40,8 +40,8 @@ def leave_k_out_matched(spark, d):
 def radius_pooled_effects(spark, d):
     """Declustered first stages at all radii and one pooled fit for each, both outcomes."""
     k = ["aquifer", "cc", "dclust"]
-    w = wells(spark, d).withColumn("dclust", F.explode(F.array(*[F.lit(r / 10) for r in sweeps.RADII_KM])))
-    w = spatial.decluster_weights(w, k, F.col("dclust"), x="px", y="py")
+    w = wells(spark, d).select("aquifer", "cc", "x", "y", "px", "py")
+    w = spatial.decluster_by_radius(w, ["aquifer", "cc"], [r / 10 for r in sweeps.RADII_KM], x="px", y="py")
     t = unit_trends(w, k, "y", "x", "w", p_values=False).select(*k, "n", "beta_0", "se_0", "beta_1", "se_1")
     u = cut_lineage(valid_units(attach_group(t, units(spark, d), ["aquifer", "cc"]), 20))
     u = u.withColumn("unit_id", F.concat_ws("_", "aquifer", F.col("cc").cast("string")))
