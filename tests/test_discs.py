@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import discs, spatial
+from panelweave.operators import discs, gauss, spatial
 
 
 def scattered(n=600, seed=3):
@@ -67,3 +67,28 @@ def test_rows_are_written_once_for_all_radii(spark, monkeypatch):
     assert out.count() == 11 * 600 and max(sizes) == 600
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan  # what is repeated is not shuffled
+
+
+@pytest.mark.parametrize("limit, part", [(100, 10**5), (0, 40), (10**6, 10**5)])
+def test_gaussian_of_all_pairs(spark, monkeypatch, limit, part):
+    """Through nodes, over pairs, and both side by side; the work per row does not grow with the crowd."""
+    monkeypatch.setattr(spatial, "SWEEP_ROWS", 0)
+    monkeypatch.setattr(spatial, "GAUSS_PAIRS", limit)
+    monkeypatch.setattr(gauss, "PART_ROWS", part)
+    pdf = scattered()
+    got = {r.id: r.dens for r in spatial.kernel_density(spark.createDataFrame(pdf), ["g"], 0.8).collect()}
+    assert len(got) == len(pdf)
+    for _, p in pdf.groupby("g"):
+        want = np.exp(-0.5 * (distances(p) / 0.8) ** 2).sum(axis=1) / (2 * np.pi * 0.64)
+        assert [got[i] for i in p.id] == pytest.approx(want.tolist(), rel=1e-12)
+
+
+def test_gaussian_joins_no_pairs_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SWEEP_ROWS", 0)
+    frames, pairs = [], spatial._gaussian_pairs
+    monkeypatch.setattr(spatial, "_gaussian_pairs", lambda d, wanted, x, y: (frames.append(wanted), pairs(d, wanted, x, y))[1])
+    rng = np.random.default_rng(2)
+    xy = np.concatenate([rng.uniform(0, 1, (2500, 2)), rng.uniform(500, 900, (40, 2))])
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "x": xy[:, 0], "y": xy[:, 1]}))
+    assert spatial.kernel_density(df, ["g"], 1.0).count() == len(xy)
+    assert [f.count() for f in frames] == [40]
