@@ -216,6 +216,7 @@ def run_spec(wells: DataFrame, units: DataFrame, spec: Spec, aquifer: str, count
     if spec.drop_river_groups:
         w = drop_flagged_groups(w, [aquifer], F.col(river).cast("boolean"))
     keys = [aquifer, country]
+    w = cut_lineage(w.select(*dict.fromkeys([*keys, y, x, river])))  # the first stage reads its rows many times
     first = huber_trends(w, keys, y, x) if spec.robust else unit_trends(w, keys, y, x)
     share = w.groupBy(*keys).agg(strict_avg(F.col(river).cast("double")).alias(river))
     u = attach_group(attach_group(first, units, keys), share, keys)
@@ -227,6 +228,7 @@ def run_spec(wells: DataFrame, units: DataFrame, spec: Spec, aquifer: str, count
         if gone:
             u = drop_listed(u, aquifer, gone)
     u = u.withColumn("unit_id", F.concat_ws("_", F.col(aquifer).cast("string"), F.col(country).cast("string")))
+    u = cut_lineage(u)  # else every pass of the second stage repeats the first
     m = matched_units(u, [], "unit_id", flag, list(spec.covs), spec.method, spec.ratio)
     out = pooled_effects(m, [], country, flag, "weights" if spec.weight_variance else None, spec.model)
     return out.withColumn("label", F.lit(spec.label))
