@@ -40,6 +40,19 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.coalesce(F.try_divide(n, d), at_zero)
 
 
+def round_scaled(c: Column | str, digits: int) -> Column:
+    """The multiple of 10^-digits nearest to the double, halves away from zero, found by scaling as SQL engines do.
+
+    Spark's `round` goes by the shortest text of the double, so 0.0021874999999999998 times 10^6, a half
+    to the last bit, goes up here and down there. Infinity, NaN and what scaling would overflow stay.
+    """
+    x = as_col(c)
+    scaled = F.abs(x) * 10.0**digits
+    even = F.rint(scaled)
+    out = F.signum(x) * (even + F.when(scaled - even == 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+    return F.when(F.abs(out) < float("inf"), out).otherwise(x)
+
+
 def not_in_keep_null(c: Column | str, values) -> Column:
     """True for rows outside `values`, NULL rows included."""
     return ~F.coalesce(as_col(c).isin(list(values)), F.lit(False))

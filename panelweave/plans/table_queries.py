@@ -191,7 +191,7 @@ def null_rules(spark, d):
     r = nulls.ratio(disc - 0.05, F.col("q") - 25)
     return g.select(
         "l_orderkey", "l_linenumber", nulls.strict_greatest(q100, disc).alias("hi"), nulls.strict_least(q100, disc).alias("lo"),
-        F.when(F.abs(r) == float("inf"), r).otherwise(F.round(r, 6)).alias("r"),
+        (nulls.round_scaled(r, 6) + 0.0).alias("r"),
     )
 
 

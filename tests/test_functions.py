@@ -1,12 +1,15 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oracle_check import norm
 from panelweave.functions import distributions as D
 from panelweave.functions import labels, nulls, projection
 from panelweave.operators import summaries
+from panelweave.plans import ORACLES, QUERIES
 
 
 def one(spark, col, **vals):
@@ -22,6 +25,25 @@ def test_ratio(spark, a, b, want):
     assert one(spark, nulls.ratio("a", "b"), a=a, b=b) == want
 
 
+@pytest.mark.parametrize(
+    "x,want",
+    [((0.029 - 0.05) / (34.6 - 25), -0.002188), (0.0078125, 0.007813), (0.5e-6, 1e-6), (2.5e-6, 3e-6), (0.4999e-6, 0.0), (1e300, 1e300), (math.inf, math.inf), (-math.inf, -math.inf), (None, None)],
+)
+def test_round_scaled(spark, x, want):
+    assert one(spark, nulls.round_scaled("x", 6), x=x) == want
+
+
+def test_null_rules_rounds_as_its_sql(spark, tmp_path):
+    rows = [(q, d) for q in (5.0, 6.0, 15.0, 25.0, 34.6, 23.72, 24.99999, 1e300, math.inf, math.nan, None) for d in (0.0, 0.029, 0.05, 0.06, 1e15, math.inf, math.nan, None)]
+    df = spark.createDataFrame([(i, 1, q, d, "A") for i, (q, d) in enumerate(rows)], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    sql = con.execute(f"SELECT l_orderkey, l_linenumber, hi, lo, r FROM ({ORACLES['null_rules']}) ORDER BY 1").fetchall()
+    got = QUERIES["null_rules"](spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "hi", "lo", "r").orderBy("l_orderkey").collect()
+    assert [[norm(v) for v in r] for r in got] == [[norm(v) for v in r] for r in sql]
+
+
 def test_strict_extremes(spark):
     assert one(spark, nulls.strict_greatest("a", "b"), a=1.0, b=None) is None
     assert one(spark, nulls.strict_greatest("a", "b"), a=1.0, b=2.0) == 2.0
