@@ -195,3 +195,24 @@ def test_nearest_keeps_only_segments_within_the_bound(spark):
     best = cand.groupBy("px", "py").agg(F.min("least").alias("least")).collect()
     dist = {(x, y): want[i][0] for i, x, y in spots}
     assert len(best) == len(spots) and all(b.least <= dist[b.px, b.py] + 1e-6 for b in best)
+
+
+def test_second_stage_reads_written_units(spark, monkeypatch):
+    """Its passes would repeat the first stage and its broadcasts if the units came with their plan."""
+    from panelweave.operators import sweeps
+    from panelweave.plans import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    def look(units, *_):
+        raise Seen(plan_of(units))
+
+    monkeypatch.setattr(sweeps, "matched_units", look)
+    for name in ("river_option_run", "robust_second_stage"):
+        try:
+            QUERIES[name](spark, "/root/testdata/sf0.001")
+        except Seen as e:
+            assert "FileScan parquet" in str(e) and not re.search("Join|Aggregate|Exchange", str(e)), name
+        else:
+            raise AssertionError(name)
