@@ -80,8 +80,9 @@ def nearest_border_distance(spark, d):
 def nearest_fallback(spark, d):
     p = _far(points(spark, d))
     e = box_edges(boxes(spark, d))
-    hits = spatial.polygon_hits(p, e, "id", 8.0)
-    rest = spatial.outside_points(p, e, 8.0)
+    found = spatial.covering_cells(e, 8.0)
+    hits = spatial.polygon_hits(p, e, "id", 8.0, found=found)
+    rest = spatial.outside_points(p, e, 8.0, found=found)
     return spatial.with_nearest_fallback(hits, p, e, "id", 4.0, rest).select("id", "geom_id", "by")
 
 

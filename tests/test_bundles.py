@@ -91,3 +91,15 @@ def test_points_meet_polygons_in_bundles(spark, how):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+
+
+def test_fallback_makes_cells_once(spark, monkeypatch, tmp_path):
+    from panelweave.plans import QUERIES
+
+    customers = [(k, k % 25, float(k), "A") for k in range(40)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k % 25) for k in range(12)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    made, make = [], spatial.polygon_cells
+    monkeypatch.setattr(spatial, "polygon_cells", lambda *a: made.append(1) or make(*a))
+    out = QUERIES["nearest_fallback"](spark, str(tmp_path)).collect()
+    assert len(made) == 1 and {r.id for r in out} == {-1, *range(40)}
